@@ -198,16 +198,17 @@ def _label_block(pdf: pd.DataFrame) -> pd.DataFrame:
     code[i - i0, j - j0] = pdf["value"].fillna(-1).to_numpy().astype(np.int64)
     label = np.arange(code.size).reshape(shape)
     down, right = (code[1:] == code[:-1]), (code[:, 1:] == code[:, :-1])
+    far = code.size
     while True:
-        before = label.copy()
-        for same, a, b in ((down, label[1:], label[:-1]), (right, label[:, 1:], label[:, :-1])):
-            low = np.where(same, np.minimum(a, b), a)
-            np.copyto(b, np.where(same, np.minimum(low, b), b))
-            np.copyto(a, low)
-        flat = label.ravel()
-        label = flat[flat].reshape(shape)
-        if (label == before).all():
+        low = label.copy()
+        low[1:] = np.minimum(low[1:], np.where(down, label[:-1], far))
+        low[:-1] = np.minimum(low[:-1], np.where(down, label[1:], far))
+        low[:, 1:] = np.minimum(low[:, 1:], np.where(right, label[:, :-1], far))
+        low[:, :-1] = np.minimum(low[:, :-1], np.where(right, label[:, 1:], far))
+        low = low.ravel()[low]
+        if (low == label).all():
             break
+        label = low
     root = label[i - i0, j - j0]
     out = pdf[["map_no", "ci", "cj", "value"]].copy()
     out["ri"], out["rj"] = root // shape[1] + i0, root % shape[1] + j0

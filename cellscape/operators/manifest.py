@@ -50,26 +50,25 @@ def member_layers(members: DataFrame) -> DataFrame:
     members: archive, position, member, size.  Only files at the top level, or in the one
     folder named like the archive, can be a product.
     """
-    region_no = F.regexp_extract("archive", ARCHIVE_NAME, 1)
-    folder = F.regexp_replace("archive", r"\.zip$", "")
-    name = F.col("member")
-    direct = ~name.contains("/")
-    nested = (F.size(F.split(name, "/")) == 2) & name.startswith(F.concat(folder, F.lit("/")))
-    base = F.regexp_extract(name, r"([^/]*)$", 1)
-    roi = F.concat(F.lit("A3"), F.lpad(region_no, 2, "0"))
-    product = F.regexp_extract(base, r"(?i)^(A3\d+)_([A-Z]+)_\d+\.tif$", 2)
-    prefix = F.regexp_extract(base, r"(?i)^(A3\d+)_([A-Z]+)_\d+\.tif$", 1)
-    layer: Column = F.lit(None).cast("string")
-    for code, target in PRODUCT_LAYER.items():
-        layer = F.when(F.upper(product) == code, target).otherwise(layer)
-    layer = F.when(F.upper(prefix) == roi, layer)
+    named = members.withColumns({
+        "_no": F.regexp_extract("archive", ARCHIVE_NAME, 1),
+        "_base": F.regexp_extract("member", r"([^/]*)$", 1),
+        "_folder": F.regexp_replace("archive", r"\.zip$", ""),
+    })
+    base = F.col("_base")
+    direct = (F.col("member") == base) | (F.col("member") == F.concat_ws("/", "_folder", base))
+    usable = named.where(direct & (F.col("_no") != "") & ~base.startswith(".") & (F.col("_folder") != "__MACOSX"))
+    coded = usable.withColumn("_code", F.regexp_extract(F.upper("_base"), r"^(A3\d+_[A-Z]+)_\d+\.TIF$", 1)).withColumn(
+        "_roi", F.format_string("A3%02d_", F.col("_no").cast("int"))
+    )
+    layers = F.create_map(*[F.lit(x) for pair in PRODUCT_LAYER.items() for x in pair])
+    product = F.when(F.col("_code").startswith(F.col("_roi")), F.try_element_at(layers, F.element_at(F.split("_code", "_"), -1)))
     kind = (
         F.when(base.rlike(r"(?i)^README(\.(txt|md))?$"), "readme")
         .when(F.lower(base).endswith(".csv") & (F.col("size") <= 1024 * 1024), "evidence")
-        .otherwise(layer)
+        .otherwise(product)
     )
-    usable = (direct | nested) & ~base.startswith(".") & (region_no != "") & ~name.contains("__MACOSX")
-    picked = members.where(usable).select("archive", "position", "member", "size", kind.alias("layer")).where("layer is not null")
+    picked = coded.select("archive", "position", "member", "size", kind.alias("layer")).where("layer is not null")
     # An archive lists at most a few members, so its window is small.
     number = F.row_number().over(Window.partitionBy("archive", "layer").orderBy("position")) - 1
     return picked.withColumn("_n", number).withColumn(

@@ -45,9 +45,10 @@ def geometry_pairs(a: DataFrame, b: DataFrame, inclusive: bool, keys: list[str]
     """Overlapping pairs of distinct boxes as structs `p` and `q` (plus the equality keys)."""
     keys = list(keys or [])
     pa, pb = _leveled(a, keys), _leveled(b, keys)
+    # Binary exponents of box sizes: a few dozen values at most, whatever the row count.
     own = F.array("lvl")
-    levels_a = pa.agg(F.collect_set("lvl")).scalar()
-    levels_b = pb.agg(F.collect_set("lvl")).scalar()
+    pa2 = pa.withColumn("used", pb.agg(F.collect_set("lvl")).scalar())
+    pb2 = pb.withColumn("used", pa.agg(F.collect_set("lvl")).scalar())
 
     def meet(left: DataFrame, right: DataFrame) -> DataFrame:
         joined = left.join(right.drop("cell"), [*keys, "level", "x", "y"])
@@ -63,12 +64,12 @@ def geometry_pairs(a: DataFrame, b: DataFrame, inclusive: bool, keys: list[str]
         return joined.where(hit & once).select(*keys, "p", "q")
 
     upward = meet(
-        _filed(pa, F.filter(levels_b, lambda v: v >= F.col("lvl")), "p", keys),
+        _filed(pa2, F.filter("used", lambda v: v >= F.col("lvl")), "p", keys),
         _filed(pb, own, "q", keys),
     )
     downward = meet(
         _filed(pa, own, "p", keys),
-        _filed(pb, F.filter(levels_a, lambda v: v > F.col("lvl")), "q", keys),
+        _filed(pb2, F.filter("used", lambda v: v > F.col("lvl")), "q", keys),
     )
     return upward.unionByName(downward)
 
