@@ -58,37 +58,42 @@ def records(listing: DataFrame) -> DataFrame:
     )
 
 
-def latest_report(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest valid evaluation report; a corrupt newer one hides nothing."""
-    raw = spark.read.option("pathGlobFilter", "evaluation-*.json").text(folder, wholetext=True).select(
-        "value", F.regexp_extract("_metadata.file_name", REPORT_NAME, 1).alias("run_id")
+def report_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Evaluation reports of a folder: run_id from the file name, and the text."""
+    return spark.read.option("pathGlobFilter", "evaluation-*.json").text(folder, wholetext=True).select(
+        F.regexp_extract("_metadata.file_name", REPORT_NAME, 1).alias("run_id"), "value"
     )
-    doc = F.col("doc")
 
-    def number(path: str) -> Column:
-        return F.try_variant_get(doc, path, "double")
 
-    def in_range(path: str) -> Column:
-        kind = F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
-        numeric = kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
-        return kind.isNull() | (kind == "VOID") | F.coalesce(numeric & number(path).between(0, 1), F.lit(False))
+def latest_report(reports: DataFrame) -> DataFrame:
+    """The newest valid report; a corrupt newer one never hides an older valid one.
+
+    reports: run_id (dated, so that text order is time order), value (JSON text).
+    """
+    def kind(path: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get("doc", path, "variant"))
+
+    def absent(path: str) -> Column:
+        return kind(path).isNull() | (kind(path) == "VOID")
+
+    def number(path: str) -> Column:
+        return F.try_variant_get("doc", path, "double")
 
-    def is_list(path: str) -> Column:
-        kind = F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
-        return kind.isNull() | kind.startswith("ARRAY")
+    def share(path: str) -> Column:
+        numeric = kind(path).isin("BIGINT", "DOUBLE") | kind(path).startswith("DECIMAL")
+        return absent(path) | F.coalesce(numeric & number(path).between(0, 1), F.lit(False))
 
     stamp = F.try_to_timestamp(F.substring("run_id", 1, 15), F.lit("yyyyMMdd'T'HHmmss"))
     valid = (
         (F.col("run_id") != "") & stamp.isNotNull()
-        & (F.try_variant_get(doc, "$.run_id", "string") == F.col("run_id"))
-        & (F.schema_of_variant(F.try_variant_get(doc, "$.validation.aggregate.n", "variant")) == "BIGINT")
-        & (number("$.validation.aggregate.n") > 0)
-        & F.schema_of_variant(F.try_variant_get(doc, "$.provenance.maps", "variant")).startswith("OBJECT")
+        & (F.try_variant_get("doc", "$.run_id", "string") == F.col("run_id"))
+        & (kind("$.validation.aggregate.n") == "BIGINT") & (number("$.validation.aggregate.n") > 0)
+        & kind("$.provenance.maps").startswith("OBJECT")
     )
-    for path in ("aggregate", "baseline_aggregate"):
+    for block in ("aggregate", "baseline_aggregate"):
         for name in ("accuracy", "macro_f1"):
-            valid = valid & in_range(f"$.validation.{path}.{name}")
+            valid = valid & share(f"$.validation.{block}.{name}")
     for path in ("$.selected_maps", "$.tiles", "$.skipped", "$.validation.folds"):
-        valid = valid & is_list(path)
-    good = raw.withColumn("doc", F.try_parse_json("value")).where(valid)
+        valid = valid & (kind(path).isNull() | kind(path).startswith("ARRAY"))
+    good = reports.withColumn("doc", F.try_parse_json("value")).where(valid)
     return good.agg(F.max("run_id").alias("run_id"), F.max_by("value", "run_id").alias("report")).where("run_id is not null")
