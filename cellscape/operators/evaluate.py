@@ -52,12 +52,13 @@ def fold_plan(selected: DataFrame, catalog: DataFrame, samples: DataFrame) -> Da
     of all other maps; `fold_members` spells the lists out where they are wanted.
     """
     usable = F.when(F.col("verified"), F.col("rows")).otherwise(0)
-    total = samples.agg(F.coalesce(F.sum(usable), F.lit(0))).scalar()
-    n_verified = samples.agg(F.count_if("verified")).scalar()
-    n_all = samples.agg(F.count(F.lit(1))).scalar()
+    memory = samples.agg(F.struct(
+        F.coalesce(F.sum(usable), F.lit(0)).alias("rows"), F.count_if("verified").alias("verified"), F.count(F.lit(1)).alias("maps")
+    )).scalar()
     own = samples.select("map_no", F.col("verified").alias("_v"), usable.alias("_rows"))
     info = catalog.select("map_no", "grp", "available", "reason")
-    joined = selected.select("map_no").distinct().join(info, "map_no", "left").join(own, "map_no", "left")
+    joined = selected.select("map_no").distinct().join(info, "map_no", "left").join(own, "map_no", "left").withColumn("_m", memory)
+    total, n_verified, n_all = F.col("_m.rows"), F.col("_m.verified"), F.col("_m.maps")
     trained = F.coalesce("_v", F.lit(False))
     reason = (
         F.when(~F.coalesce("available", F.lit(False)), F.coalesce("reason", F.lit("no painted labels")))
@@ -198,9 +199,11 @@ def pooled(matrix: DataFrame) -> DataFrame:
 
 
 def fold_summary(matrix: DataFrame, key: str = "map_no") -> DataFrame:
-    """Pooled metrics next to the mean of the folds' own macro F1."""
-    mean = overall_metrics(matrix, [key]).agg(F.avg("macro_f1")).scalar()
-    return overall_metrics(pooled(matrix), []).withColumn("map_mean_macro_f1", mean)
+    """Pooled metrics next to the mean of the folds' own macro F1, in one pass."""
+    counts = [f"m{a}{b}" for a, b in CONFUSION]
+    own = overall_metrics(matrix, [key, *counts])
+    both = own.agg(*[F.sum(m).alias(m) for m in counts], F.avg("macro_f1").alias("map_mean_macro_f1"))
+    return overall_metrics(both, ["map_mean_macro_f1"])
 
 
 def result_views(model: DataFrame, baseline: DataFrame, key: str = "map_no") -> DataFrame:
@@ -216,27 +219,39 @@ def result_views(model: DataFrame, baseline: DataFrame, key: str = "map_no") ->
 
 
 def leave_one_out(features: DataFrame, samples: DataFrame, plan: DataFrame, estimator, names, truth: DataFrame,
-                  grid: int) -> DataFrame:
+                  grid: int, parallelism: int = 4) -> DataFrame:
     """Fit, predict, vote per cell and score for each fold: (map_no, m11..m33).
 
     The folds are a short list picked by hand; each is one distributed fit and one
-    distributed scoring job.  truth: eligible cells with their code.
+    distributed scoring job, a few of them at a time.  truth: eligible cells with their
+    code.
     """
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
+
     from cellscape.operators.grid import cell_majority
     from cellscape.operators.model import fit, predict
 
-    result = None
-    for fold in selected_folds(plan):
-        fitted = fit(samples.where(F.col("map_no") != fold), estimator, names)
+    spark = features.sparkSession
+
+    @inheritable_thread_target(spark)
+    def one(fold) -> DataFrame | None:
+        fitted = fit(samples.where(F.col("map_no") != fold), estimator.copy(), names)
         if fitted.model is None and fitted.only is None:
-            continue
+            return None
         scored = predict(fitted, features.where(F.col("map_no") == fold))
         voted = cell_majority(scored, "prediction", grid=grid).select(*CELL, F.col("code").alias("pred"))
         rows = truth.where(F.col("map_no") == fold).select(*CELL, F.col("code").alias("truth")).join(voted, list(CELL), "left")
-        one = confusion(rows, ["map_no"])
-        result = one if result is None else result.unionByName(one)
-    if result is None:
+        return confusion(rows, ["map_no"])
+
+    with ThreadPool(parallelism) as pool:
+        made = [df for df in pool.map(one, selected_folds(plan)) if df is not None]
+    if not made:
         raise ValueError("no fold could be fitted")
+    result = made[0]
+    for df in made[1:]:
+        result = result.unionByName(df)
     return result
 
 

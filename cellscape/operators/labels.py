@@ -81,16 +81,20 @@ def folded_strokes(strokes: DataFrame, paintable: DataFrame | None = None) -> Da
     """The last write per cell.  An erased cell loses its certainty and approval.
 
     strokes: map_no, cell, seq, code, conf, accepted.  `max_by` keeps one row per cell on
-    the map side, so a cell or map that draws a third of all strokes is no hot spot.
+    the map side, so a cell or map that draws a third of all strokes is no hot spot.  The
+    three written values travel as one number: a fixed-width buffer hashes in place where
+    a struct would have to be sorted.
     """
+    written = F.col("code") * 16 + F.coalesce("conf", F.lit(0)) * 2 + F.coalesce("accepted", F.lit(False)).cast("int")
     last = strokes.groupBy("map_no", "cell").agg(
-        F.max_by(F.struct("code", "conf", "accepted"), "seq").alias("w"), F.max("seq").alias("seq")
+        F.max_by(written.cast("int"), "seq").alias("w"), F.max("seq").alias("seq")
     )
-    painted = F.col("w.code") > 0
+    code, low = F.shiftright("w", 4), F.col("w").bitwiseAND(15)
+    painted = code > 0
     folded = last.select(
-        "map_no", "cell", "seq", F.col("w.code").alias("code"),
-        F.when(painted, F.col("w.conf")).otherwise(0).alias("conf"),
-        (painted & F.col("w.accepted")).alias("accepted"),
+        "map_no", "cell", "seq", code.alias("code"),
+        F.when(painted, F.shiftright(low, 1)).otherwise(0).alias("conf"),
+        (painted & (low.bitwiseAND(1) == 1)).alias("accepted"),
     )
     if paintable is None:
         return folded
@@ -213,27 +217,31 @@ def rasterised(strokes: DataFrame, grid: int = GRID) -> DataFrame:
         *key, F.floor("y").alias("ci"), F.floor("x").alias("cj")
     ).where((F.col("ci") >= 0) & (F.col("cj") >= 0) & (F.col("ci") < grid) & (F.col("cj") < grid))
 
-    def span(axis: str) -> Column:
-        values = F.transform(path, lambda p: p[axis])
-        lo = F.greatest(F.lit(0).cast("bigint"), F.floor(F.array_min(values)))
-        hi = F.least(F.lit(grid - 1).cast("bigint"), F.floor(F.array_max(values)))
-        return F.when(lo <= hi, F.sequence(lo, hi))
-
-    def crossings(x: Column, y: Column) -> Column:
-        """Edges of the closed loop that a ray to the right of (x, y) crosses."""
-        n = F.size("path")
-        def crosses(i: Column) -> Column:
-            a, b = path[i], path[F.pmod(i + n - 1, n)]
-            return ((a["y"] > y) != (b["y"] > y)) & (
-                x < (b["x"] - a["x"]) * (y - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"]
-            )
-        return F.size(F.filter(F.sequence(F.lit(0), n - 1), crosses))
+    # Even-odd rule by scan line: the edges that a row's centre line crosses, sorted, pair
+    # up into the spans that lie inside the loop.
+    heights = F.transform(path, lambda p: p["y"])
+    top = F.greatest(F.lit(0).cast("bigint"), F.floor(F.array_min(heights)))
+    low = F.least(F.lit(grid - 1).cast("bigint"), F.floor(F.array_max(heights)))
+    y = F.col("ci") + 0.5
 
+    def crossing(i: Column) -> Column:
+        a, b = path[i], path[F.pmod(i - 1, F.size(path))]
+        meets = (a["y"] > y) != (b["y"] > y)
+        return F.when(meets, (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"])
+
+    xs = F.sort_array(F.filter(F.transform(F.sequence(F.lit(0), F.size(path) - 1), crossing), lambda x: x.isNotNull()))
+
+    def inner(k: Column) -> Column:
+        left = F.greatest(F.lit(0).cast("bigint"), F.ceil(F.get(F.col("xs"), k * 2) - 0.5))
+        right = F.least(F.lit(grid).cast("bigint"), F.ceil(F.get(F.col("xs"), k * 2 + 1) - 0.5)) - 1
+        return F.when(left <= right, F.sequence(left, right)).otherwise(F.array().cast("array<bigint>"))
+
+    pairs = F.sequence(F.lit(0), (F.size("xs") / 2).cast("int") - 1)
     looped = (
         pts.where(F.size("path") > 2)
-        .withColumn("ci", F.explode(span("y"))).withColumn("cj", F.explode(span("x")))
-        .where(crossings(F.col("cj") + 0.5, F.col("ci") + 0.5) % 2 == 1)
-        .select(*key, "ci", "cj")
+        .withColumn("ci", F.explode(F.when(top <= low, F.sequence(top, low))))
+        .select(*key, "ci", xs.alias("xs")).where(F.size("xs") >= 2)
+        .select(*key, "ci", F.explode(F.flatten(F.transform(pairs, inner))).alias("cj"))
     )
     return passed.unionByName(looped).distinct()
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from cellscape.functions import constants as K
 from cellscape.functions.raster import all_finite
+from cellscape.session import cut_lineage
 
 
 def schema(backend: str = "forest") -> dict[str, Any]:
@@ -47,14 +48,13 @@ def base_features(df: DataFrame, names: tuple[str, ...] = K.BASE_FEATURES) -> Da
     return df.select(*rest, *names)
 
 
-def balanced(samples: DataFrame, label: str = "label", weight: str = "w") -> DataFrame:
+def balanced(samples: DataFrame, counts: dict[int, int], label: str = "label", weight: str = "w") -> DataFrame:
     """Balanced class factor n / (k * n_c), counted without weights, times the row weight."""
-    counts = samples.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    n = counts.agg(F.sum("_nc")).scalar()
-    k = counts.agg(F.count(F.lit(1))).scalar()
-    return samples.join(counts, label).withColumn(
-        weight, F.col(weight) * n.cast("double") / (k.cast("double") * F.col("_nc"))
-    ).drop("_nc")
+    n, k = sum(counts.values()), len(counts)
+    factor = F.lit(None).cast("double")
+    for code, count in counts.items():
+        factor = F.when(F.col(label) == code, F.lit(n / (k * count))).otherwise(factor)
+    return samples.withColumn(weight, F.col(weight) * factor)
 
 
 def forest(num_trees: int = 200, max_depth: int = 30, seed: int = 0) -> RandomForestClassifier:
@@ -84,12 +84,17 @@ class Fitted:
 
 
 def fit(samples: DataFrame, estimator: Estimator, names: tuple[str, ...] = K.BASE_FEATURES) -> Fitted:
-    """M1/M2/M8: fit on pooled rows; no rows give no model, one unit predicts itself."""
-    rows = samples.where(all_finite(*names))
-    codes = sorted(r[0] for r in rows.select("label").distinct().limit(len(K.CODES) + 1).collect())
-    if len(codes) < 2:
-        return Fitted(None, names, codes[0] if codes else None)
-    ready = _vectors(balanced(rows, "label", "w"), names).select((F.col("label") - 1).cast("double").alias("_y"), "_x", "w")
+    """M1/M2/M8: fit on pooled rows; no rows give no model, one unit predicts itself.
+
+    The sample is capped by policy, so it is stored once and every pass of the learner
+    reads it instead of sampling the pixels again.
+    """
+    rows = cut_lineage(samples.where(all_finite(*names)).select("label", "w", *names))
+    counted = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(len(K.CODES) + 1).collect()
+    counts = {r["label"]: r["n"] for r in counted}
+    if len(counts) < 2:
+        return Fitted(None, names, next(iter(counts), None))
+    ready = _vectors(balanced(rows, counts), names).select((F.col("label") - 1).cast("double").alias("_y"), "_x", "w")
     return Fitted(estimator.fit(ready), names)
 
 

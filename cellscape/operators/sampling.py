@@ -65,18 +65,20 @@ def balanced_cap(samples: DataFrame, cap: int = MAX_TRAIN_ROWS, seed: int = 0) -
     keyed = samples.withColumn("_order", draw_order("map_no", "r", "c", seed=seed)).withColumn(
         "_prefix", F.substring("_order", 1, 4)
     )
+    # Three units times 65536 prefixes at most, so these windows are small.
     hist = keyed.groupBy("label", "_prefix").agg(F.count(F.lit(1)).alias("n"))
-    total = hist.agg(F.sum("n")).scalar()
-    share = hist.agg(F.floor(F.lit(cap) / F.count_distinct("label"))).scalar()
-    upto = F.sum("n").over(Window.partitionBy("label").orderBy("_prefix"))
-    cuts = hist.withColumn("_before", upto - F.col("n")).where(F.col("_before") < share).groupBy("label").agg(
-        F.max("_prefix").alias("_cut")
-    )
-    near = keyed.join(cuts, "label").where((F.col("_prefix") <= F.col("_cut")) | (total <= cap))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("_order"))
-    over = near.where(total > cap).withColumn("_rank", rank).where(F.col("_rank") <= share)
-    under = keyed.where(total <= cap)
-    return under.select(*samples.columns).unionByName(over.select(*samples.columns))
+    unit = Window.partitionBy("label")
+    totals = hist.withColumns({
+        "_before": F.sum("n").over(unit.orderBy("_prefix")) - F.col("n"),
+        "_total": F.sum("n").over(Window.partitionBy(F.lit(0))),
+        "_units": F.size(F.collect_set("label").over(Window.partitionBy(F.lit(0)))),
+    }).withColumn("_share", F.when(F.col("_total") > cap, F.floor(F.lit(cap) / F.col("_units"))))
+    cuts = totals.where("_share is null or _before < _share").groupBy("label", "_share").agg(F.max("_prefix").alias("_cut"))
+    near = keyed.join(cuts, "label").where("_prefix <= _cut")
+    small = near.where("_share is null").select(*samples.columns)
+    rank = F.row_number().over(unit.orderBy("_order"))
+    large = near.where("_share is not null").withColumn("_rank", rank).where("_rank <= _share").select(*samples.columns)
+    return small.unionByName(large)
 
 
 def page(listing: DataFrame, order: list[str], number: int, size: int = PAGE_SIZE) -> DataFrame:

@@ -295,10 +295,10 @@ def leave_one_out(v: Views):
 def catalog_scan(v: Views):
     """Catalog files per site: whole-file lists, with broken and non-list files beside them."""
     path = scratch_path(v.spark, "catalogs")
-    entries = v.record.where("section is null or section <> 'PROMO'").select(
-        "manifest_folder", F.to_json(F.struct("working_dem", "section", "site", F.col("grp").alias("group"))).alias("entry"))
-    # A catalog file is one document, so it is split into files of at most a few thousand entries.
-    parts = entries.withColumn("part", F.pmod(F.xxhash64("entry"), F.lit(16))).groupBy("manifest_folder", "part").agg(F.collect_list("entry").alias("e"))
+    # A catalog file is one document: a new file every 5000 records keeps each one small.
+    entries = v.record.where("section is null or section <> 'PROMO'").withColumn("part", R.int_div(F.col("part_no"), 5000)).select(
+        "manifest_folder", "part", F.to_json(F.struct("working_dem", "section", "site", F.col("grp").alias("group"))).alias("entry"))
+    parts = entries.groupBy("manifest_folder", "part").agg(F.collect_list("entry").alias("e"))
     whole = parts.select("manifest_folder", F.concat(F.lit("["), F.array_join("e", ",\n"), F.lit("]")).alias("value"), F.concat(F.lit("p"), "part").alias("file"))
     broken = v.record.select("manifest_folder").distinct().select(
         "manifest_folder", F.explode(F.array(

@@ -50,9 +50,11 @@ def sky(name: str, source: str, value: str, px: float, max_m: float, n_ray: int)
     reach = max(max_m / px, 2)
     return f"""{name}_d AS (SELECT DISTINCT CAST(round_even(power(10.0::DOUBLE, i*log10({reach!r}::DOUBLE)/{n_ray - 1}),0) AS BIGINT) AS d FROM range(0,{n_ray}) q(i)),
     {name}_o AS (SELECT k, d, CAST(round_even(d*cos(2*pi()*k/16),0) AS BIGINT) AS dr, CAST(round_even(d*sin(2*pi()*k/16),0) AS BIGINT) AS dc FROM {name}_d, range(0,16) q(k) WHERE d>=1),
-    {name}_h AS (SELECT a.map_no, a.r, a.c, k, max((b.{value}-a.{value})/(d*{px!r}::DOUBLE)) AS h FROM {source} a JOIN {name}_o ON dr<>0 OR dc<>0
-      JOIN {source} b ON b.map_no=a.map_no AND b.r=a.r+dr AND b.c=a.c+dc GROUP BY 1,2,3,4),
-    {name} AS (SELECT a.map_no, a.r, a.c, (16-count(h.k)+coalesce(sum(1-sin(atan(greatest(0,h.h)))),0))/16 AS v FROM {source} a LEFT JOIN {name}_h h USING (map_no, r, c) GROUP BY 1,2,3)"""
+    {name}_p AS MATERIALIZED (SELECT (map_no*4096+r)*4096+c AS pid, CAST({value} AS DOUBLE) AS v FROM {source}),
+    {name}_h AS (SELECT gid, max(rise) AS h FROM (SELECT a.pid*16+a.k AS gid, (b.v-a.v)/(a.d*{px!r}::DOUBLE) AS rise
+      FROM (SELECT pid, v, k, d, pid+dr*4096+dc AS other FROM {name}_p, {name}_o WHERE dr<>0 OR dc<>0) a JOIN {name}_p b ON b.pid=a.other) GROUP BY 1),
+    {name}_m AS (SELECT gid//16 AS pid, count(*) AS n, sum(1-sin(atan(greatest(0,h)))) AS s FROM {name}_h GROUP BY 1),
+    {name} AS (SELECT p.pid//16777216 AS map_no, p.pid//4096%4096 AS r, p.pid%4096 AS c, (16-coalesce(n,0)+coalesce(s,0))/16 AS v FROM {name}_p p LEFT JOIN {name}_m m ON m.pid=p.pid)"""
 
 
 def zoomed(name: str, source: str, value: str, h: str, w: str, extra: str = "") -> str:

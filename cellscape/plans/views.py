@@ -353,7 +353,7 @@ class Views:
         return self.table("part").select(
             text_id("site_", k % 13).alias("manifest_folder"), dem.alias("working_dem"),
             F.when(size % 4 == 0, F.col("p_type")).when(size % 4 == 1, F.lit("")).alias("section"),
-            text_id("site_", k % 13).alias("site"), F.when(size % 3 == 0, F.col("p_brand")).alias("grp"),
+            text_id("site_", k % 13).alias("site"), F.when(size % 3 == 0, F.col("p_brand")).alias("grp"), k.alias("part_no"),
         )
 
     @cached_property
