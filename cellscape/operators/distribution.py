@@ -17,46 +17,57 @@ ACCURACY = 10000
 def exact_percentiles(px: DataFrame, keys: list[str], value: str, points: list[float]) -> DataFrame:
     """Linearly interpolated percentiles (0..1) per key, as q0, q1, ..., with n, lo and hi."""
     known = px.where(F.col(value).isNotNull())
-    hist = known.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     gap = 2.0 / ACCURACY
     near = sorted({min(1.0, max(0.0, p + d)) for p in points for d in (-gap, gap)})
-    cuts = known.groupBy(*keys).agg(
-        F.percentile_approx(value, near, ACCURACY).alias("_cuts"),
-        F.count(F.lit(1)).alias("_total"), F.min(value).alias("_lo"), F.max(value).alias("_hi"),
-    )
+    cuts = known.groupBy(*keys).agg(F.percentile_approx(value, near, ACCURACY).alias("_cuts"))
+    hist = known.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     bucket = F.size(F.filter("_cuts", lambda x: x < F.col("_v")))
-    placed = hist.join(cuts.select(*keys, "_cuts"), keys).select(*keys, "_v", "_n", bucket.alias("_b"))
-    # At most 2*len(points)+1 buckets per key.
-    sizes = placed.groupBy(*keys, "_b").agg(F.sum("_n").alias("_size"))
-    before = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_size")
-    sizes = sizes.withColumn("_before", before)
-    ranks = F.array(*[
-        F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("rank"))
-        for i, p in enumerate(points)
-    ])
-    wanted = (
-        cuts.select(*keys, "_total", F.explode(ranks).alias("_w"))
-        .select(*keys, F.col("_w.i").alias("_i"), F.floor("_w.rank").alias("_k"),
-                (F.col("_w.rank") - F.floor("_w.rank")).alias("_frac"), "_total")
-        .select(*keys, "_i", "_frac", F.explode(F.array("_k", F.least(F.col("_k") + 1, F.col("_total") - 1))).alias("_rank"), "_k")
+    placed = hist.join(cuts, keys).select(*keys, "_v", "_n", bucket.alias("_b"))
+
+    # Bucket sizes stay columns of one row per key; locating a rank is then a projection.
+    buckets = range(len(near) + 1)
+    stats = placed.groupBy(*keys).agg(
+        F.array(*[F.coalesce(F.sum(F.when(F.col("_b") == i, F.col("_n"))), F.lit(0)) for i in buckets]).alias("_sizes"),
+        F.sum("_n").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"),
+    )
+    ends = F.array(*[_total_of("_sizes", i + 1) for i in buckets])
+    ranked = []
+    for i, p in enumerate(points):
+        at = F.lit(float(p)) * (F.col("n") - 1)
+        first = F.floor(at)
+        for rank in (first, F.least(first + 1, F.col("n") - 1)):
+            ranked.append(F.struct(F.lit(i).alias("i"), rank.alias("rank"), (at - first).alias("frac"),
+                                   _buckets_before(rank).alias("b")))
+    wanted = stats.withColumn("_ends", ends).select(*keys, "_ends", F.explode(F.array(*ranked)).alias("_w"))
+    # At most two ranks per point share a bucket's row.
+    targets = wanted.groupBy(*keys, F.col("_w.b").alias("_b")).agg(
+        F.collect_list("_w").alias("_ranks"), F.first("_ends").alias("_ends")
     )
-    located = wanted.join(sizes, keys).where("_rank >= _before and _rank < _before + _size")
-    needed = located.select(*keys, "_b", "_before").distinct()
-    inner = placed.join(needed, [*keys, "_b"])
     upto = F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_v"))
-    ranked = inner.withColumn("_end", F.col("_before") + upto).withColumn("_start", F.col("_end") - F.col("_n"))
+    before = F.when(F.col("_b") > 0, F.get("_ends", F.col("_b") - 1)).otherwise(F.lit(0))
+    inside = (
+        placed.join(targets, [*keys, "_b"]).withColumn("_end", before + upto)
+        .select(*keys, "_v", "_n", "_end", F.explode("_ranks").alias("_w"))
+        .where("_w.rank >= _end - _n and _w.rank < _end")
+    )
     found = (
-        located.join(ranked.select(*keys, "_b", "_v", "_start", "_end"), [*keys, "_b"])
-        .where("_rank >= _start and _rank < _end")
-        .groupBy(*keys, "_i")
-        .agg(F.min("_v").alias("_a"), F.max("_v").alias("_z"), F.first("_frac").alias("_frac"))
+        inside.groupBy(*keys, F.col("_w.i").alias("_i"))
+        .agg(F.min("_v").alias("_a"), F.max("_v").alias("_z"), F.max("_w.frac").alias("_frac"))
         .select(*keys, "_i", (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_frac")).alias("_q"))
     )
     wide = found.groupBy(*keys).agg(*[
         F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"q{i}") for i in range(len(points))
     ])
-    ends = cuts.select(*keys, F.col("_total").alias("n"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))
-    return wide.join(ends, keys)
+    return wide.join(stats.select(*keys, "n", "lo", "hi"), keys)
+
+
+def _buckets_before(rank: Column) -> Column:
+    """How many buckets end at or before a zero-based rank: the bucket it falls in."""
+    return F.size(F.filter("_ends", lambda end: end <= rank))
+
+
+def _total_of(sizes: str, count: int) -> Column:
+    return F.aggregate(F.slice(sizes, 1, count), F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
 def robust_clip(px: DataFrame, value: str, low: float = 0.005, high: float = 0.995) -> DataFrame:

@@ -158,7 +158,8 @@ def tile_contexts(tiles: DataFrame) -> DataFrame:
         .select("component").distinct()
     )
     good = comp.join(clash, "component", "left_anti").select(F.col("node").alias("map_no"), F.col("component").alias("context"))
-    return on_lattice(tiles).join(good, "map_no").select("map_no", "context", "top", "left", "height", "width")
+    # A row per tile: as small as the catalog, and read by every later step.
+    return cut_lineage(on_lattice(tiles).join(good, "map_no").select("map_no", "context", "top", "left", "height", "width"))
 
 
 def dependency_levels(edges: DataFrame, nodes: DataFrame, max_rounds: int = 1000) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cellscape.functions.constants import GRID, MIN_PATCH, SURE
 from cellscape.operators.graph import component_sizes, grid_components
 from cellscape.operators.grid import CELL
+from cellscape.session import cut_lineage
 
 LAYOUT_RANK = {"current": 0, "mirrored": 1, "legacy": 2}
 META_RANK = {"catalog": 0, "legacy": 1, "mirrored": 2, "saved": 3, "draft": 4}
@@ -124,6 +125,7 @@ def painting_differences(draft: DataFrame, saved: DataFrame) -> DataFrame:
 
 def _with_small_holes(cells: DataFrame, patch: int) -> DataFrame:
     """Adds `small`: the cell lies in a gap of the region of fewer than `patch` cells."""
+    cells = cut_lineage(cells)
     gaps = grid_components(cells.withColumn("gap", F.when(~F.col("region"), F.lit(1))), "gap")
     small = component_sizes(gaps).where(F.col("cells") < patch)
     hole = gaps.join(small, ["map_no", "ri", "rj"], "left_semi").select(*CELL, F.lit(True).alias("small"))
@@ -135,7 +137,7 @@ def region_fill(suggested: DataFrame, seeds: DataFrame, patch: int = MIN_PATCH)
 
     suggested: map_no, ci, cj, code (0 = none) for the whole grid.  seeds: map_no, ci, cj.
     """
-    parts = grid_components(suggested, "code")
+    parts = cut_lineage(grid_components(suggested, "code"))
     seeded = (
         parts.join(seeds.select(*CELL), list(CELL), "left_semi").where("value > 0")
         .select("map_no", "ri", "rj").distinct()
@@ -153,7 +155,7 @@ def loop_fill(suggested: DataFrame, inside: DataFrame, unit: int, patch: int = M
         "inside", F.coalesce("inside", F.lit(False))
     )
     chosen = marked.withColumn("hit", F.when(F.col("inside") & (F.col("code") == unit), F.lit(1)))
-    parts = grid_components(chosen, "hit")
+    parts = cut_lineage(grid_components(chosen, "hit"))
     big = parts.join(component_sizes(parts).where(F.col("cells") >= patch), ["map_no", "ri", "rj"], "left_semi")
     region = marked.join(big.select(*CELL, F.lit(True).alias("region")), list(CELL), "left").withColumn(
         "region", F.coalesce("region", F.lit(False))

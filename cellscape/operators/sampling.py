@@ -75,10 +75,9 @@ def balanced_cap(samples: DataFrame, cap: int = MAX_TRAIN_ROWS, seed: int = 0) -
     }).withColumn("_share", F.when(F.col("_total") > cap, F.floor(F.lit(cap) / F.col("_units"))))
     cuts = totals.where("_share is null or _before < _share").groupBy("label", "_share").agg(F.max("_prefix").alias("_cut"))
     near = keyed.join(cuts, "label").where("_prefix <= _cut")
-    small = near.where("_share is null").select(*samples.columns)
     rank = F.row_number().over(unit.orderBy("_order"))
-    large = near.where("_share is not null").withColumn("_rank", rank).where("_rank <= _share").select(*samples.columns)
-    return small.unionByName(large)
+    kept = near.withColumn("_rank", rank).where("_share is null or _rank <= _share")
+    return kept.select(*samples.columns)
 
 
 def page(listing: DataFrame, order: list[str], number: int, size: int = PAGE_SIZE) -> DataFrame:
