@@ -69,7 +69,7 @@ def member_layers(members: DataFrame) -> DataFrame:
         .otherwise(product)
     )
     picked = coded.select("archive", "position", "member", "size", kind.alias("layer")).where("layer is not null")
-    # An archive lists at most a few members, so its window is small.
+    # An archive lists at most 100,000 entries, so its window is bounded.
     number = F.row_number().over(Window.partitionBy("archive", "layer").orderBy("position")) - 1
     return picked.withColumn("_n", number).withColumn(
         "layer", F.when(F.col("layer") == "evidence", F.format_string("evidence_%02d", F.col("_n").cast("int"))).otherwise(F.col("layer"))

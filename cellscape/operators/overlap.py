@@ -25,53 +25,50 @@ def _leveled(boxes: DataFrame, extra: list[str]) -> DataFrame:
 
 def _filed(boxes: DataFrame, levels: Column, prefix: str, extra: list[str]) -> DataFrame:
     """One row per lattice cell that a box touches on each of `levels`."""
-    at = boxes.withColumn("level", F.explode(levels)).withColumn("cell", F.pow(F.lit(2.0), F.col("level")))
+    size = F.pow(F.lit(2.0), F.col("level"))
 
     def span(lo: str, hi: str) -> Column:
-        return F.sequence(F.floor(F.col(lo) / F.col("cell")), F.floor(F.col(hi) / F.col("cell")))
-
-    return at.select(
-        *extra, "level", F.explode(span("l", "r")).alias("x"),
-        F.col("b").alias("_b"), F.col("t").alias("_t"), "cell",
-        F.struct(*BOX, "lvl").alias(prefix),
-    ).select(
-        *extra, "level", "x",
-        F.explode(F.sequence(F.floor(F.col("_b") / F.col("cell")), F.floor(F.col("_t") / F.col("cell")))).alias("y"),
-        "cell", prefix,
+        return F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
+
+    at = boxes.withColumn("level", F.explode(levels)).withColumn("x", F.explode(span("l", "r")))
+    return at.withColumn("y", F.explode(span("b", "t"))).select(
+        *extra, "level", "x", "y", F.struct(*BOX).alias(prefix)
     )
 
 
+def _sides(a: DataFrame, b: DataFrame, keys: list[str]) -> list[tuple[DataFrame, DataFrame]]:
+    """Both directions of the look-up: `a` in the lattices of larger `b`, and the reverse."""
+    pa, pb = _leveled(a, keys), _leveled(b, keys)
+    own = F.array("lvl")
+    # Binary exponents of box sizes: a few dozen values at most, whatever the row count.
+    seen_a = pa.withColumn("used", pb.agg(F.collect_set("lvl")).scalar())
+    seen_b = pb.withColumn("used", pa.agg(F.collect_set("lvl")).scalar())
+    return [
+        (_filed(seen_a, F.filter("used", lambda v: v >= F.col("lvl")), "p", keys), _filed(pb, own, "q", keys)),
+        (_filed(pa, own, "p", keys), _filed(seen_b, F.filter("used", lambda v: v > F.col("lvl")), "q", keys)),
+    ]
+
+
+def _meets(p: Column, q: Column, inclusive: bool) -> Column:
+    if inclusive:
+        return (p["l"] <= q["r"]) & (p["r"] >= q["l"]) & (p["b"] <= q["t"]) & (p["t"] >= q["b"])
+    return (p["l"] < q["r"]) & (p["r"] > q["l"]) & (p["b"] < q["t"]) & (p["t"] > q["b"])
+
+
 def geometry_pairs(a: DataFrame, b: DataFrame, inclusive: bool, keys: list[str] | None = None) -> DataFrame:
     """Overlapping pairs of distinct boxes as structs `p` and `q` (plus the equality keys)."""
     keys = list(keys or [])
-    pa, pb = _leveled(a, keys), _leveled(b, keys)
-    # Binary exponents of box sizes: a few dozen values at most, whatever the row count.
-    own = F.array("lvl")
-    pa2 = pa.withColumn("used", pb.agg(F.collect_set("lvl")).scalar())
-    pb2 = pb.withColumn("used", pa.agg(F.collect_set("lvl")).scalar())
-
-    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
-        joined = left.join(right.drop("cell"), [*keys, "level", "x", "y"])
-        p, q = F.col("p"), F.col("q")
-        if inclusive:
-            hit = (p["l"] <= q["r"]) & (p["r"] >= q["l"]) & (p["b"] <= q["t"]) & (p["t"] >= q["b"])
-        else:
-            hit = (p["l"] < q["r"]) & (p["r"] > q["l"]) & (p["b"] < q["t"]) & (p["t"] > q["b"])
-        # A pair is reported only in the cell of its lower-left common corner.
-        once = (F.floor(F.greatest(p["l"], q["l"]) / F.col("cell")) == F.col("x")) & (
-            F.floor(F.greatest(p["b"], q["b"]) / F.col("cell")) == F.col("y")
-        )
-        return joined.where(hit & once).select(*keys, "p", "q")
-
-    upward = meet(
-        _filed(pa2, F.filter("used", lambda v: v >= F.col("lvl")), "p", keys),
-        _filed(pb, own, "q", keys),
+    p, q = F.col("p"), F.col("q")
+    size = F.pow(F.lit(2.0), F.col("level"))
+    # A pair is reported only in the cell of its lower-left common corner.
+    once = (F.floor(F.greatest(p["l"], q["l"]) / size) == F.col("x")) & (
+        F.floor(F.greatest(p["b"], q["b"]) / size) == F.col("y")
     )
-    downward = meet(
-        _filed(pa, own, "p", keys),
-        _filed(pb2, F.filter("used", lambda v: v > F.col("lvl")), "q", keys),
+    up, down = (
+        left.join(right, [*keys, "level", "x", "y"]).where(_meets(p, q, inclusive) & once).select(*keys, "p", "q")
+        for left, right in _sides(a, b, keys)
     )
-    return upward.unionByName(downward)
+    return up.unionByName(down)
 
 
 def _corners(name: str) -> list[Column]:
@@ -93,9 +90,18 @@ def overlap_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, inclusive: b
 
 
 def overlapping(a: DataFrame, b: DataFrame, inclusive: bool, keys: list[str] | None = None) -> DataFrame:
-    """Rows of `a` that overlap any row of `b`; no pair of ids is ever formed."""
+    """Rows of `a` that overlap any row of `b`.  A semi join stops at a box's first hit, so
+    crowded ground costs no more than its boxes; no pair is ever formed."""
     keys = list(keys or [])
-    touched = geometry_pairs(a, b, inclusive, keys).select(*keys, *_corners("p")).distinct()
+    hits = []
+    for left, right in _sides(a, b, keys):
+        l, r = left.alias("l"), right.alias("r")
+        same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*keys, "level", "x", "y"]]
+        test = _meets(F.col("l.p"), F.col("r.q"), inclusive)
+        for part in same:
+            test = test & part
+        hits.append(l.join(r, test, "left_semi").select(*keys, *_corners("p")))
+    touched = hits[0].unionByName(hits[1]).distinct()
     cast = a.withColumns({x: F.col(x).cast("double") for x in BOX})
     return cast.join(touched, [*keys, *BOX], "left_semi").select(*a.columns)
 
