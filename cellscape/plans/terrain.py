@@ -112,7 +112,7 @@ def slope(v: Views):
 
 @query("N2_gaussian", f"WITH {axis_weights('k', 3.0)}, {smoothed('g', 'pixel', 'raw', 'k', 'k')} SELECT map_no, r, c, CAST(round(v*1000) AS BIGINT) AS smooth FROM g", "pixel shape")
 def gaussian(v: Views):
-    return stencil.gaussian(v.pixel, "raw", 3.0, block=24).select(*KEY, *milli("smooth"))
+    return stencil.gaussian(v.pixel, "raw", 3.0, block=32).select(*KEY, *milli("smooth"))
 
 
 @query("N3_local_deviation", f"WITH sq AS (SELECT *, raw*raw AS raw2 FROM pixel), {axis_weights('k', 2.0)}, {smoothed('a', 'sq', 'raw', 'k', 'k')}, {smoothed('b', 'sq', 'raw2', 'k', 'k')} "
@@ -140,12 +140,12 @@ def scene_height(v: Views):
 @query("N5_curvature", f"WITH {axis_weights('k', sigma(CURV_M))}, {axis_weights('k2', sigma(CURV_M), True)}, {smoothed('a', 'pixel', 'raw', 'k2', 'k')}, {smoothed('b', 'pixel', 'raw', 'k', 'k2')} "
        f"SELECT map_no, r, c, CAST(round((a.v+b.v)/{PX * PX}*1000) AS BIGINT) AS curv FROM a JOIN b USING (map_no, r, c)", "pixel shape")
 def curvature(v: Views):
-    return stencil.curvature(v.pixel, "raw", PX, block=32).select(*KEY, *milli("curv"))
+    return stencil.curvature(v.pixel, "raw", PX).select(*KEY, *milli("curv"))
 
 
 @query("N6_sky_view_local", f"WITH {sky('s', 'pixel', 'raw', PX, SKY_LOCAL_M, 16)} SELECT map_no, r, c, CAST(round(v*1000) AS BIGINT) AS svf FROM s", "pixel")
 def sky_view_local(v: Views):
-    return stencil.sky_view(v.pixel, "raw", PX, SKY_LOCAL_M, 16, 1, block=32).select(*KEY, *milli("svf"))
+    return stencil.sky_view(v.pixel, "raw", PX, SKY_LOCAL_M, 16, 1).select(*KEY, *milli("svf"))
 
 
 @query("N6_sky_view_wide", f"WITH {wide_sky('s', 'pixel', 'raw')} SELECT map_no, r, c, CAST(round(v*1000) AS BIGINT) AS svf FROM s", "pixel")
@@ -168,12 +168,12 @@ def nearest_fill(v: Views):
        """SELECT map_no, r, c, CAST(round(1000*greatest(0,least(1, sin(radians(25))*cos(sl)+cos(radians(25))*sin(sl)*cos(radians(315)-asp)))) AS BIGINT) AS shade
        FROM (SELECT map_no, r, c, atan(sqrt(gx*gx+gy*gy)) AS sl, atan2(-gy,gx) AS asp FROM grad)""", "pixel shape")
 def hillshade(v: Views):
-    return stencil.hillshade(v.pixel, "raw", PX, block=30).select(*KEY, *milli("shade"))
+    return stencil.hillshade(v.pixel, "raw", PX).select(*KEY, *milli("shade"))
 
 
 @query("N11_terrain_features", f"WITH {FEATURES} SELECT map_no, r, c, {SIX_SQL} FROM feat", "pixel shape")
 def terrain_features(v: Views):
-    return stencil.terrain_features(v.pixel, "z", PX, block=32).select(*KEY, *milli(*SIX))
+    return stencil.terrain_features(v.pixel, "z", PX).select(*KEY, *milli(*SIX))
 
 
 @query("N12_context_features", f"WITH {FEATURES} SELECT map_no*2+c//32 AS map_no, r, c%32 AS c, {SIX_SQL} FROM feat", "pixel shape")
