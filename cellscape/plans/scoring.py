@@ -131,8 +131,9 @@ PLAN = f"""{MEMORY}, sel AS (SELECT DISTINCT user_id//16+CASE WHEN event_id%50=0
     plan AS (SELECT s.map_no, coalesce(c.grp, CAST(s.map_no AS VARCHAR)) AS grp, CASE WHEN coalesce(m.verified,false) THEN 'leave-one-map-out' ELSE 'painted-holdout' END AS mode,
       (SELECT count(*) FILTER (WHERE verified) FROM mem)-CASE WHEN coalesce(m.verified,false) THEN 1 ELSE 0 END AS train_maps,
       (SELECT count(*) FILTER (WHERE NOT verified) FROM mem)+CASE WHEN coalesce(m.verified,false) THEN 1 ELSE 0 END AS excluded_maps,
-      CAST((SELECT sum(rows) FROM mem WHERE verified)-CASE WHEN coalesce(m.verified,false) THEN m.rows ELSE 0 END AS BIGINT) AS train_rows,
-      CASE WHEN NOT coalesce(c.available,false) THEN coalesce(c.reason,'no painted labels') END AS reason
+      CAST(coalesce((SELECT sum(rows) FROM mem WHERE verified),0)-CASE WHEN coalesce(m.verified,false) THEN m.rows ELSE 0 END AS BIGINT) AS train_rows,
+      CASE WHEN NOT coalesce(c.available,false) THEN coalesce(c.reason,'no painted labels')
+           WHEN coalesce((SELECT sum(rows) FROM mem WHERE verified),0)-CASE WHEN coalesce(m.verified,false) THEN m.rows ELSE 0 END=0 THEN 'no verified training samples remain' END AS reason
       FROM sel s LEFT JOIN ecat c USING (map_no) LEFT JOIN mem m USING (map_no))"""
 
 

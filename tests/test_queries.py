@@ -21,6 +21,10 @@ def test_matches_sql(spark, tables, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs_without_sql(spark, tables, name):
     assert name in SLOW
+    if name == "E9_leave_one_out":       # one map only: nothing is left to learn from
+        with pytest.raises(ValueError, match="no fold"):
+            QUERIES[name](spark, tables)
+        return
     df = QUERIES[name](spark, tables)
     assert df.columns and df.count() > 0
 

@@ -155,3 +155,21 @@ def test_stroke_stream_equals_the_batch_fold(spark, tmp_path):
         assert sorted(spark.table("strokes_seen").collect()) == sorted(folded_strokes(log).collect())
     finally:
         running.stop()
+
+
+def test_leave_one_out_trains_on_the_other_maps(spark):
+    """Each map is scored by what the others teach: swapped labels on one map show up."""
+    from cellscape.functions.constants import BASE_FEATURES
+    from cellscape.operators import evaluate, grid
+
+    px = spark.range(3 * 64).select(
+        F.floor(F.col("id") / 64).alias("map_no"), F.floor(F.col("id") % 64 / 8).alias("r"), (F.col("id") % 8).alias("c"),
+        F.lit(8).cast("bigint").alias("height"), F.lit(8).cast("bigint").alias("width"))
+    px = px.withColumns({n: (F.col("c") % 2).cast("double") for n in BASE_FEATURES})
+    cells = grid.with_cells(px, 8).select("map_no", "ci", "cj", (1 + F.col("cj") % 2).cast("int").alias("right")).withColumn(
+        "code", F.when(F.col("map_no") < 2, F.col("right")).otherwise(3 - F.col("right")))
+    samples = grid.with_cells(px, 8).join(cells.select("map_no", "ci", "cj", F.col("code").alias("label")), ["map_no", "ci", "cj"]).withColumn("w", F.lit(1.0))
+    plan = spark.createDataFrame([(0, None), (2, None), (1, "left out")], "map_no bigint, reason string")
+    got = {r["map_no"]: r for r in evaluate.leave_one_out(px, samples.where("map_no <> 0 or label > 0"), plan, model.forest(num_trees=5, max_depth=2), BASE_FEATURES, cells, 8).collect()}
+    assert set(got) == {0, 2}
+    assert got[2]["m12"] + got[2]["m21"] == 64           # the first two maps agree against the third
