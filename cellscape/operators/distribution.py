@@ -30,7 +30,7 @@ def exact_percentiles(px: DataFrame, keys: list[str], value: str, points: list[f
         F.array(*[F.coalesce(F.sum(F.when(F.col("_b") == i, F.col("_n"))), F.lit(0)) for i in buckets]).alias("_sizes"),
         F.sum("_n").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"),
     )
-    ends = F.array(*[_total_of("_sizes", i + 1) for i in buckets])
+    ends = F.transform(F.sequence(F.lit(1), F.size("_sizes")), lambda i: _total_of("_sizes", i))
     ranked = []
     for i, p in enumerate(points):
         at = F.lit(float(p)) * (F.col("n") - 1)
@@ -66,7 +66,7 @@ def _buckets_before(rank: Column) -> Column:
     return F.size(F.filter("_ends", lambda end: end <= rank))
 
 
-def _total_of(sizes: str, count: int) -> Column:
+def _total_of(sizes: str, count: Column) -> Column:
     return F.aggregate(F.slice(sizes, 1, count), F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
