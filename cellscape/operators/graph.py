@@ -16,44 +16,46 @@ from pyspark.sql import functions as F
 
 from cellscape.functions.constants import GRID
 from cellscape.operators.overlap import overlap_pairs
-from cellscape.session import cut_lineage
+from cellscape.session import cut_lineage, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
-    """Smallest node of every component: (node, component).
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+    """Smallest node of every component: (node, component), for every node that an edge names.
 
-    Minimum labels hook whole trees at once and pointers are halved each round, so long
-    chains need a logarithmic number of rounds.  A hub's edges are only ever reduced by
-    `min`, which combines before the shuffle.
+    The graph is contracted: each node points to its smallest neighbour, edges are renamed
+    by those pointers, and what still joins two names goes into the next round.  Odd rounds
+    order nodes by a hash, so that a long chain also loses a constant share of its nodes
+    in each round.  A hub's edges are only reduced by `min`, which combines before the
+    shuffle, and met in joins against a written table, whose skew Spark can split.
+    NULL ends are no nodes; an edge from a node to itself only names it.
     """
-    both = edges.select(F.col(u).alias("a"), F.col(v).alias("b"))
-    both = cut_lineage(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(
-        F.col("a").alias("node"), F.least("a", "m").alias("parent")
+    rest = stored(
+        edges.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct()
     )
-    labels = cut_lineage(labels)
-    for _ in range(max_rounds):
-        told = (
-            both.join(labels.select(F.col("node").alias("b"), F.col("parent").alias("p")), "b")
-            .groupBy("a").agg(F.min("p").alias("m"))
-        )
-        seen = labels.join(told, labels["node"] == told["a"], "left").select(
-            "node", "parent", F.least("parent", F.coalesce("m", "parent")).alias("low")
-        )
-        hooked = seen.groupBy("parent").agg(F.min("low").alias("h"))
-        moved = seen.join(hooked, "parent").select("node", F.col("parent").alias("old"), F.least("low", "h").alias("up"))
-        moved = cut_lineage(moved)
-        jump = moved.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        new = cut_lineage(
-            moved.join(jump, "up", "left").select("node", "old", F.coalesce("top", "up").alias("parent"))
-        )
-        changed = new.where("parent <> old").limit(1).count()
-        labels = new.select("node", "parent")
-        if not changed:
-            return labels.select("node", F.col("parent").alias("component"))
-    raise RuntimeError("components did not settle")
+    names, rounds = None, 0
+    while True:
+        order = (lambda c: F.xxhash64(c, F.lit(rounds))) if rounds % 2 else (lambda c: c)
+        ends = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(
+            rest.select("a", F.col("a").alias("b")))
+        ends = ends.unionByName(rest.select(F.col("b").alias("a"), "b"))
+        point = stored(ends.groupBy("a").agg(F.min(F.struct(order(F.col("b")).alias("o"), "b")).alias("m"))
+                       .select(F.col("a").alias("node"), F.col("m.b").alias("up")))
+        if names is None:
+            names = point.select("node", F.col("up").alias("top"))
+        else:
+            names = stored(names.join(point.withColumnRenamed("node", "top"), "top", "left").select(
+                "node", F.coalesce("up", "top").alias("top")))
+        left = rest.join(point.select(F.col("node").alias("a"), F.col("up").alias("pa")), "a").join(
+            point.select(F.col("node").alias("b"), F.col("up").alias("pb")), "b")
+        rest = stored(left.where("pa <> pb").select(
+            F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        rounds += 1
+        if rest.isEmpty():
+            break
+    lowest = stored(names.groupBy("top").agg(F.min("node").alias("component")))
+    return names.join(lowest, "top").select("node", "component")
 
 
 def canonical_names(links: DataFrame) -> DataFrame:

@@ -53,3 +53,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for a written intermediate table, next to the checkpoints."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "part") -> DataFrame:
+    """Write to a fresh table in the shared folder and read it back.
+
+    A lost executor costs no earlier work, and Spark knows the size of what it reads next.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
