@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellscape.llm import ngram_join
+from cellscape.llm import mixing, ngram_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +42,28 @@ FROM s LEFT JOIN c ON len(s.sh) > 0 AND list_sort(s.sh) = c.sh LEFT JOIN m ON m.
 """)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
+@query("op9_mixing", r"""
+WITH d AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS key FROM documents),
+s AS (SELECT skey, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY skey),
+w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY skey) - 1) % 3 + 1] AS weight, 2 * words AS most FROM s),
+l AS (SELECT *, row_number() OVER o AS place, (1.5::DOUBLE * CAST(sum(words) OVER () AS BIGINT)
+        - coalesce(CAST(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0))
+        / CAST(sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS level
+      FROM w WINDOW o AS (ORDER BY most / weight, skey)),
+f AS (SELECT arg_min(level, place) AS level FROM l WHERE level * weight <= most),
+t AS (SELECT skey, words, least(CAST(most AS DOUBLE), f.level * weight) AS target FROM l, f),
+p AS (SELECT d.doc_id, d.size, t.words, t.target,
+        coalesce(CAST(sum(d.size) OVER (PARTITION BY skey ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS ahead
+      FROM d JOIN t USING (skey))
+SELECT doc_id, size, words AS source_size, target,
+  CAST(CASE WHEN words = 0 THEN 0 ELSE floor(target)::BIGINT // words * size
+    + least(greatest(floor(target)::BIGINT % words - ahead, 0), size) END AS BIGINT) AS taken
+FROM p
+""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
