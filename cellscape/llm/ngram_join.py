@@ -9,8 +9,11 @@ share one.  A part that is empty on both sides also agrees and says nothing: it
 out, `slack` more partitions make up for it, and a set with more empty parts than that goes
 on to another dealing of the domain.
 
-Sets that share signatures form clusters; within a cluster blocks of sets are compared with
-blocks, exactly, and only edges of a spanning forest come out.  Nothing is capped.
+The sets of a signature are first held against each other by counts of their shingles in
+fixed cells: the distance of the counts is never above the number of differences, so what
+it rules out is no link.  What is left forms clusters, in which blocks of sets are compared
+with blocks, exactly.  Both steps give back edges of spanning forests, not pairs.  Nothing
+is capped.
 """
 
 from __future__ import annotations
@@ -29,8 +32,10 @@ BLOCK_SHINGLES = 1 << 20   # and shingles
 LARGE = 512                # bands of larger sets use one cell a partition
 SCHEMES = 40               # dealings of the domain; the last one keeps empty parts
 FILTER_BITS = 1 << 24
+COUNT_CELLS = 128          # cells of the counts
+BUCKET = 512               # sets of a signature that are held against so many others at once
 
-SIGNATURES = "doc_id long, n_shingles long, h1 long, h2 long, sigs array<long>"
+SIGNATURES = "doc_id long, n_shingles long, h1 long, h2 long, counts binary, sigs array<long>"
 
 
 def shingles(raw, offsets, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,6 +148,16 @@ def digests(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
             tokens.mix(sums(owner, tokens.mix(flat ^ tokens.BASE), n) + size * np.uint64(7)))
 
 
+def counts(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Of each set, how many shingles fall into each of the fixed cells (16 bits each)."""
+    n = len(offsets) - 1
+    cell = (tokens.mix(flat + tokens.BASE) >> np.uint64(40)).astype(np.int64) % COUNT_CELLS
+    held = np.bincount(np.repeat(np.arange(n), np.diff(offsets)) * COUNT_CELLS + cell, minlength=n * COUNT_CELLS)
+    data = np.minimum(held, 65535).astype(np.uint16).tobytes()
+    ends = np.arange(n + 1, dtype=np.int32) * (2 * COUNT_CELLS)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
 def list_array(owner: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
     order = np.argsort(owner, kind="stable")
     ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)
@@ -176,8 +191,8 @@ def _signed(n: int, num: int, den: int):
                     sigs = np.concatenate([sigs[new_sig], link, link])
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(at, len(piece)), pa.array(np.diff(ends)),
-                    pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), list_array(rows, sigs, len(piece)),
-                ], names=["doc_id", "n_shingles", "h1", "h2", "sigs"])
+                    pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), counts(flat, ends), list_array(rows, sigs, len(piece)),
+                ], names=["doc_id", "n_shingles", "h1", "h2", "counts", "sigs"])
     return run
 
 
@@ -255,6 +270,51 @@ def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.
     return np.concatenate([left[up], right[at]]), np.concatenate([left[a[up]], left[b[at]]])
 
 
+def _possible(num: int, den: int):
+    """Of each group of rows (bucket, i, j) with sets' counts: edges between sets that may link."""
+    def within(h1, block, size, held):
+        i, j = block.min(), block.max()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        linked = np.empty((len(left), len(right)), dtype=bool)
+        for k, a in enumerate(left):
+            apart = np.abs(held[right] - held[a]).sum(axis=1)
+            linked[k] = apart * (den + num) <= (den - num) * (size[right] + size[a])
+        return forest(linked, h1[left], h1[right])
+
+    def run(parts):
+        rest = None
+        for batch in parts:
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+            keys = [rest.column(c).to_numpy() for c in ("bucket", "i", "j")]
+            cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            if not len(cut):
+                continue
+            yield from edges(rest.slice(0, int(cut[-1])), cut)
+            rest = rest.slice(int(cut[-1])).combine_chunks()
+        if rest is not None and len(rest):
+            keys = [rest.column(c).to_numpy() for c in ("bucket", "i", "j")]
+            cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            yield from edges(rest, np.append(cut, len(rest)))
+
+    def edges(table, cut):
+        h1, block, size = (table.column(c).to_numpy() for c in ("h1", "block", "n_shingles"))
+        held = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype=np.uint16).reshape(len(table), COUNT_CELLS).astype(np.int32)
+        starts = np.concatenate([[0], cut[:-1]])
+        two = starts[cut - starts == 2]
+        apart = np.abs(held[two] - held[two + 1]).sum(axis=1)
+        ok = two[apart * (den + num) <= (den - num) * (size[two] + size[two + 1])]
+        u, v = [h1[ok]], [h1[ok + 1]]
+        for a, b in zip(starts, cut):
+            if b - a > 2:
+                x, y = within(h1[a:b], block[a:b], size[a:b], held[a:b])
+                u.append(x)
+                v.append(y)
+        u, v = np.concatenate(u), np.concatenate(v)
+        yield pa.RecordBatch.from_arrays([pa.array(u[u != v], pa.int64()), pa.array(v[u != v], pa.int64())], names=["u", "v"])
+    return run
+
+
 def _compare(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
@@ -287,10 +347,21 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     classes = stored(heads.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(
         F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles")), "classes")
 
+    # The sets of every signature that more than one has; signatures of the same sets are one bucket.
     sigs = signed.where("size(sigs) > 0").select("h1", F.explode("sigs").alias("sig"))
-    hub = F.min("h1").over(Window.partitionBy("sig"))
-    near = sigs.select("h1", hub.alias("hub")).where("h1 <> hub").distinct()
-    clusters = stored(connected_components(near, "h1", "hub"), "clusters")
+    by = Window.partitionBy("sig")
+    shared_by = sigs.select("sig", "h1", F.min("h1").over(by).alias("low"), F.max("h1").over(by).alias("high")).where("low < high")
+    shared_by = shared_by.select("sig", "h1").dropDuplicates()
+    buckets = shared_by.select("h1", F.count(F.lit(1)).over(by).alias("m"), F.bit_xor(F.xxhash64("h1")).over(by).alias("bucket"))
+    buckets = stored(buckets.distinct(), "buckets")
+    held = signed.where("n_shingles > 0").groupBy("h1").agg(F.first("n_shingles").alias("n_shingles"), F.first("counts").alias("counts"))
+    held = stored(held.join(buckets.select("h1").distinct(), "h1", "left_semi"), "counts")
+    dealt = buckets.withColumn("blocks", F.ceil(F.col("m") / BUCKET)).withColumn("block", F.pmod(F.xxhash64("h1"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        F.xxhash64("bucket", "m").alias("bucket"), "h1", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = dealt.join(held, "h1").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    near = dealt.mapInArrow(_possible(num, den), "u long, v long").distinct()
+    clusters = stored(connected_components(near), "clusters")
 
     nodes = stored(classes.join(clusters.withColumnRenamed("node", "h1"), "h1").select(
         "rep", "h1", "h2", "n_shingles", F.col("component").alias("cluster")), "nodes")

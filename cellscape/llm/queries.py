@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellscape.llm import mixing, ngram_join, warc
+from cellscape.llm import mixing, ngram_join, pii, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,9 @@ SELECT page_id, payload_bytes, payload_digest,
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_archives(table(spark, sf_dir, "pages"), warc.archive_folder(spark), least=0)
     return warc.read_records(index, with_payload=False).drop("url")
+
+
+@query("op8_pii")  # the trees' extra spans have no SQL; tests compare the base with brute force
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digest(pii.find(docs, pii.fit(docs)))
