@@ -35,7 +35,7 @@ FILTER_BITS = 1 << 24
 COUNT_CELLS = 128          # cells of the counts
 BUCKET = 512               # sets of a signature that are held against so many others at once
 
-SIGNATURES = "doc_id long, n_shingles long, h1 long, h2 long, counts binary, sigs array<long>"
+HEADS = "doc_id long, n_shingles long, h1 long, h2 long, counts binary"
 
 
 def shingles(raw, offsets, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,16 +164,27 @@ def list_array(owner: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[order].view(np.int64)))
 
 
-def _signed(n: int, num: int, den: int):
+def _heads(n: int):
     def run(parts):
         for batch in parts:
             table = pa.Table.from_batches([batch])
-            text = table.column("text").combine_chunks()
             ids = table.column("doc_id").combine_chunks()
-            for at, piece in tokens.batches(text):
-                raw, offsets = tokens.flat_bytes(piece)
-                flat, ends = shingles(raw, offsets, n)
+            for at, piece in tokens.batches(table.column("text").combine_chunks()):
+                flat, ends = shingles(*tokens.flat_bytes(piece), n)
                 h1, h2 = digests(flat, ends)
+                yield pa.RecordBatch.from_arrays([
+                    ids.slice(at, len(piece)), pa.array(np.diff(ends)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
+                    counts(flat, ends)], names=["doc_id", "n_shingles", "h1", "h2", "counts"])
+    return run
+
+
+def _signed(n: int, num: int, den: int):
+    def run(parts):
+        for batch in parts:
+            text = pa.Table.from_batches([batch]).column("text").combine_chunks()
+            for at, piece in tokens.batches(text):
+                flat, ends = shingles(*tokens.flat_bytes(piece), n)
+                h1, _ = digests(flat, ends)
                 rows, sigs = signatures(flat, ends, num, den)
                 # Copies in the batch say the same, so one of them speaks; of sets that share a
                 # signature here one goes on under it, and the others under a name of their own
@@ -189,10 +200,7 @@ def _signed(n: int, num: int, den: int):
                     link = tokens.mix(tokens.mix(name[twin]) + name[head[twin]] * np.uint64(3))
                     rows = np.concatenate([rows[new_sig], rows[twin], rows[head[twin]]])
                     sigs = np.concatenate([sigs[new_sig], link, link])
-                yield pa.RecordBatch.from_arrays([
-                    ids.slice(at, len(piece)), pa.array(np.diff(ends)),
-                    pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), counts(flat, ends), list_array(rows, sigs, len(piece)),
-                ], names=["doc_id", "n_shingles", "h1", "h2", "counts", "sigs"])
+                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), list_array(rows, sigs, len(piece))], names=["h1", "sigs"])
     return run
 
 
@@ -342,19 +350,20 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(texts.mapInArrow(_signed(n, num, den), SIGNATURES), "signed")
-    heads = signed.select("doc_id", "n_shingles", "h1", "h2")
+    headed = stored(texts.mapInArrow(_heads(n), HEADS), "heads")
+    heads = headed.select("doc_id", "n_shingles", "h1", "h2")
     classes = stored(heads.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(
         F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles")), "classes")
 
     # The sets of every signature that more than one has; signatures of the same sets are one bucket.
-    sigs = signed.where("size(sigs) > 0").select("h1", F.explode("sigs").alias("sig"))
+    signed = texts.select("text").mapInArrow(_signed(n, num, den), "h1 long, sigs array<long>")
+    sigs = signed.select("h1", F.explode("sigs").alias("sig"))
     by = Window.partitionBy("sig")
     shared_by = sigs.select("sig", "h1", F.min("h1").over(by).alias("low"), F.max("h1").over(by).alias("high")).where("low < high")
     shared_by = shared_by.select("sig", "h1").dropDuplicates()
     buckets = shared_by.select("h1", F.count(F.lit(1)).over(by).alias("m"), F.bit_xor(F.xxhash64("h1")).over(by).alias("bucket"))
     buckets = stored(buckets.distinct(), "buckets")
-    held = signed.where("n_shingles > 0").groupBy("h1").agg(F.first("n_shingles").alias("n_shingles"), F.first("counts").alias("counts"))
+    held = headed.where("n_shingles > 0").groupBy("h1").agg(F.first("n_shingles").alias("n_shingles"), F.first("counts").alias("counts"))
     held = stored(held.join(buckets.select("h1").distinct(), "h1", "left_semi"), "counts")
     dealt = buckets.withColumn("blocks", F.ceil(F.col("m") / BUCKET)).withColumn("block", F.pmod(F.xxhash64("h1"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
