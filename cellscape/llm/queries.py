@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellscape.llm import mixing, ngram_join, pii, quality, toxicity, warc
+from cellscape.llm import html_extract, licenses, mixing, ngram_join, pii, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +100,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op7_licenses", licenses.sql())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.recognise(table(spark, sf_dir, "documents"))
+
+
+@query("op1_html")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
