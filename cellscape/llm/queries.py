@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellscape.llm import html_extract, licenses, mixing, ngram_join, pii, quality, toxicity, warc
+from cellscape.llm import embeddings, html_extract, licenses, mixing, ngram_join, pii, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +110,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_html")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op10_embeddings", """
+WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+n AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS size FROM e WHERE list_dot_product(v, v) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+      WHERE list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.98),
+r AS (SELECT vec_id AS node, vec_id AS top FROM embeddings UNION SELECT r.node, l.w FROM r JOIN l ON l.u = r.top),
+c AS (SELECT node, min(top) AS top FROM r GROUP BY node), d AS (SELECT u, count(*) AS k FROM l GROUP BY u)
+SELECT vec_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links, c.top AS component_id, vec_id = c.top AS kept
+FROM embeddings JOIN c ON c.node = vec_id LEFT JOIN d ON d.u = vec_id
+""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))

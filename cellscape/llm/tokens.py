@@ -55,9 +55,14 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - (offsets[0] if len(offsets) else 0)
 
 
-def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+# For word matching that does not mind punctuation: every ASCII byte but letters and digits.
+PUNCTUATED = np.ones(256, dtype=bool)
+PUNCTUATED[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def word_bounds(raw: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (exclusive) of all words, and the first word of each row (n + 1)."""
-    gap = SEPARATOR[raw]
+    gap = separator[raw]
     edge = np.zeros(len(raw) + 1, dtype=bool)
     edge[offsets] = True  # a row's end also ends its last word
     before = np.empty(len(raw), dtype=bool)
