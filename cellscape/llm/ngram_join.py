@@ -403,3 +403,20 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     joined = heads.join(lead, ["h1", "h2"], "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).otherwise(
         F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The documents without near-duplicates: of every component the one with the smallest doc_id.
+
+    Of rows that repeat that doc_id one stays (the smallest text).  Rows without doc_id stay.
+    """
+    parts = stored(jaccard_components(docs, n, num, den), "components")
+    gone = stored(parts.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    kept = docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+    twice = stored(parts.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return kept
+    again = docs["doc_id"] == twice["doc_id"]
+    first = kept.join(twice, again, "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(
+        F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.coalesce("text", F.lit(""))).alias("_row")).select("_row.*")
+    return kept.join(twice, again, "left_anti").unionByName(first)

@@ -113,3 +113,9 @@ def score(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.7) -> DataF
     """
     rows = statistics(docs.select("doc_id", "text")).select("doc_id", model.score().alias("score"))
     return rows.select("doc_id", labelled.held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.7) -> DataFrame:
+    """The documents whose score reaches the threshold, with all their columns as they were."""
+    rows = statistics(docs.select("text", F.struct("*").alias("_row")))
+    return rows.where(model.score() >= threshold).select("_row.*")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellscape.llm import embeddings, html_extract, licenses, mixing, ngram_join, pii, quality, toxicity, warc
+from cellscape.llm import decontaminate, embeddings, html_extract, licenses, mixing, ngram_join, pii, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +125,8 @@ FROM embeddings JOIN c ON c.node = vec_id LEFT JOIN d ON d.u = vec_id
 """)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op3_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
