@@ -21,8 +21,8 @@ from cellscape.session import stored
 HALF = 20              # a passage is two halves of so many words, and the next one starts at its second
 SKETCH, RANK = 208, 200  # columns of the sketch, singular vectors that are kept
 RARE = 2.7             # inverse document frequency of the terms that count
-LEAST_TERMS = 3        # an item with fewer rare terms counts all its terms
-COSINE = 0.45          # of a candidate, between vectors scaled by the singular values
+LEAST_TERMS = 16       # the rarest terms of an item count in any case
+COSINE = 0.4           # of a candidate, between vectors scaled by the singular values
 SURE, LIKELY, ANSWER = 0.75, 0.6, 0.9
 ITEM_BLOCK = 5_000     # items that are searched for at once; more are searched block by block
 TERM_BLOCK = 256       # rows of the sketch that travel together
@@ -69,8 +69,7 @@ class Items:
         counted = idf >= RARE
         for words in self.words:
             own = np.searchsorted(self.terms, np.unique(words))
-            if counted[own].sum() < LEAST_TERMS:
-                counted[own] = True
+            counted[own[np.argsort(-idf[own], kind="stable")[:LEAST_TERMS]]] = True
         self.weight = np.where(counted, np.maximum(idf, 0.05), 0.0)
 
     def project(self) -> None:
@@ -196,8 +195,9 @@ def random_basis(n: int, seed: int) -> np.ndarray:
 def singular_vectors(sketch: np.ndarray, omega: np.ndarray) -> np.ndarray:
     """Leading right singular vectors over their values, from G @ omega for the Gram matrix G.
 
-    A Nystrom approximation.  Divided by the singular values, all directions count alike, so
-    that what a few items alone say is not drowned by what many passages share.
+    A Nystrom approximation.  Divided by the singular values, all directions count nearly
+    alike, so that what a few items alone say is not drowned by what many passages share; half
+    the middle value is added (as squares) to keep the least of them from being blown up.
     """
     shift = 1e-9 * max(np.linalg.norm(sketch), 1e-12)
     y = sketch + shift * omega
@@ -207,7 +207,8 @@ def singular_vectors(sketch: np.ndarray, omega: np.ndarray) -> np.ndarray:
     if not keep.any():
         return omega
     u, size, _ = np.linalg.svd(y @ (vectors[:, keep] / np.sqrt(values[keep])), full_matrices=False)
-    return u[:, :RANK] / np.maximum(size[:RANK], 1e-6 * size[0])
+    size = size[:RANK]
+    return u[:, :RANK] / np.sqrt(size**2 + (size[len(size) // 2] / 2) ** 2)
 
 
 def _found(shared):
