@@ -13,7 +13,6 @@ from cellscape.functions.constants import CODES, MIN_COVERAGE
 from cellscape.operators.grid import CELL, code_counts, most_common, with_cells
 from cellscape.operators.labels import sure_manual
 
-MAX_FOLDS = 10_000
 CONFUSION = [(t, p) for t in CODES for p in CODES]
 
 
@@ -75,13 +74,9 @@ def fold_plan(selected: DataFrame, catalog: DataFrame, samples: DataFrame) -> Da
     )
 
 
-def selected_folds(plan: DataFrame, most: int = MAX_FOLDS) -> list:
-    """Ids of the usable folds.  A person picks them and each costs a model, so a list
-    beyond `most` is a mistake and not data to work through."""
-    rows = plan.where("reason is null").select("map_no").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} folds selected")
-    return sorted(row["map_no"] for row in rows)
+def selected_folds(plan: DataFrame) -> list:
+    """Ids of the usable folds: as many as were asked for, each of which costs a model."""
+    return sorted(row["map_no"] for row in plan.where("reason is null").select("map_no").collect())
 
 
 def fold_members(plan: DataFrame, samples: DataFrame) -> DataFrame:
@@ -162,6 +157,11 @@ def confusion_rows(matrix: DataFrame, keys: list[str]) -> DataFrame:
     return matrix.select(*keys, F.inline(cells))
 
 
+def _sound(matrix: DataFrame, value: Column) -> Column:
+    """NULL where known truths lack a prediction: such a scope has no metrics."""
+    return F.when(F.col("violations") == 0, value) if "violations" in matrix.columns else value
+
+
 def _ratio(num: Column, den: Column) -> Column:
     return F.when(den > 0, num.cast("double") / den).otherwise(F.lit(0.0))
 
@@ -174,8 +174,8 @@ def class_metrics(matrix: DataFrame, keys: list[str]) -> DataFrame:
         support = sum((F.col(f"m{k}{p}") for p in CODES[1:]), F.col(f"m{k}{CODES[0]}"))
         predicted = sum((F.col(f"m{t}{k}") for t in CODES[1:]), F.col(f"m{CODES[0]}{k}"))
         out.append(F.struct(
-            F.lit(k).alias("class"), _ratio(tp, predicted).alias("precision"), _ratio(tp, support).alias("recall"),
-            _ratio(tp * 2, support + predicted).alias("f1"), _ratio(tp, support + predicted - tp).alias("iou"),
+            F.lit(k).alias("class"), *[_sound(matrix, _ratio(a, b)).alias(name) for name, a, b in (
+                ("precision", tp, predicted), ("recall", tp, support), ("f1", tp * 2, support + predicted), ("iou", tp, support + predicted - tp))],
             support.alias("support"),
         ))
     return matrix.select(*keys, F.inline(F.array(*out)))
@@ -190,19 +190,26 @@ def overall_metrics(matrix: DataFrame, keys: list[str]) -> DataFrame:
         support = sum((F.col(f"m{k}{p}") for p in CODES[1:]), F.col(f"m{k}{CODES[0]}"))
         predicted = sum((F.col(f"m{t}{k}") for t in CODES[1:]), F.col(f"m{CODES[0]}{k}"))
         f1.append(_ratio(F.col(f"m{k}{k}") * 2, support + predicted))
-    return matrix.select(*keys, n.alias("n"), _ratio(hits, n).alias("accuracy"), ((f1[0] + f1[1] + f1[2]) / 3).alias("macro_f1"))
+    return matrix.select(*keys, n.alias("n"), _sound(matrix, _ratio(hits, n)).alias("accuracy"),
+                         _sound(matrix, (f1[0] + f1[1] + f1[2]) / 3).alias("macro_f1"))
 
 
 def pooled(matrix: DataFrame) -> DataFrame:
     """The sum of the fold matrices."""
-    return matrix.agg(*[F.sum(f"m{a}{b}").alias(f"m{a}{b}") for a, b in CONFUSION])
+    return matrix.agg(*[F.sum(m).alias(m) for m in _counted(matrix)])
+
+
+def _counted(matrix: DataFrame) -> list[str]:
+    """The columns of a matrix that add up over scopes."""
+    return [f"m{a}{b}" for a, b in CONFUSION] + (["violations"] if "violations" in matrix.columns else [])
 
 
 def fold_summary(matrix: DataFrame, key: str = "map_no") -> DataFrame:
     """Pooled metrics next to the mean of the folds' own macro F1, in one pass."""
-    counts = [f"m{a}{b}" for a, b in CONFUSION]
+    counts = _counted(matrix)
     own = overall_metrics(matrix, [key, *counts])
-    both = own.agg(*[F.sum(m).alias(m) for m in counts], F.avg("macro_f1").alias("map_mean_macro_f1"))
+    mean = F.when(F.count("macro_f1") == F.count(F.lit(1)), F.avg("macro_f1"))
+    both = own.agg(*[F.sum(m).alias(m) for m in counts], mean.alias("map_mean_macro_f1"))
     return overall_metrics(both, ["map_mean_macro_f1"])
 
 

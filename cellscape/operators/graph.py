@@ -6,6 +6,7 @@ reliable checkpoint per round, so losing an executor never replays earlier round
 
 from __future__ import annotations
 
+import itertools
 import sys
 
 import numpy as np
@@ -70,7 +71,7 @@ def canonical_names(links: DataFrame) -> DataFrame:
     return comp.join(best, "component").select(F.col("node").alias("alias"), F.col("best.node").alias("canonical"))
 
 
-def blocked_maps(groups: DataFrame, tiles: DataFrame, held: DataFrame, max_rounds: int = 100) -> DataFrame:
+def blocked_maps(groups: DataFrame, tiles: DataFrame, held: DataFrame) -> DataFrame:
     """G3 (closure): maps and groups shut out by the held-out maps.
 
     groups: map_no, grp of every known map.  tiles: map_no, tile (tiles a sample was cut
@@ -81,7 +82,7 @@ def blocked_maps(groups: DataFrame, tiles: DataFrame, held: DataFrame, max_round
     tiles = cut_lineage(tiles.select("map_no", "tile").distinct())
     known = cut_lineage(held.select("map_no").distinct())
     frontier, blocked = known, None
-    for _ in range(max_rounds):
+    while True:  # every round adds maps or is the last
         own = frontier.join(groups, "map_no").select("grp")
         cut_from = tiles.join(frontier.select(F.col("map_no").alias("tile")), "tile", "left_semi")
         fresh = own.unionByName(cut_from.join(groups, "map_no").select("grp")).distinct()
@@ -94,23 +95,28 @@ def blocked_maps(groups: DataFrame, tiles: DataFrame, held: DataFrame, max_round
         blocked = fresh if blocked is None else cut_lineage(blocked.unionByName(fresh))
         if frontier.isEmpty():
             return known.select("map_no")
-    raise RuntimeError("exclusion did not settle")
 
 
 def retained_samples(samples: DataFrame, groups: DataFrame, tiles: DataFrame, held: DataFrame,
                      footprints: DataFrame) -> DataFrame:
     """Training samples left after keys, geographies, tiles and footprints are excluded.
 
-    footprints: map_no, crs, l, b, r, t of samples and held-out maps alike.
+    footprints: map_no, crs, l, b, r, t of samples and held-out maps alike.  What cannot be
+    placed cannot be cleared: a sample without CRS or bounds is not retained, and a
+    shut-out map without them is an error.
     """
-    from cellscape.operators.overlap import overlapping
+    from cellscape.operators.overlap import overlapping, placeable
 
-    first = blocked_maps(groups, tiles, held)
+    first = cut_lineage(blocked_maps(groups, tiles, held))
+    lost = footprints.where(~placeable()).join(first, "map_no", "left_semi").select("map_no").limit(1).collect()
+    if lost:
+        raise ValueError(f"held-out map {lost[0]['map_no']} has no usable footprint")
+    blind = samples.join(footprints.where(placeable()), "map_no", "left_anti").select("map_no")
     out = footprints.join(first, "map_no", "left_semi")
     rest = footprints.join(first, "map_no", "left_anti").join(samples.select("map_no"), "map_no", "left_semi")
     hit = overlapping(rest, out, True, ["crs"]).select("map_no")
     second = blocked_maps(groups, tiles, first.unionByName(hit))
-    return samples.join(second, "map_no", "left_anti")
+    return samples.join(second.unionByName(blind).distinct(), "map_no", "left_anti")
 
 
 def tile_adjacency(tiles: DataFrame) -> DataFrame:
@@ -164,7 +170,7 @@ def tile_contexts(tiles: DataFrame) -> DataFrame:
     return cut_lineage(on_lattice(tiles).join(good, "map_no").select("map_no", "context", "top", "left", "height", "width"))
 
 
-def dependency_levels(edges: DataFrame, nodes: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def dependency_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Build order of feature sources: (node, level); NULL level where a cycle blocks it.
 
     edges: node, dep.  Nodes whose sources are all built form the next level; what is
@@ -175,7 +181,7 @@ def dependency_levels(edges: DataFrame, nodes: DataFrame, max_rounds: int = 1000
         nodes.select("node").unionByName(left.select("node")).unionByName(left.select(F.col("dep").alias("node"))).distinct()
     )
     done = None
-    for level in range(max_rounds):
+    for level in itertools.count():
         ready = cut_lineage(todo.join(left.select("node"), "node", "left_anti"))
         if ready.isEmpty():
             break
@@ -183,8 +189,6 @@ def dependency_levels(edges: DataFrame, nodes: DataFrame, max_rounds: int = 1000
         done = step if done is None else done.unionByName(step)
         todo = cut_lineage(todo.join(ready, "node", "left_anti"))
         left = cut_lineage(left.join(ready.select(F.col("node").alias("dep")), "dep", "left_anti"))
-    else:
-        raise RuntimeError("dependency order did not settle")
     stuck = todo.withColumn("level", F.lit(None).cast("int"))
     return stuck if done is None else done.unionByName(stuck)
 
@@ -218,11 +222,11 @@ def _label_block(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def grid_components(cells: DataFrame, value: str, block: int = GRID, one_block: bool = True) -> DataFrame:
+def grid_components(cells: DataFrame, value: str, block: int = GRID) -> DataFrame:
     """G1: 4-neighbour components of equal, non-NULL values: adds (ri, rj), the root cell.
 
-    A painting has at most GRID*GRID cells and is labelled in one block.  Larger grids
-    pass one_block=False: blocks are labelled apart and joined through their borders.
+    Blocks are labelled apart and joined through their borders; where no equal cells meet
+    across a border (a painting of at most GRID*GRID cells has none) nothing is joined.
     """
     src = cells.where(F.col(value).isNotNull()).select(
         "map_no", F.col("ci").cast("bigint").alias("ci"), F.col("cj").cast("bigint").alias("cj"),
@@ -233,8 +237,6 @@ def grid_components(cells: DataFrame, value: str, block: int = GRID, one_block:
     parts = src.groupBy("map_no", F.floor(F.col("ci") / block), F.floor(F.col("cj") / block)).applyInPandas(
         _label_block, schema
     )
-    if one_block:
-        return parts
     parts = cut_lineage(parts)
     root = F.struct("map_no", "ri", "rj")
     rim = parts.select("map_no", "ci", "cj", "value", root.alias("u"))
@@ -245,6 +247,9 @@ def grid_components(cells: DataFrame, value: str, block: int = GRID, one_block:
         )
         met = rim.join(far, ["map_no", "ci", "cj", "value"]).select("u", "v").distinct()
         edges = met if edges is None else edges.unionByName(met)
+    edges = cut_lineage(edges)
+    if edges.isEmpty():
+        return parts
     merged = connected_components(edges)
     return (
         parts.withColumn("node", root).join(merged, "node", "left")

@@ -89,8 +89,9 @@ def fit(samples: DataFrame, estimator: Estimator, names: tuple[str, ...] = K.BAS
     The sample is capped by policy, so it is stored once and every pass of the learner
     reads it instead of sampling the pixels again.
     """
-    rows = cut_lineage(samples.where(all_finite(*names)).select("label", "w", *names))
-    counted = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(len(K.CODES) + 1).collect()
+    known = F.col("label").isin(*K.CODES) & all_finite(*names)   # other labels are no units
+    rows = cut_lineage(samples.where(known).select("label", "w", *names))
+    counted = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()
     counts = {r["label"]: r["n"] for r in counted}
     if len(counts) < 2:
         return Fitted(None, names, next(iter(counts), None))

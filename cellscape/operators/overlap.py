@@ -117,14 +117,23 @@ def held_out(extents: DataFrame, names: DataFrame, map_id: str = "map_no") -> Da
     return names.select(map_id).unionByName(near).distinct()
 
 
+def placeable() -> Column:
+    """CRS and all four bounds are known."""
+    known = F.col("crs").isNotNull()
+    for x in BOX:
+        known = known & F.col(x).isNotNull()
+    return known
+
+
 def footprint_conflicts(samples: DataFrame, held: DataFrame) -> DataFrame:
     """Samples whose footprint meets a held-out one, touching included.
 
-    Both sides: id, crs, l, b, r, t.  A missing CRS or bound is an error row.
+    Both sides: id, crs, l, b, r, t.  A missing CRS or bound is an error row, on the
+    held-out side too: against such a map no sample can be cleared.
     """
-    complete = F.col("crs").isNotNull() & F.col("l").isNotNull() & F.col("b").isNotNull() \
-        & F.col("r").isNotNull() & F.col("t").isNotNull()
-    bad = samples.where(~complete).select("id", F.lit("no usable footprint").alias("status"))
+    complete = placeable()
+    bad = samples.where(~complete).select("id", F.lit("no usable footprint").alias("status")).unionByName(
+        held.where(~complete).select("id", F.lit("held-out map without usable footprint").alias("status")))
     hit = overlapping(samples.where(complete), held.where(complete), True, ["crs"])
     return hit.select("id", F.lit("excluded").alias("status")).unionByName(bad)
 

@@ -78,9 +78,10 @@ def transported(features: DataFrame, claims: DataFrame, px: DataFrame, names: li
     """Features of declared sources on the target pixels; NULL outside their coverage
     and on the target's own holes.
 
-    features: map_no, r, c and names, already on the target grid.  claims with two
-    sources are an error, found by `overlap.contested_pixels`.
+    features: map_no, r, c and names, already on the target grid.  A pixel that two sources
+    claim gets features from neither: it is an error, told by `overlap.contested_pixels`.
     """
-    owned = claims.select("map_no", "r", "c", "source").join(features, ["map_no", "r", "c", "source"], "left")
+    sole = claims.groupBy("map_no", "r", "c").agg(F.min("source").alias("source"), F.max("source").alias("last"))
+    owned = sole.where("source = last").drop("last").join(features, ["map_no", "r", "c", "source"], "left")
     joined = px.select("map_no", "r", "c", "z").join(owned.drop("source"), ["map_no", "r", "c"], "left")
     return joined.select("map_no", "r", "c", *[F.when(F.col("z").isNotNull(), F.col(n)).alias(n) for n in names])

@@ -84,10 +84,11 @@ def structure_check(v: Views):
 
 @query("S10_file_inventory", """
     SELECT coalesce(d.doc_id,l.doc_id) AS path, CASE WHEN d.doc_id IS NULL THEN 'missing' ELSE 'unlisted' END AS problem
-    FROM (SELECT DISTINCT doc_id FROM documents WHERE n_chars>200) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id=l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL""")
+    FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT CASE WHEN doc_id%5=0 THEN -doc_id-1 ELSE doc_id END AS doc_id FROM labels) l ON d.doc_id=l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL""")
 def file_inventory(v: Views):
-    here = v.table("documents").where("n_chars > 200").select(F.col("doc_id").alias("path"))
-    return manifest.inventory_differences(here, v.table("labels").select(F.col("doc_id").alias("path")))
+    here = v.table("documents").select(F.col("doc_id").alias("path"))
+    listed = F.when(F.col("doc_id") % 5 == 0, -F.col("doc_id") - 1).otherwise(F.col("doc_id"))   # some names have no file
+    return manifest.inventory_differences(here, v.table("labels").select(listed.alias("path")))
 
 
 @query("S11_content_digests", "SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5, strlen(text) AS bytes FROM documents")
@@ -173,7 +174,7 @@ def manifest_consistency(v: Views):
     UNION ALL SELECT DISTINCT 'mask', 'map'||map_no, 'differs' FROM pixel WHERE (CASE WHEN r%37=5 AND map_no%3=1 THEN NOT (sfs IS NOT NULL AND nac IS NOT NULL) ELSE (sfs IS NOT NULL AND nac IS NOT NULL) END)<>(sfs IS NOT NULL AND nac IS NOT NULL)
     UNION ALL SELECT 'counts', 'map'||map_no, 'differs' FROM pixel GROUP BY map_no HAVING count(sfs)+CASE WHEN map_no%4=2 THEN 1 ELSE 0 END<>count(sfs)
     UNION ALL SELECT 'files', CAST(coalesce(d.doc_id,l.doc_id) AS VARCHAR), CASE WHEN d.doc_id IS NULL THEN 'missing' ELSE 'unlisted' END
-      FROM (SELECT doc_id FROM documents WHERE n_chars>200) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id=l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL
+      FROM (SELECT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT CASE WHEN doc_id%5=0 THEN -doc_id-1 ELSE doc_id END AS doc_id FROM labels) l ON d.doc_id=l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL
     UNION ALL SELECT 'digest', CAST(doc_id AS VARCHAR), 'modified' FROM documents WHERE doc_id%10=5""", "layout pixel")
 def region_verification(v: Views):
     wrong = (F.col("r") % 37 == 5) & (F.col("map_no") % 3 == 1)
@@ -254,15 +255,15 @@ def joined_tiles(v: Views):
     five, zero = F.lit(5.0), F.lit(0.0)
     x = (k % 10) * 64 + F.when(k % 37 == 5, -8).otherwise(0) + F.when(k % 29 == 3, 0.5).otherwise(0.0)
     y = R.int_div(k, 10) * 64
-    return v.table("supplier").where("s_nationkey % 4 <> 1").select(
-        k.alias("map_no"), F.when(k % 23 == 7, "other").otherwise("moon").alias("crs"),
+    return v.table("supplier").select(
+        k.alias("map_no"), F.when(F.col("s_nationkey") % 4 == 1, F.concat(F.lit("own"), k.cast("string"))).when(k % 23 == 7, "other").otherwise("moon").alias("crs"),
         F.lit(64).cast("bigint").alias("height"), F.when(k % 10 == 9, 20).otherwise(64).cast("bigint").alias("width"),
         F.array(five, zero, (x * 5).cast("double"), zero, -five, (y * -5).cast("double")).alias("transform"))
 
 
-TILE_SQL = """tile AS (SELECT s_suppkey AS map_no, CASE WHEN s_suppkey%23=7 THEN 'other' ELSE 'moon' END||CASE WHEN s_suppkey%29=3 THEN 'h' ELSE '' END AS lat,
+TILE_SQL = """tile AS (SELECT s_suppkey AS map_no, CASE WHEN s_nationkey%4=1 THEN 'own'||s_suppkey WHEN s_suppkey%23=7 THEN 'other' ELSE 'moon' END||CASE WHEN s_suppkey%29=3 THEN 'h' ELSE '' END AS lat,
       s_suppkey//10*64 AS t, s_suppkey%10*64+CASE WHEN s_suppkey%37=5 THEN -8 ELSE 0 END AS l, s_suppkey//10*64+64 AS b,
-      s_suppkey%10*64+CASE WHEN s_suppkey%37=5 THEN -8 ELSE 0 END+CASE WHEN s_suppkey%10=9 THEN 20 ELSE 64 END AS r FROM supplier WHERE s_nationkey%4<>1),
+      s_suppkey%10*64+CASE WHEN s_suppkey%37=5 THEN -8 ELSE 0 END+CASE WHEN s_suppkey%10=9 THEN 20 ELSE 64 END AS r FROM supplier),
     link AS (SELECT a.map_no AS a, b.map_no AS b, least(a.r,b.r)>greatest(a.l,b.l) AND least(a.b,b.b)>greatest(a.t,b.t) AS clash FROM tile a JOIN tile b ON a.lat=b.lat AND a.map_no<>b.map_no
       AND ((least(a.b,b.b)>greatest(a.t,b.t) AND least(a.r,b.r)>=greatest(a.l,b.l)) OR (least(a.b,b.b)>=greatest(a.t,b.t) AND least(a.r,b.r)>greatest(a.l,b.l))))"""
 
@@ -328,7 +329,7 @@ def cell_components(v: Views):
 @query("G1_blocked_components", f"WITH RECURSIVE {SUGGESTED}, {_walk('comp', 'sug', 'code')} SELECT map_no, x//16 AS ci, x%16 AS cj, root AS root FROM comp", "pixel")
 def blocked_components(v: Views):
     """The same components through blocks of five cells that are joined at their borders."""
-    parts = graph.grid_components(suggested(v), "code", block=5, one_block=False)
+    parts = graph.grid_components(suggested(v), "code", block=5)
     low = parts.groupBy("map_no", "ri", "rj").agg(F.min(F.col("ci") * 16 + F.col("cj")).alias("root"))
     return parts.join(low, ["map_no", "ri", "rj"]).select("map_no", "ci", "cj", "root")
 

@@ -144,14 +144,14 @@ def label_merge(v: Views):
 
 
 @query("N13_widen_stroke", """
-    WITH s AS (SELECT user_id//16 AS map_no, user_id AS stroke_id, (event_id*5)%8 AS ci, (event_id*3)%8 AS cj FROM events WHERE event_type='click' GROUP BY ALL),
+    WITH s AS (SELECT user_id//16 AS map_no, user_id||event_type AS stroke_id, (event_id*5)%8 AS ci, (event_id*3)%8 AS cj FROM events GROUP BY ALL),
     box AS (SELECT map_no, stroke_id, count(*)*4 < (max(ci)-min(ci)+1)*(max(cj)-min(cj)+1) AS thin FROM s GROUP BY 1,2)
     SELECT DISTINCT map_no, stroke_id, ci+di AS ci, cj+dj AS cj FROM s JOIN box USING (map_no, stroke_id),
       (VALUES (0,0),(1,0),(-1,0),(0,1),(0,-1)) d(di,dj) WHERE (thin OR (di=0 AND dj=0)) AND ci+di BETWEEN 0 AND 7 AND cj+dj BETWEEN 0 AND 7""")
 def widen_stroke(v: Views):
     e = F.col("event_id")
-    strokes = v.table("events").where("event_type = 'click'").select(
-        R.int_div(F.col("user_id"), 16).alias("map_no"), F.col("user_id").alias("stroke_id"),
+    strokes = v.table("events").select(
+        R.int_div(F.col("user_id"), 16).alias("map_no"), F.concat(F.col("user_id").cast("string"), "event_type").alias("stroke_id"),
         (e * 5 % 8).alias("ci"), (e * 3 % 8).alias("cj")).distinct()
     return labels.widened(strokes, GRID)
 
@@ -248,6 +248,7 @@ def held_out_maps(v: Views):
 @query("J6_footprint_exclusion", """
     WITH s AS (SELECT * FROM footprint WHERE NOT held), h AS (SELECT * FROM footprint WHERE held AND id%41<>0)
     SELECT id, 'no usable footprint' AS status FROM s WHERE id%41=0
+    UNION ALL SELECT id, 'held-out map without usable footprint' FROM footprint WHERE held AND id%41=0
     UNION ALL SELECT DISTINCT s.id, 'excluded' FROM s JOIN h ON s.crs=h.crs AND s.l<=h.r AND s.r>=h.l AND s.b<=h.t AND s.t>=h.b WHERE s.id%41<>0""", "footprint")
 def footprint_exclusion(v: Views):
     marked = v.footprint.withColumn("crs", F.when(F.col("id") % 41 != 0, F.col("crs")))

@@ -21,11 +21,11 @@ SIX = list(BASE_FEATURES)
 
 MATRIX = "matrix AS (SELECT map_no, " + ", ".join(
     f"count(*) FILTER (WHERE truth={a} AND pred={b}) AS m{a}{b}" for a, b in evaluate.CONFUSION
-) + ", count(*) FILTER (WHERE pred NOT IN (1,2,3)) AS violations FROM scored GROUP BY 1)"
+) + ", count(*) FILTER (WHERE truth IN (1,2,3) AND coalesce(pred NOT IN (1,2,3), true)) AS violations FROM scored GROUP BY 1)"
 
 
 def _ratio(num: str, den: str) -> str:
-    return f"CASE WHEN {den}>0 THEN CAST({num} AS DOUBLE)/({den}) ELSE 0 END"
+    return f"CASE WHEN violations>0 THEN NULL WHEN {den}>0 THEN CAST({num} AS DOUBLE)/({den}) ELSE 0 END"
 
 
 def _parts(k: int) -> tuple[str, str, str]:
@@ -47,7 +47,7 @@ def overall_sql(source: str, key: str) -> str:
     return f"SELECT {key} {n} AS n, {_ratio('(m11+m22+m33)', n)} AS accuracy, ({f1[0]}+{f1[1]}+{f1[2]})/3 AS macro_f1 FROM {source}"
 
 
-POOL = "SELECT " + ", ".join(f"CAST(sum(m{a}{b}) AS BIGINT) AS m{a}{b}" for a, b in evaluate.CONFUSION) + " FROM "
+POOL = "SELECT " + ", ".join(f"CAST(sum(m{a}{b}) AS BIGINT) AS m{a}{b}" for a, b in evaluate.CONFUSION) + ", CAST(sum(violations) AS BIGINT) AS violations FROM "
 
 
 def matrix(v: Views):
@@ -84,13 +84,13 @@ def overall_metrics(v: Views):
     return evaluate.overall_metrics(matrix(v), ["map_no"])
 
 
-@query("E8_pooled_summary", f"WITH {SCORED}, {MATRIX}, pool AS ({POOL} matrix) SELECT n, accuracy, macro_f1, CAST(round((SELECT avg(macro_f1) FROM ({overall_sql('matrix', 'map_no,')}))*1e9) AS BIGINT) AS map_mean_e9 FROM ({overall_sql('pool', '')})", "paint px_cell")
+@query("E8_pooled_summary", f"WITH {SCORED}, {MATRIX}, pool AS ({POOL} matrix) SELECT n, accuracy, macro_f1, CAST(round((SELECT CASE WHEN count(macro_f1)=count(*) THEN avg(macro_f1) END FROM ({overall_sql('matrix', 'map_no,')}))*1e9) AS BIGINT) AS map_mean_e9 FROM ({overall_sql('pool', '')})", "paint px_cell")
 def pooled_summary(v: Views):
     return evaluate.fold_summary(matrix(v)).select("n", "accuracy", "macro_f1", F.round(F.col("map_mean_macro_f1") * 1e9).cast("bigint").alias("map_mean_e9"))
 
 
 BASELINE = """base AS (SELECT map_no, truth, 1 AS pred FROM scored), bmatrix AS (SELECT map_no, """ + ", ".join(
-    f"count(*) FILTER (WHERE truth={a} AND pred={b}) AS m{a}{b}" for a, b in evaluate.CONFUSION) + " FROM base GROUP BY 1)"
+    f"count(*) FILTER (WHERE truth={a} AND pred={b}) AS m{a}{b}" for a, b in evaluate.CONFUSION) + ", 0 AS violations FROM base GROUP BY 1)"
 
 
 @query("E11_result_views", f"""
@@ -292,12 +292,12 @@ def leave_one_out(v: Views):
 
 
 @query("S1_catalog_scan", """
-    SELECT manifest_folder, working_dem, section, site, grp FROM record WHERE section IS NULL OR section<>'PROMO'""", "record")
+    SELECT manifest_folder, working_dem, section, site, grp FROM record""", "record")
 def catalog_scan(v: Views):
     """Catalog files per site: whole-file lists, with broken and non-list files beside them."""
     path = scratch_path(v.spark, "catalogs")
     # A catalog file is one document: a new file every 5000 records keeps each one small.
-    entries = v.record.where("section is null or section <> 'PROMO'").withColumn("part", R.int_div(F.col("part_no"), 5000)).select(
+    entries = v.record.withColumn("part", R.int_div(F.col("part_no"), 5000)).select(
         "manifest_folder", "part", F.to_json(F.struct("working_dem", "section", "site", F.col("grp").alias("group"))).alias("entry"))
     parts = entries.groupBy("manifest_folder", "part").agg(F.collect_list("entry").alias("e"))
     whole = parts.select("manifest_folder", F.concat(F.lit("["), F.array_join("e", ",\n"), F.lit("]")).alias("value"), F.concat(F.lit("p"), "part").alias("file"))
