@@ -89,7 +89,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     return mix((total[ends] - total[starts]) * down[starts])
 
 
-def batches(column: pa.Array, most_bytes: int = 4 << 20):
+def batches(column: pa.Array, most_bytes: int = 1 << 20):
     """Cut a string column into slices of about so many bytes, one row at least."""
     lengths = np.diff(flat_bytes(column)[1])
     start = 0
