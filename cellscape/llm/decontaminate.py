@@ -275,6 +275,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = 5) -> DataFr
     items = benchmark.where(F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))).select(
         F.col("item_id").cast("long").alias("item_id"), "text", answer.alias("answer"))
     n_items = items.count()
+    if not n_items:
+        return spark.createDataFrame([], FOUND)
     blocks = max(1, -(-n_items // ITEM_BLOCK))
     found = None
     for block in range(blocks):
