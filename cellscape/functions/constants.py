@@ -12,11 +12,9 @@ PALETTE = {
 UNKNOWN = 255
 SURE, MOSTLY, UNSURE = 1, 2, 3
 CONFIDENCE_WEIGHT = {SURE: 1.0, MOSTLY: 0.5, UNSURE: 0.2}
-CONFIDENCE_NAME = {SURE: "sure", MOSTLY: "mostly", UNSURE: "unsure"}
 APPROVED_WEIGHT = 0.5
 MIN_COVERAGE = 0.9
 MISSING_MAGNITUDE = 1e30
-MAX_SIDE = 4000
 
 # Window widths in metres.
 ROUGH_M = 135
@@ -40,7 +38,6 @@ PRODUCT_LAYER = {
     "GLDISGM": "uncertainty",
 }
 REQUIRED_MEMBERS = ("nac", "sfs", "image_count", "readme")
-OPTIONAL_MEMBERS = ("solar_bins", "best_resolution", "uncertainty")
 ARCHIVE_NAME = r"^A3CLR22_(\d+)_([A-Za-z0-9_]+)\.zip$"
 
 PER_STRATUM = 2000
@@ -49,11 +46,4 @@ PER_CELL = 120
 PAGE_SIZE = 24
 MIN_PATCH = 4
 
-# Files that belong to one painting, and the metadata keys a catalog may default.
-ARTIFACTS = (
-    "painting.npy", "accepted.npy", "confidence.npy", "meta.json",
-    "labels.tif", "map.tif", "thumb.png",
-)
-META_DEFAULT_KEYS = ("verified", "label_status", "restricted", "provenance")
-COMPANION_SUFFIXES = ("_psr", "_cpr", "_nac", "_quality", "_mask")
 REPORT_NAME = r"^evaluation-(\d{8}T\d{6}\.\d{6}Z-[0-9a-f]{8})\.json$"

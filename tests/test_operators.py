@@ -21,8 +21,8 @@ from cellscape.operators import distribution, graph, grid, labels, overlap, regr
 def test_floor_edges(spark, size):
     """A pixel belongs to the last cell whose floor edge it has reached."""
     got = [r[0] for r in spark.range(size).select(R.cell_index("id", F.lit(size), 120)).collect()]
-    edges = np.array([i * size // 120 for i in range(1, 120)])
-    assert got == list(np.searchsorted(edges, np.arange(size), side="right"))
+    for pixel, cell in enumerate(got):
+        assert cell == sum(i * size <= pixel * 120 + 119 and i * size // 120 <= pixel for i in range(1, 120))
 
 
 def test_majority_ties_go_to_the_lowest_code(spark):
@@ -33,19 +33,16 @@ def test_majority_ties_go_to_the_lowest_code(spark):
     assert none["code"] == 255
 
 
-def test_sampled_majority_on_coarse_and_fine_rasters(spark):
-    for shape in ((3, 5), (17, 40), (64, 64)):
-        rng = np.random.default_rng(1)
-        lab = rng.integers(0, 4, shape)
-        px = raster(spark, lab.astype(float)).withColumn("code", F.col("z").cast("int"))
-        got = {(r["ci"], r["cj"]): r["code"] for r in grid.sampled_majority(px, "code", 12, 4).collect()}
-        rr = ((np.arange(48) + 0.5) * shape[0] / 48).astype(int)
-        cc = ((np.arange(48) + 0.5) * shape[1] / 48).astype(int)
-        blocks = lab[np.ix_(rr, cc)].reshape(12, 4, 12, 4)
-        for i in range(12):
-            for j in range(12):
-                n = [(blocks[i, :, j] == k).sum() for k in (1, 2, 3)]
-                assert got[i, j] == (int(np.argmax(n)) + 1 if max(n) else 0)
+@pytest.mark.parametrize("rows, grid_size, samples, want", [
+    ([[1, 2], [3, 0]], 2, 2, {(0, 0): 1, (0, 1): 2, (1, 0): 3, (1, 1): 0}),            # each cell sees one pixel
+    ([[1, 2]], 4, 1, {(i, j): 1 + j // 2 for i in range(4) for j in range(4)}),          # fewer pixels than cells
+    ([[9, 9, 9, 9], [9, 1, 9, 3], [9, 9, 9, 9], [9, 3, 9, 2]], 1, 2, {(0, 0): 3}),      # rows and columns 1 and 3 are looked at
+    ([[9, 9, 9, 9], [9, 2, 9, 3], [9, 9, 9, 9], [9, 3, 9, 2]], 1, 2, {(0, 0): 2}),      # a tie goes to the lower code
+])
+def test_sampled_majority_on_coarse_and_fine_rasters(spark, rows, grid_size, samples, want):
+    px = raster(spark, np.array(rows, dtype=float)).withColumn("code", F.col("z").cast("int"))
+    got = {(r["ci"], r["cj"]): r["code"] for r in grid.sampled_majority(px, "code", grid_size, samples).collect()}
+    assert got == want
 
 
 # -- predicates ----------------------------------------------------------------
@@ -231,28 +228,22 @@ def test_loop_fill_drops_specks(spark):
     assert {(r["ci"], r["cj"]) for r in labels.loop_fill(s, inside, 2).collect()} == {(0, j) for j in range(4)}
 
 
-def test_lasso_matches_even_odd_rule(spark):
-    rng = random.Random(4)
-    for n in (1, 2, 3, 5, 9):
-        path = [(rng.uniform(-1, 9), rng.uniform(-1, 9)) for _ in range(n)]
-        df = spark.createDataFrame([(0, 0, path)], "map_no bigint, stroke_id bigint, path array<struct<x:double,y:double>>")
-        got = {(r["ci"], r["cj"]) for r in labels.rasterised(df, 8).collect()}
-        want = set()
-        points = [path[0]]
-        for (x0, y0), (x1, y1) in zip(path, path[1:]):
-            steps = int(np.ceil(np.hypot(x1 - x0, y1 - y0) * 3))
-            points += [(x0 + (x1 - x0) * t / steps, y0 + (y1 - y0) * t / steps) for t in range(1, steps + 1)]
-        want |= {(int(np.floor(y)), int(np.floor(x))) for x, y in points if 0 <= x < 8 and 0 <= y < 8}
-        if n > 2:
-            for i in range(8):
-                for j in range(8):
-                    x, y, odd = j + 0.5, i + 0.5, False
-                    for (xa, ya), (xb, yb) in zip(path, path[-1:] + path[:-1]):
-                        if (ya > y) != (yb > y) and x < (xb - xa) * (y - ya) / (yb - ya) + xa:
-                            odd = not odd
-                    if odd:
-                        want.add((i, j))
-        assert got == want
+SQUARE = {(i, j) for i in range(1, 5) for j in range(1, 5)}
+
+
+@pytest.mark.parametrize("path, want", [
+    ([(2.5, 3.2)], {(3, 2)}),
+    ([(-0.5, 3.2)], set()),
+    ([(0.5, 0.5), (2.5, 0.5)], {(0, 0), (0, 1), (0, 2)}),
+    ([(1.0, 1.0), (4.0, 1.0), (4.0, 4.0), (1.0, 4.0)], SQUARE),                          # three sides drawn, all inside
+    ([(1.0, 1.0), (1.0, 4.0), (4.0, 4.0), (4.0, 1.0)], SQUARE),                          # the other way round
+    ([(1.2, 1.2), (4.2, 1.2), (4.2, 4.2), (1.2, 4.2), (1.2, 1.2)], SQUARE),
+    ([(0.5, 0.5), (6.5, 0.5), (6.5, 6.5), (0.5, 6.5), (0.5, 0.5), (6.5, 0.5), (6.5, 6.5), (0.5, 6.5)],
+     {(i, j) for i in range(7) for j in range(7) if i in (0, 6) or j in (0, 6)}),        # twice round is outside again
+])
+def test_lasso_matches_even_odd_rule(spark, path, want):
+    df = spark.createDataFrame([(0, 0, path)], "map_no bigint, stroke_id bigint, path array<struct<x:double,y:double>>")
+    assert {(r["ci"], r["cj"]) for r in labels.rasterised(df, 8).collect()} == want
 
 
 # -- samples and percentiles ----------------------------------------------------------

@@ -142,17 +142,17 @@ def test_checkpoint_folder_comes_from_the_session(spark):
 
 def test_stroke_stream_equals_the_batch_fold(spark, tmp_path):
     from cellscape.operators.labels import folded_strokes
-    from cellscape.streaming.strokes import follow
+    from cellscape.streaming.strokes import follow, painting
 
     folder = str(tmp_path / "log")
     log = spark.range(200).select((F.col("id") % 3).alias("map_no"), (F.col("id") * 7 % 10).alias("cell"), F.col("id").alias("seq"),
                                   (F.col("id") % 4).cast("int").alias("code"), F.lit(2).alias("conf"), (F.col("id") % 5 == 0).alias("accepted"))
     log.repartition(4).write.parquet(folder)
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    running = follow(stream, "strokes_seen")
+    running = follow(stream, str(tmp_path / "parts"), str(tmp_path / "state"))
     try:
         running.processAllAvailable()
-        assert sorted(spark.table("strokes_seen").collect()) == sorted(folded_strokes(log).collect())
+        assert sorted(painting(spark, str(tmp_path / "parts")).collect()) == sorted(folded_strokes(log).collect())
     finally:
         running.stop()
 
