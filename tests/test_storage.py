@@ -140,6 +140,14 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     assert session.scratch_path(spark, "x").startswith(spark.sparkContext.getCheckpointDir())
 
 
+def test_stored_tables_can_be_cleared(spark):
+    kept = session.stored(spark.range(3).toDF("x"))
+    assert sorted(r.x for r in kept.collect()) == [0, 1, 2]
+    path = session._written[-1]
+    session.clear_stored(spark)
+    assert not session._written and not os.path.exists(path.removeprefix("file:"))
+
+
 def test_stroke_stream_equals_the_batch_fold(spark, tmp_path):
     from cellscape.operators.labels import folded_strokes
     from cellscape.streaming.strokes import follow, painting
