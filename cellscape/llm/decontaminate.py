@@ -25,7 +25,7 @@ LEAST_TERMS = 16       # the rarest terms of an item count in any case
 COSINE = 0.4           # of a candidate, between vectors scaled by the singular values
 SURE, LIKELY, ANSWER = 0.75, 0.6, 0.9
 ITEM_BLOCK = 5_000     # items that are searched for at once; more are searched block by block
-TERM_BLOCK = 256       # rows of the sketch that travel together
+TERM_BLOCK = 4         # rows of the sketch that travel together: small, as many arrive in one batch
 STEP = 8_000           # words that are projected at once
 
 
@@ -182,9 +182,17 @@ def _sketched(shared, omega_seed: int):
     return run
 
 
-def _added(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, dtype=np.float64) for x in table.column("rows").to_pylist())
-    return pa.table({"block": table.column("block").slice(0, 1), "rows": pa.array([total.tobytes()], pa.binary())})
+def _added(parts):
+    """Sums of the parts of each block, as they stream by: one array for a block, whatever the number of parts."""
+    total: dict[int, np.ndarray] = {}
+    for batch in parts:
+        for block, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
+            part = np.frombuffer(rows.as_buffer(), dtype=np.float64)
+            if block in total:
+                total[block] += part
+            else:
+                total[block] = part.copy()
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "rows"])
 
 
 def random_basis(n: int, seed: int) -> np.ndarray:
@@ -290,7 +298,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = 5) -> DataFr
         part.weigh(frequency, int(counts.loc[counts["term"] < 0, "n"].sum()))
         part.slots = None
         sketch = texts.select("text").mapInArrow(_sketched(spark.sparkContext.broadcast(part), seed), "block long, rows binary") \
-            .groupBy("block").applyInArrow(_added, "block long, rows binary").toPandas().sort_values("block")
+            .repartition("block").mapInArrow(_added, "block long, rows binary").toPandas().sort_values("block")
         omega = random_basis(len(part.terms), seed)
         if len(sketch):
             part.basis = singular_vectors(np.concatenate([np.frombuffer(r, dtype=np.float64).reshape(-1, omega.shape[1]) for r in sketch["rows"]]), omega)
