@@ -186,20 +186,15 @@ def _signed(n: int, num: int, den: int):
                 flat, ends = shingles(*tokens.flat_bytes(piece), n)
                 h1, _ = digests(flat, ends)
                 rows, sigs = signatures(flat, ends, num, den)
-                # Copies in the batch say the same, so one of them speaks; of sets that share a
-                # signature here one goes on under it, and the others under a name of their own
-                # pair, so that a widespread signature reaches its bucket once from a batch.
+                # Copies in the batch say the same, so one of them speaks.  Every other set goes on
+                # under its own signature: no set of a bucket can stand for another, as both may be
+                # too far apart and still have a third that links with one of them.
                 name = h1[rows]
                 order = np.lexsort((name, sigs))
                 name, sigs, rows = name[order], sigs[order], rows[order]
                 if len(sigs):
-                    new_sig = np.concatenate([[True], sigs[1:] != sigs[:-1]])
-                    new_pair = new_sig | np.concatenate([[True], name[1:] != name[:-1]])
-                    head = np.flatnonzero(new_sig)[np.cumsum(new_sig) - 1]
-                    twin = np.flatnonzero(new_pair & ~new_sig)
-                    link = tokens.mix(tokens.mix(name[twin]) + name[head[twin]] * np.uint64(3))
-                    rows = np.concatenate([rows[new_sig], rows[twin], rows[head[twin]]])
-                    sigs = np.concatenate([sigs[new_sig], link, link])
+                    new = np.concatenate([[True], (sigs[1:] != sigs[:-1]) | (name[1:] != name[:-1])])
+                    rows, sigs = rows[new], sigs[new]
                 yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), list_array(rows, sigs, len(piece))], names=["h1", "sigs"])
     return run
 

@@ -59,6 +59,18 @@ def test_jaccard_join_on_random_near_copies(spark, n, num):
     assert got == brute_components(rows, n, num, 100)
 
 
+def test_jaccard_join_of_an_original_and_its_variants(spark):
+    rng = random.Random(8)
+    base = ["o%d" % i for i in range(60)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 1_201):   # each links with the original, few with each other
+        at = rng.randrange(60)
+        rows.append((i, " ".join(base[:at] + ["v%d" % i] + base[at + 1:])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted(tuple(r) for r in ngram_join.jaccard_components(df, 5, 80, 100).collect())
+    assert got == brute_components(rows, 5, 80, 100)
+
+
 def test_jaccard_join_edges(docs):
     rows = ngram_join.jaccard_components(docs, 4, 85, 100).collect()
     by = {}
