@@ -1,8 +1,11 @@
 """Operator 7: licence recognition by known sentences and rules over their sequence.
 
-Texts are cut into sentences, sentences are normalised and looked up among known licence
-sentences; the identifiers that a text says, in order, are matched with rules.  A rule holds
-when its identifiers occur in its order, whatever licence sentences stand between.
+Texts are normalised and known licence sentences are sought between their limits: end
+punctuation, blank lines, web addresses and single line breaks.  A single line break may also
+stand inside a sentence, with comment marks before the next line, so that wrapped texts and
+notices of one line are both known.  The identifiers that a text says, in order, are matched
+with rules.  A rule holds when its identifiers occur in its order, whatever licence sentences
+stand between.
 """
 
 from __future__ import annotations
@@ -58,6 +61,13 @@ RULES = (
 )
 MORE_SPECIFIC = (("BSD-2-Clause", "BSD-3-Clause"),)   # the first is not reported beside the second
 LIMIT = r"[.!?]*\s*\n\s*|[.!?]+\s+"
+# Applied in this order: marks before a line, limits that no sentence goes across (an empty line each), the rest of what is no word.
+NORMAL = (
+    (r"(^|\n)[^a-z0-9\n]*(?:(?:rem|dnl)[^\S\n][^a-z0-9\n]*)?", "$1"),
+    (r"[.!?]+\s+|\s+[^a-z0-9\s]*(?=https?://)", "\n\n"),
+    (r"[^a-z0-9\n]+", " "),
+    (r" ?\n ?", "\n"),
+)
 HINT = "(?i)licen|permission|redistribut|copyright|MPL"   # every known sentence has one of them
 
 
@@ -72,6 +82,11 @@ def _known() -> dict[str, int]:
     return {pieces(s)[0]: k for k, s in sorted(SENTENCES.items(), reverse=True)}
 
 
+def known_pattern() -> str:
+    """Of known sentences between limits, the longest; words are parted by a space or one line break."""
+    return r"(?<![^\n])(?:" + "|".join(s.replace(" ", r"[ \n]") for s in sorted(_known(), key=len, reverse=True)) + r")(?![^\n])"
+
+
 def rule_pattern(ids: tuple[int, ...]) -> str:
     return "," + ",(?:[0-9]+,)*".join(str(i) for i in ids) + ","
 
@@ -86,8 +101,11 @@ def recognise(docs: DataFrame) -> DataFrame:
     """
     table = F.create_map(*[F.lit(x) for pair in _known().items() for x in pair])
     text = F.coalesce(F.col("text"), F.lit(""))
-    normal = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    found = F.filter(F.transform(F.split(text, LIMIT), lambda s: F.element_at(table, normal(s))), lambda i: i.isNotNull())
+    normal = F.lower(text)
+    for pattern, by in NORMAL:
+        normal = F.regexp_replace(normal, pattern, by)
+    said_here = F.regexp_extract_all(F.trim(normal), F.lit(known_pattern()), F.lit(0))
+    found = F.transform(said_here, lambda s: F.element_at(table, F.translate(s, "\n", " ")))
     ids = F.when(text.rlike(HINT), found).otherwise(F.expr("CAST(array() AS array<int>)"))
     rows = docs.select("doc_id", ids.alias("ids"))
     joined = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
@@ -109,7 +127,7 @@ def recognise(docs: DataFrame) -> DataFrame:
 
 
 def sql() -> str:
-    """The same in DuckDB's SQL."""
+    """The same in DuckDB's SQL, for texts that hold each sentence in one line."""
     pairs = ", ".join(f"'{k}': {v}" for k, v in _known().items())
     names = sorted({name for name, _ in RULES})
 

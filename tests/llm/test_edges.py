@@ -207,6 +207,32 @@ def test_licence_edges(spark):
     assert licenses.recognise(df.where("1 = 0")).count() == 0
 
 
+def test_wrapped_licences(spark):
+    import textwrap
+
+    def wrapped(width, mark, *paragraphs):
+        return "\n".join((mark + " " + line).rstrip() for p in paragraphs for line in textwrap.wrap(p, width) + [""])
+    s = licenses.SENTENCES
+    say = {"MIT": (s[8] + ":", s[9] + "."), "BSD-2-Clause": (s[22] + ":", "1. " + s[23] + ".", "2. " + s[24] + "."),
+           "BSD-3-Clause": (s[22] + ":", "1. " + s[23] + ".", "2. " + s[24] + ".", "3. " + s[25] + "."), "ISC": (s[26] + ".",),
+           "MPL-2.0": (s[27] + ". " + s[28] + " https://mozilla.org/MPL/2.0/.",), "GPL-3.0-or-later": (s[13] + ".", s[15] + ".  See the license."),
+           "GPL-2.0-or-later": (s[14] + ". " + s[15] + ".",), "LGPL-2.1-or-later": (s[29] + ".",),
+           "Apache-2.0": (s[2] + ";", s[3] + ". " + s[4], "http://www.apache.org/licenses/LICENSE-2.0")}
+    rows, want = [], []
+    for name, paragraphs in say.items():
+        for width, mark in ((70, ""), (74, "#"), (66, " *"), (76, "//"), (60, "!"), (72, "dnl"), (5_000, "")):
+            rows.append((len(rows), "Copyright (c) 2020 A B\n\n" + wrapped(width, mark, *paragraphs)))
+            want.append(name)
+    rows.append((len(rows), wrapped(70, "#", *say["BSD-2-Clause"]).replace("#\n", "").replace("\n", "\r\n")))   # no empty lines between
+    want.append("BSD-2-Clause")
+    rows.append((len(rows), "Some title\nReleased under the MIT License\nmore words"))
+    want.append("MIT")
+    rows.append((len(rows), s[22] + "\n\n" + s[23].replace("copyright notice, ", "copyright notice,\n\n") + "\n" + s[24]))   # across an empty line: no sentence
+    want.append("")
+    got = licenses.recognise(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).orderBy("doc_id").collect()
+    assert [r.licences for r in got] == want
+
+
 def test_paraphrases_are_found(spark):
     rng = random.Random(5)
     words = ["k%d" % i for i in range(3000)]
