@@ -195,6 +195,21 @@ def test_html_edges(spark):
     assert html_extract.extract(df.where("1 = 0")).count() == 0
 
 
+def test_names_that_only_mention_boilerplate():
+    body = "<p>" + "word " * 60 + "</p>"
+    text = " ".join(["word"] * 60)
+    for around in ("<div class='content with-sidebar'>%s</div>", "<main class='no-sidebar'>%s</main>", "<article class='post has-comments'>%s</article>",
+                   "<div id='page' class='has-header'>%s</div>", "<div data-id='search'>%s</div>", "<div class='content-sidebar-wrap'>%s</div>", "<div class='sidebar'>%s</div>",
+                   "<div title='a class=\"ad\" here' id=reader>%s</div>", "<main id=search>%s</main>", "<div " + "data-x=y " * 500 + ">%s</div>", "<!" + "x" * 3_000 + ">%s"):
+        assert html_extract.main_text("<body>" + around % body + "<div class=ad>buy</div></body>") == text, around[:60]
+    for head in ("<h1 class='entry-header'>T</h1>", "<div class='article-header'><h1>T</h1></div>", "<div class='post-header'>T</div>"):
+        assert html_extract.main_text("<article>" + head + body + "</article>") == "T\n" + text
+    for name in ("site-footer", "mainNav", "cookie-banner", "related-posts", "post-comments", "share_buttons", "comments-area", "ad-slot-2", "sidebar"):
+        assert html_extract.main_text("<div>" + body + "</div><div class='x " + name + "'><p>" + "side " * 50 + "</p></div>") == text, name
+    assert html_extract.main_text("<div>" + body + "</div><div id=comments><p>" + "nice " * 500 + "</p></div>") == text
+    assert html_extract.main_text("<div>" + body + "<p><a href=x>source</a></p></div>") == text + "\nsource"
+
+
 def test_licence_edges(spark):
     assert len(licenses._known()) == len(licenses.SENTENCES)
     mit = licenses.SENTENCES[8] + ":\n\n" + licenses.SENTENCES[9] + "."
