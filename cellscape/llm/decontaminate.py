@@ -3,8 +3,9 @@
 Documents are cut into overlapping passages.  TF-IDF vectors of all passages, over the terms
 of the benchmark items, are sketched in one distributed pass; the sketch gives the leading
 right singular vectors (a randomised SVD of the passages' Gram operator).  A second pass
-projects every passage, finds items by cosine, and decides each candidate by the longest
-common subsequence of words with the item, and by its answer where that is not enough.
+projects every passage, finds items and passages of longer items by cosine, shorter items
+also in windows of half the length, and decides each candidate by the longest common
+subsequence of words with the item, and by its answer where that is not enough.
 Both passes read each text whole and alone; no text is shuffled.
 """
 
@@ -23,6 +24,7 @@ SKETCH, RANK = 208, 200  # columns of the sketch, singular vectors that are kept
 RARE = 2.7             # inverse document frequency of the terms that count
 LEAST_TERMS = 16       # the rarest terms of an item count in any case
 COSINE = 0.4           # of a candidate, between vectors scaled by the singular values
+SHORT_SHARE = 0.6      # of the cosine that an exact copy of a short item reaches in a window; a candidate if below COSINE
 SURE, LIKELY, ANSWER = 0.75, 0.6, 0.9
 ITEM_BLOCK = 5_000     # items that are searched for at once; more are searched block by block
 TERM_BLOCK = 4         # rows of the sketch that travel together: small, as many arrive in one batch
@@ -73,10 +75,20 @@ class Items:
         self.weight = np.where(counted, np.maximum(idf, 0.05), 0.0)
 
     def project(self) -> None:
-        sums = np.array([(self.weight[i, None] * self.basis[i]).sum(0) for i in (np.searchsorted(self.terms, w) for w in self.words)])
+        parts = [(k, part) for k, w in enumerate(self.words) for part in [w] + item_passages(w)]
+        self.owner = np.array([k for k, _ in parts], dtype=np.int64)
+        sums = np.array([(self.weight[i, None] * self.basis[i]).sum(0) for i in (np.searchsorted(self.terms, part) for _, part in parts)])
         size = np.sqrt((sums * sums).sum(1)).reshape(-1, 1)
         self.latent = (sums / np.maximum(size, 1e-12)).astype(np.float32)
         self.matchers = [Matcher(w) for w in self.words]
+        n = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.short = np.flatnonzero((n[self.owner] > 0) & (n[self.owner] < HALF))   # one part each
+        self.least_short = np.minimum(COSINE, SHORT_SHARE * np.sqrt(n[self.owner[self.short]] / HALF)).astype(np.float32)
+
+
+def item_passages(words: np.ndarray) -> list[np.ndarray]:
+    """An item longer than a passage in passages of its own, with the stride of the documents'."""
+    return [words[i : i + 2 * HALF] for i in range(0, len(words) - HALF, HALF)] if len(words) > 2 * HALF else []
 
 
 class Matcher:
@@ -98,13 +110,13 @@ class Matcher:
         return self.n - row.bit_count()
 
 
-def halves(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def halves(first: np.ndarray, size: int = HALF) -> tuple[np.ndarray, np.ndarray]:
     """For a flat run of words: the half that each word is in, and the first half of each row (n + 1)."""
     n = np.diff(first)
-    count = -(-n // HALF)
+    count = -(-n // size)
     start = np.concatenate([[0], np.cumsum(count)])
     place = np.arange(first[-1]) - np.repeat(first[:-1], n)
-    return np.repeat(start[:-1], n) + place // HALF, start
+    return np.repeat(start[:-1], n) + place // size, start
 
 
 def passages(start: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -224,36 +236,55 @@ def _found(shared):
         items = shared.value
         items.project()
         table = (items.weight[:, None] * items.basis).astype(np.float32)
-        longest = max((len(w) for w in items.words), default=0)
         for batch in parts:
             for at, piece in tokens.batches(batch.column(1), 1 << 20):
                 words, first = words_of(piece)
-                half, start = halves(first)
-                total = int(start[-1])
                 best: dict[tuple[int, int], tuple] = {}
-                if total and len(items.words):
-                    sums = half_sums(items, items.lookup(words), half, total, table)
-                    a, b = passages(start, total)
+
+                def look(sums, start, size, latent, owner, least):
+                    a, b = passages(start, len(sums))
                     rows = np.where((a != b)[:, None], sums[a] + sums[b], sums[a])
-                    size = np.sqrt((rows * rows).sum(1))
+                    norm = np.sqrt((rows * rows).sum(1))
                     row_of = np.searchsorted(start, a, side="right") - 1
                     for i in range(0, len(rows), 8192):
-                        cosine = (rows[i : i + 8192] / np.maximum(size[i : i + 8192], 1e-9)[:, None]) @ items.latent.T
-                        for p, k in zip(*np.nonzero(cosine >= COSINE)):
+                        cosine = (rows[i : i + 8192] / np.maximum(norm[i : i + 8192], 1e-9)[:, None]) @ latent.T
+                        at, part = np.nonzero(cosine >= least)
+                        if not len(at):
+                            continue
+                        pair = at * len(items.words) + owner[part]
+                        order = np.argsort(pair, kind="stable")
+                        pair, value = pair[order], cosine[at, part][order]
+                        cut = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+                        for x, value in zip(pair[cut].tolist(), np.maximum.reduceat(value, cut).tolist()):
+                            p, k = divmod(x, len(items.words))
                             row = int(row_of[i + p])
-                            held = best.get((row, int(k)))
+                            held = best.get((row, k))
                             if held and held[2] >= SURE:
                                 continue
                             n = items.matchers[k].n
-                            low = first[row] + (a[i + p] - start[row]) * HALF
-                            span = words[max(first[row], low - n) : min(first[row + 1], low + 2 * HALF + n)].tolist()
+                            low = first[row] + (a[i + p] - start[row]) * size
+                            span = words[max(first[row], low - n) : min(first[row + 1], low + 2 * size + n)].tolist()
                             share = items.matchers[k].common(span) / n
                             if share < LIKELY or held and held[2] >= share:
                                 continue
                             answer = items.answers[k]
                             said = Matcher(answer).common(span) / len(answer) if len(answer) else 0.0
                             if share >= SURE or said >= ANSWER:
-                                best[row, int(k)] = float(cosine[p, k]), said, share
+                                best[row, k] = value, said, share
+
+                if len(words) and len(items.words):
+                    half, start = halves(first)
+                    term = items.lookup(words)
+                    if len(items.short):
+                        quarter, begin = halves(first, HALF // 2)
+                        parts_of = half_sums(items, term, quarter, int(begin[-1]), table)
+                        place = np.arange(begin[-1]) - np.repeat(begin[:-1], np.diff(begin))
+                        sums = np.add.reduceat(parts_of, np.flatnonzero(place % 2 == 0), axis=0)
+                    else:
+                        sums = half_sums(items, term, half, int(start[-1]), table)
+                    look(sums, start, HALF, items.latent, items.owner, np.float32(COSINE))
+                    if len(items.short):
+                        look(parts_of, begin, HALF // 2, items.latent[items.short], items.owner[items.short], items.least_short)
                 keys = sorted(best)
                 ids = batch.column(0).slice(at, len(piece)).to_pylist()
                 yield pa.RecordBatch.from_arrays([
@@ -270,8 +301,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = 5) -> DataFr
     """Pairs of a document and a benchmark item that it holds: doc_id, item_id, cosine, lcs_share, answer_share.
 
     docs: doc_id, text.  benchmark: item_id, text, and optionally answer (else the last
-    sentence of the text is the answer).  A document holds an item if one of its passages
-    is a candidate and, with as many words again as the item has on either side, shares a
+    sentence of the text is the answer).  A document holds an item of any length if one of
+    its passages is a candidate for the item or a passage of it and, with as many words again as the item has on either side, shares a
     subsequence of SURE of the item's words, or of LIKELY of them and ANSWER of the
     answer's.  NULL, empty and blank texts and items hold and match nothing; a NULL
     doc_id or item_id is reported as NULL; repeated rows are reported as often as they

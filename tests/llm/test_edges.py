@@ -270,6 +270,21 @@ def test_paraphrases_are_found(spark):
     assert decontaminate.contaminated(df.where("1 = 0"), bench).count() == 0
 
 
+def test_long_and_short_items_are_found(spark):
+    rng = random.Random(6)
+    words = ["k%d" % i for i in range(3000)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(n))) for i, n in enumerate([400, 400, 700, 1000, 6, 6, 6, 8, 4, 12, 19, 30])]
+    rows = []
+    for i, text in items:
+        for shift in (70, 73, 76, 79):
+            around = [rng.choice(words) for _ in range(200)]
+            rows.append((i * 10 + shift - 70, " ".join(around[:shift] + text.split() + around[shift:])))
+    rows += [(i, " ".join(rng.choice(words) for _ in range(300))) for i in range(1000, 1060)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == sorted((i, i // 10) for i, _ in rows if i < 1000)
+
+
 def test_subsequence_length():
     rng = random.Random(2)
     for _ in range(50):
