@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import raster
+from helpers import raster
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -156,7 +156,7 @@ def test_large_grids_join_across_blocks(spark):
     a = rng.integers(0, 2, (23, 31))
     df = spark.createDataFrame([(0, i, j, int(a[i, j])) for i in range(23) for j in range(31)], "map_no bigint, ci bigint, cj bigint, code int")
     one = {(r["ci"], r["cj"]): (r["ri"], r["rj"]) for r in graph.grid_components(df, "code").collect()}
-    many = {(r["ci"], r["cj"]): (r["ri"], r["rj"]) for r in graph.grid_components(df, "code", 6, False).collect()}
+    many = {(r["ci"], r["cj"]): (r["ri"], r["rj"]) for r in graph.grid_components(df, "code", 6).collect()}
     pairs = set(zip((one[k] for k in sorted(one)), (many[k] for k in sorted(many))))
     assert len(pairs) == len(set(one.values())) == len(set(many.values()))
 
