@@ -56,15 +56,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-_written: list[str] = []   # the tables that `stored` has written in this driver
+_written: dict[str, DataFrame] = {}   # the tables that `stored` has written in this driver, by folder
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def clear_stored(spark: SparkSession) -> None:
     """Delete the tables of `stored`; call it when no result that reads them is needed any more."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     while _written:
-        path = hadoop(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.popitem()[0])
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete these tables of `stored`, which nothing that is still to run may read."""
+    for path in [p for p, t in _written.items() if any(t is x for x in tables)]:
+        _delete(_written.pop(path).sparkSession, path)
 
 
 def stored(df: DataFrame, name: str = "part") -> DataFrame:
@@ -73,6 +82,6 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     A lost executor costs no earlier work, and Spark knows the size of what it reads next.
     """
     path = scratch_path(df.sparkSession, name)
-    _written.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[path] = df.sparkSession.read.schema(df.schema).parquet(path)
+    return _written[path]
