@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellscape.llm import decontaminate, embeddings, html_extract, licenses, mixing, ngram_join, pii, quality, toxicity, warc
+from cellscape.llm import decontaminate, embeddings, html_extract, licenses, mixing, ngram_join, pii, quality, toxicity, vector_codes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +130,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_decontamination")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_vector_codes", vector_codes.sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
