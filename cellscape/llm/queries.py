@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellscape.llm import decontaminate, embeddings, html_extract, licenses, mixing, ngram_join, pii, quality, toxicity, vector_codes, warc
+from cellscape.llm import decontaminate, embeddings, html_extract, licenses, mixing, ngram_join, pii, quality, resample, toxicity, vector_codes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,3 +135,34 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_vector_codes", vector_codes.sql())
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_resample", r"""
+WITH words AS (
+  SELECT 0 AS side, row_number() OVER () AS rid, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+w AS MATERIALIZED (SELECT side, rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM words),
+f AS MATERIALIZED (SELECT side, rid, x, count(*) AS k FROM (SELECT side, rid, unnest(ws) AS x FROM w) GROUP BY ALL),
+steps AS (SELECT list(c ORDER BY i) AS tbl FROM (
+  SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i))),
+h AS (SELECT x, hex(encode(x)) AS digits FROM (SELECT DISTINCT x FROM f)),
+b AS MATERIALIZED (SELECT x, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(digits) // 2), lambda i:
+        CAST((position(digits[2 * i + 1] IN '0123456789ABCDEF') - 1) * 16 + position(digits[2 * i + 2] IN '0123456789ABCDEF') - 1 AS BIGINT))),
+      lambda c, y: xor(c >> 8, tbl[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS bucket FROM h, steps),
+n AS (SELECT bucket, CAST(coalesce(sum(k) FILTER (side = 0), 0) AS BIGINT) AS s, CAST(coalesce(sum(k) FILTER (side = 1), 0) AS BIGINT) AS t
+      FROM f JOIN b USING (x) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000::DOUBLE * ln((t + 1)::DOUBLE * (CAST(sum(s) OVER () AS BIGINT) + 10000)::DOUBLE
+        / ((s + 1)::DOUBLE * (CAST(sum(t) OVER () AS BIGINT) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM n),
+m AS (SELECT rid, CAST(sum(k * gain) AS BIGINT) AS total FROM f JOIN b USING (x) JOIN g USING (bucket) WHERE side = 0 GROUP BY rid),
+d AS (SELECT doc_id, rid, CAST(len(ws) AS BIGINT) AS n_features,
+        CASE WHEN len(ws) = 0 THEN 0 ELSE (total - (total % len(ws) + len(ws)) % len(ws)) // len(ws) END AS weight,
+        CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS u
+      FROM w LEFT JOIN m USING (rid) WHERE side = 0),
+s AS (SELECT *, CAST(weight AS BIGINT) + CAST(floor(-1000::DOUBLE * ln(-ln((u + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d),
+r AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id, rid) AS rank, count(*) OVER () AS n FROM s WHERE n_features >= 20)
+SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank
+FROM s LEFT JOIN r USING (rid)
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
