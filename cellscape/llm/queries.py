@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellscape.llm import decontaminate, embeddings, html_extract, licenses, mixing, ngram_join, pii, quality, resample, toxicity, vector_codes, warc
+from cellscape.llm import decontaminate, embeddings, html_extract, licenses, mixing, ngram_join, pii, quality, resample, toxicity, url_filter, vector_codes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,3 +166,41 @@ FROM s LEFT JOIN r USING (rid)
 """)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+LISTED = ["block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/"]
+
+
+@query("op13_url_filter", r"""
+WITH l(host, path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+a AS (SELECT row_number() OVER () AS id, page_id, coalesce(url, '') AS url, position('://' IN coalesce(url, '')) AS pos FROM pages),
+r AS (SELECT *, CASE WHEN pos > 0 THEN substr(url, pos + 3) ELSE '' END AS rest FROM a),
+u AS (SELECT id, page_id, url, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS query FROM r),
+d AS MATERIALIZED (SELECT id, page_id, host, path, list_distinct(list_concat(
+        list_transform(list_filter(list_transform(range(1, 6), lambda i: array_to_string(string_split(host, '.')[-i:], '.')), lambda x: x <> ''), lambda x: 'host=' || x),
+        list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'path=' || x),
+        list_transform(list_filter([regexp_extract(path, '\.([A-Za-z0-9]+)$', 1)], lambda x: x <> ''), lambda x: 'ext=' || x),
+        list_transform(list_filter(list_transform(string_split(query, '&'), lambda x: regexp_extract(x, '^[^=]*', 0)), lambda x: x <> ''), lambda x: 'query=' || x))) AS ts FROM u),
+b AS MATERIALIZED (SELECT d.id, arg_max(struct_pack(rule := l.host || l.path, verdict := l.verdict), length(l.host || l.path)) AS m FROM d JOIN l
+      ON (d.host = l.host OR ends_with(d.host, '.' || l.host)) AND starts_with(d.path, l.path) GROUP BY d.id),
+t AS MATERIALIZED (SELECT b.id, b.m.verdict = 'block' AS bad, d.ts FROM b JOIN d USING (id)),
+n AS (SELECT count(*) AS n, count(*) FILTER (bad) AS nb, CAST(ceil(0.005::DOUBLE * count(*)) AS BIGINT) AS least FROM t),
+x AS MATERIALIZED (SELECT id, bad, unnest(ts) AS token FROM t),
+k AS (SELECT token, abs(count(*) FILTER (bad) * any_value(n.n) - count(*) * any_value(nb)) AS tells FROM x, n GROUP BY token HAVING count(*) >= any_value(least)),
+i AS (SELECT id, bad, list_sort(list(token ORDER BY tells DESC, token)[1:8]) AS ts FROM x JOIN k USING (token) GROUP BY id, bad),
+c AS (SELECT bad, unnest(list_concat(list_transform(ts, lambda p: [p]),
+        flatten(list_transform(range(1, len(ts) + 1), lambda p: list_transform(range(p + 1, len(ts) + 1), lambda q: [ts[p], ts[q]]))),
+        flatten(flatten(list_transform(range(1, len(ts) + 1), lambda p: list_transform(range(p + 1, len(ts) + 1), lambda q:
+          list_transform(range(q + 1, len(ts) + 1), lambda o: [ts[p], ts[q], ts[o]]))))))) AS needs FROM i),
+g AS (SELECT needs, count(*) AS k, count(*) FILTER (bad) AS kb FROM c GROUP BY needs),
+v AS MATERIALIZED (SELECT needs, verdict, hits / k::DOUBLE AS confidence, hits FROM (
+        SELECT needs, k, kb AS hits, 'block' AS verdict FROM g UNION ALL SELECT needs, k, k - kb, 'allow' FROM g), n
+      WHERE hits >= least AND hits / k::DOUBLE >= 0.9),
+f AS (SELECT d.id, max(struct_pack(c := v.confidence, s := v.hits, z := -len(needs), r := array_to_string(needs, ' '), verdict := v.verdict)) AS m
+      FROM d JOIN v ON list_has_all(d.ts, v.needs) WHERE d.id NOT IN (SELECT id FROM b) GROUP BY d.id)
+SELECT page_id, host, path, b.m.rule AS rule, coalesce(b.m.verdict, f.m.verdict, 'allow') AS verdict, f.m.r AS mined
+FROM d LEFT JOIN b USING (id) LEFT JOIN f USING (id)
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"), url_filter.rule_list(spark, LISTED))
