@@ -272,7 +272,7 @@ def contested_pixels(v: Views):
 
 @query("J9_feature_transport", """
     SELECT t.map_no, t.r, t.c, CASE WHEN t.z IS NOT NULL THEN s.slope END AS slope, CASE WHEN t.z IS NOT NULL THEN s.svf END AS svf FROM pixel t
-    LEFT JOIN feature s ON t.map_no>0 AND s.map_no=t.map_no-1 AND s.r=t.r//2 AND s.c=t.c//2+8""", "pixel feature")
+    LEFT JOIN feature s ON s.map_no=t.map_no-1 AND s.r=t.r//2 AND s.c=t.c//2+8""", "pixel feature")
 def feature_transport(v: Views):
     """Each map takes its features from the map before it, at half the resolution."""
     ten, five, zero = F.lit(10.0), F.lit(5.0), F.lit(0.0)

@@ -57,6 +57,20 @@ def sky(name: str, source: str, value: str, px: float, max_m: float, n_ray: int)
     {name} AS (SELECT p.pid//16777216 AS map_no, p.pid//4096%4096 AS r, p.pid%4096 AS c, (16-coalesce(n,0)+coalesce(s,0))/16 AS v FROM {name}_p p LEFT JOIN {name}_m m ON m.pid=p.pid)"""
 
 
+def near_sky(name: str, source: str, value: str, px: float, max_m: float, n_ray: int) -> str:
+    """`sky` on full rasters of 64 columns: a neighbour is so many places further in row order, so no join is needed."""
+    rays = stencil.sky_offsets(px, max_m, n_ray)
+
+    def rise(d: int, dr: int, dc: int) -> str:
+        inside = f"r+{dr}>=0 AND r+{dr}<height AND c+{dc}>=0 AND c+{dc}<64".replace("+-", "-")
+        return f"CASE WHEN {inside} THEN (lead(v, {dr * 64 + dc}) OVER w-v)/({d}*{px!r}::DOUBLE) END"
+
+    turns = [f"greatest(0, {', '.join(rise(*step) for step in ray)}) AS h{k}" for k, ray in enumerate(rays)]
+    total = "+".join(f"1-sin(atan(h{k}))" for k in range(len(rays)))
+    return f"""{name} AS (SELECT map_no, r, c, ({total})/{len(rays)} AS v FROM (SELECT map_no, r, c, {", ".join(turns)}
+      FROM (SELECT map_no, r, c, height, CAST({value} AS DOUBLE) AS v FROM {source}) WINDOW w AS (PARTITION BY map_no ORDER BY r*64+c)))"""
+
+
 def zoomed(name: str, source: str, value: str, h: str, w: str, extra: str = "") -> str:
     """End-aligned bilinear zoom of `source` to h x w."""
     def weights(side: str, size: str, target: str) -> str:
@@ -82,9 +96,17 @@ def sigma(metres: float) -> float:
     return metres / math.sqrt(12) / PX
 
 
-FILL = """fill AS (SELECT h.map_no, h.r, h.c, h.height, h.width, true AS hole, b.r AS fr, b.c AS fc, CAST(b.z AS DOUBLE) AS filled FROM pixel h JOIN
-      (SELECT h.map_no, h.r AS hr, h.c AS hc, min({'d': (v.r-h.r)*(v.r-h.r)+(v.c-h.c)*(v.c-h.c), 'r': v.r, 'c': v.c, 'z': v.z}) AS b
-       FROM pixel h JOIN pixel v ON v.map_no=h.map_no WHERE h.z IS NULL AND v.z IS NOT NULL GROUP BY 1,2,3) q ON q.map_no=h.map_no AND q.hr=h.r AND q.hc=h.c
+# Nearest valid pixel of the column first, then the nearest of those in the row: one join on one key.
+FILL = """fill_c AS MATERIALIZED (SELECT map_no*4096+r AS line, map_no, r, c, height, width, z, CASE WHEN below IS NULL OR r-above<=below-r THEN above ELSE below END AS nr,
+      CASE WHEN below IS NULL OR r-above<=below-r THEN za ELSE zb END AS nz FROM (SELECT map_no, r, c, height, width, z,
+        last_value(CASE WHEN z IS NOT NULL THEN r END IGNORE NULLS) OVER up AS above, last_value(z IGNORE NULLS) OVER up AS za,
+        first_value(CASE WHEN z IS NOT NULL THEN r END IGNORE NULLS) OVER down AS below, first_value(z IGNORE NULLS) OVER down AS zb FROM pixel
+        WINDOW up AS (PARTITION BY map_no, c ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+               down AS (PARTITION BY map_no, c ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))),
+    fill_s AS MATERIALIZED (SELECT line, list({'r': nr, 'c': c, 'z': nz}) AS sites FROM fill_c WHERE nr IS NOT NULL GROUP BY line),
+    fill_b AS (SELECT map_no, r, c, height, width, min({'d': (s.r-r)*(s.r-r)+(s.c-c)*(s.c-c), 'r': s.r, 'c': s.c, 'z': s.z}) AS b
+      FROM (SELECT h.map_no, h.r, h.c, h.height, h.width, unnest(f.sites) AS s FROM fill_c h JOIN fill_s f ON f.line=h.line WHERE h.z IS NULL) GROUP BY 1,2,3,4,5),
+    fill AS (SELECT map_no, r, c, height, width, true AS hole, b.r AS fr, b.c AS fc, CAST(b.z AS DOUBLE) AS filled FROM fill_b
     UNION ALL SELECT map_no, r, c, height, width, false, r, c, CAST(z AS DOUBLE) FROM pixel WHERE z IS NOT NULL)"""
 
 SLOPE = "{0} AS (SELECT map_no, r, c, height, width, degrees(atan(sqrt(gx*gx+gy*gy))) AS s, power(degrees(atan(sqrt(gx*gx+gy*gy))),2) AS s2 FROM {1})"
@@ -143,7 +165,7 @@ def curvature(v: Views):
     return stencil.curvature(v.pixel, "raw", PX).select(*KEY, *milli("curv"))
 
 
-@query("N6_sky_view_local", f"WITH {sky('s', 'pixel', 'raw', PX, SKY_LOCAL_M, 16)} SELECT map_no, r, c, CAST(round(v*1000) AS BIGINT) AS svf FROM s", "pixel")
+@query("N6_sky_view_local", f"WITH {near_sky('s', 'pixel', 'raw', PX, SKY_LOCAL_M, 16)} SELECT map_no, r, c, CAST(round(v*1000) AS BIGINT) AS svf FROM s", "pixel")
 def sky_view_local(v: Views):
     return stencil.sky_view(v.pixel, "raw", PX, SKY_LOCAL_M, 16, 1).select(*KEY, *milli("svf"))
 
