@@ -1,28 +1,66 @@
 """Components, fixpoints and dependency order over edge tables.
 
-Each round is a few joins and map-side combined aggregates.  Lineage is cut with a
-reliable checkpoint per round, so losing an executor never replays earlier rounds.
+Each round is a few joins and map-side combined aggregates.  Lineage is cut with tables in
+the shared folder, so losing an executor never replays earlier rounds.
 """
 
 from __future__ import annotations
 
-import itertools
 import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellscape.functions.constants import GRID
 from cellscape.operators.overlap import overlap_pairs
-from cellscape.session import cut_lineage, stored
+from cellscape.session import cut_lineage, drop_stored, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+# What is left of a graph with so few edges is finished in one task: some MB, however large the graph was.
+SMALL = 1 << 14
+
+
+def _plain(value):
+    """A node as a value that Python can hash."""
+    return tuple(value.values()) if isinstance(value, dict) else value
+
+
+def _in_one_task(edges: DataFrame, step, schema: str) -> DataFrame:
+    """Run `step(rows) -> columns` over the few rows of `edges` together."""
+    def run(batches):
+        rows = [batch for batch in batches if batch.num_rows]
+        if rows:
+            yield from step(pa.Table.from_batches(rows)).to_batches()
+
+    return edges.coalesce(1).mapInArrow(run, schema)
+
+
+def _join_names(table: pa.Table) -> pa.Table:
+    """(node, up): one name for all nodes that edges a-b connect."""
+    kept, up = {}, {}
+
+    def top(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist()):
+        for node in (a, b):
+            up.setdefault(_plain(node), _plain(node))
+            kept.setdefault(_plain(node), node)
+        up[top(_plain(a))] = top(_plain(b))
+    kind = table.schema.field("a").type
+    return pa.table({"node": pa.array(list(kept.values()), kind), "up": pa.array([kept[top(x)] for x in kept], kind)})
+
+
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v", small: int = SMALL) -> DataFrame:
     """Smallest node of every component: (node, component), for every node that an edge names.
 
     The graph is contracted: each node points to its smallest neighbour, edges are renamed
@@ -30,45 +68,151 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     order nodes by a hash, so that a long chain also loses a constant share of its nodes
     in each round.  A hub's edges are only reduced by `min`, which combines before the
     shuffle, and met in joins against a written table, whose skew Spark can split.
+    Once `small` edges or fewer are left, one task joins their names.  A round's tables
+    are deleted when the next ones are written.
     NULL ends are no nodes; an edge from a node to itself only names it.
     """
     rest = stored(
         edges.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct()
     )
+    kind = rest.schema["a"].dataType.simpleString()
     names, rounds = None, 0
     while True:
-        order = (lambda c: F.xxhash64(c, F.lit(rounds))) if rounds % 2 else (lambda c: c)
-        ends = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(
-            rest.select("a", F.col("a").alias("b")))
-        ends = ends.unionByName(rest.select(F.col("b").alias("a"), "b"))
-        point = stored(ends.groupBy("a").agg(F.min(F.struct(order(F.col("b")).alias("o"), "b")).alias("m"))
-                       .select(F.col("a").alias("node"), F.col("m.b").alias("up")))
+        last = rest.count() <= small
+        if last:
+            point = _in_one_task(rest, _join_names, f"node {kind}, up {kind}")
+            point = point if names is None else stored(point)
+        else:
+            order = (lambda c: F.xxhash64(c, F.lit(rounds))) if rounds % 2 else (lambda c: c)
+            ends = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(
+                rest.select("a", F.col("a").alias("b")))
+            ends = ends.unionByName(rest.select(F.col("b").alias("a"), "b"))
+            point = stored(ends.groupBy("a").agg(F.min(F.struct(order(F.col("b")).alias("o"), "b")).alias("m"))
+                           .select(F.col("a").alias("node"), F.col("m.b").alias("up")))
+        older = names
         if names is None:
-            names = point.select("node", F.col("up").alias("top"))
+            names = stored(point.select("node", F.col("up").alias("top")))
         else:
             names = stored(names.join(point.withColumnRenamed("node", "top"), "top", "left").select(
                 "node", F.coalesce("up", "top").alias("top")))
+            drop_stored(older)
+        if last:
+            drop_stored(rest, point)
+            break
         left = rest.join(point.select(F.col("node").alias("a"), F.col("up").alias("pa")), "a").join(
             point.select(F.col("node").alias("b"), F.col("up").alias("pb")), "b")
-        rest = stored(left.where("pa <> pb").select(
+        older, rest = rest, stored(left.where("pa <> pb").select(
             F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        drop_stored(older, point)
         rounds += 1
-        if rest.isEmpty():
+    lowest = names.groupBy("top").agg(F.min("node").alias("component"))
+    out = stored(names.join(lowest, "top").select("node", "component"))
+    drop_stored(names)
+    return out
+
+
+def _settle_rows(top: int | None):
+    def step(table: pa.Table) -> pa.Table:
+        """The rounds of `settled` on the few rows left: (node, value) of whatever gets a value."""
+        base, needs, users, kept = {}, {}, {}, {}
+        for u, d, w, b in zip(*(table.column(c).to_pylist() for c in ("u", "d", "w", "base"))):
+            kept[_plain(u)] = u
+            if d is None:
+                base[_plain(u)] = b
+            else:
+                needs.setdefault(_plain(u), {})[_plain(d)] = w
+                users.setdefault(_plain(d), []).append(_plain(u))
+        ready = [u for u in base if not needs.get(u) or base[u] == top]
+        value = {}
+        while ready:
+            u = ready.pop()
+            if u in value:
+                continue
+            value[u] = base[u]
+            for user in users.get(u, ()):
+                w = needs[user].pop(u, None)
+                if user not in value and w is not None:
+                    base[user] = max(base[user], value[u] + w)
+                    if not needs[user] or base[user] == top:
+                        ready.append(user)
+        return pa.table({"node": pa.array([kept[u] for u in value], table.schema.field("u").type), "value": pa.array(list(value.values()), pa.int64())})
+
+    return step
+
+
+LONGEST_PATH = 1 << 50    # lengths stop growing there, which only paths around a cycle reach
+
+
+def settled(nodes: DataFrame, edges: DataFrame, top: int | None = None, small: int = SMALL) -> DataFrame:
+    """value(u) = max(base(u), value(d) + w over the edges u, d, w): (node, value).
+
+    nodes: node, base.  edges: u, d, w, both ends among the nodes.  NULL where a cycle keeps
+    the value open; where values cannot exceed `top`, a node that has it waits for nothing.
+
+    A node without open edges has its base as value, which goes into the bases of its users.
+    A node with one open edge is only a pointer, so every edge that leads to it leads on to
+    where it points: chains halve in every round, and rounds grow with the logarithm of their
+    length.  An edge may so be led to a node that gets its value in the same round, and takes
+    it in the next one.  When no node of a round gets its value, none of the rest ever will.
+    """
+    pieces: list[DataFrame] = []
+    left = stored(nodes.groupBy("node").agg(F.max("base").cast("bigint").alias("base")))
+    loops = "true" if top is None else "u <> d"     # a value that depends on itself alone stays as it is, if it cannot grow
+    open_ = stored(edges.where(loops).groupBy("u", "d").agg(F.max("w").cast("bigint").alias("w")))
+    fresh = left.limit(0)       # nodes that got their value in the round before
+    while True:
+        if open_.count() + left.count() + fresh.count() <= small:
+            rows = open_.select("u", "d", "w", F.lit(None).cast("bigint").alias("base")).unionByName(left.unionByName(fresh).select(
+                F.col("node").alias("u"), F.lit(None).cast(open_.schema["d"].dataType).alias("d"), F.lit(None).cast("bigint").alias("w"), "base"))
+            kind = left.schema["node"].dataType.simpleString()
+            done = stored(_in_one_task(rows, _settle_rows(top), f"node {kind}, value bigint"))
+            pieces.append(left.join(done, "node", "left").select("node", "value"))
+            break
+        out = open_.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.first("d").alias("to"), F.first("w").alias("by"))
+        state = left.join(out.withColumnRenamed("u", "node"), "node", "left").join(
+            fresh.select(F.col("node").alias("to"), F.lit(True).alias("over")), "to", "left")
+        ready = F.col("n").isNull() if top is None else F.col("n").isNull() | (F.col("base") == top)
+        state = stored(state.select("node", "base", ready.alias("ready"), F.when((F.col("n") == 1) & F.col("over").isNull(), F.col("to")).alias("to"), "by"))
+        done = state.where("ready").select("node", F.col("base").alias("value"))
+        if done.isEmpty():
+            pieces.append(left.select("node", F.lit(None).cast("bigint").alias("value")))
+            drop_stored(state)
             break
-    lowest = stored(names.groupBy("top").agg(F.min("node").alias("component")))
-    return names.join(lowest, "top").select("node", "component")
+        waiting = open_.join(state.where("ready").select(F.col("node").alias("u")), "u", "left_anti")
+        known = state.where("ready or to is not null").select("node", "base", "ready", "to", "by").unionByName(
+            fresh.withColumn("ready", F.lit(True)), allowMissingColumns=True)
+        met = waiting.join(known.withColumnsRenamed({"node": "d", "base": "gain"}), "d", "left")
+        met = stored(met.select(
+            "u", (F.col("gain") + F.col("w")).alias("gain"),
+            F.when(F.coalesce("ready", F.lit(False)), None).otherwise(F.coalesce("to", "d")).alias("d"),
+            F.least(F.col("w") + F.when(F.col("to").isNotNull(), F.col("by")).otherwise(0), F.lit(LONGEST_PATH)).alias("w")))
+        gained = met.where("gain is not null").groupBy(F.col("u").alias("node")).agg(F.max("gain").alias("gain"))
+        older = left, open_
+        left = stored(state.where("not ready").select("node", "base").join(gained, "node", "left").select(
+            "node", F.greatest("base", F.when(F.col("gain") > LONGEST_PATH, LONGEST_PATH).otherwise(F.col("gain"))).alias("base")))
+        open_ = stored(met.where("d is not null").where(loops).groupBy("u", "d").agg(F.max("w").alias("w")))
+        drop_stored(met, *older)
+        fresh = state.where("ready").select("node", "base")
+        pieces.append(done)
+    whole = pieces[0]
+    for piece in pieces[1:]:
+        whole = whole.unionByName(piece)
+    return whole
 
 
 def canonical_names(links: DataFrame) -> DataFrame:
     """One spelling per alias component: highest priority, then smallest name.
 
-    `links`: alias, grp, priority; the priority belongs to the group spelling.
+    `links`: alias, grp, priority; the priority belongs to the group spelling.  An alias
+    without a group (NULL) that nothing else names is its own spelling.
     """
     comp = connected_components(links, "alias", "grp")
     rank = links.groupBy(F.col("grp").alias("node")).agg(F.max("priority").alias("priority"))
     named = comp.join(rank, "node", "left").withColumn("priority", F.coalesce("priority", F.lit(0)))
     best = named.groupBy("component").agg(F.min(F.struct((-F.col("priority")).alias("p"), "node")).alias("best"))
-    return comp.join(best, "component").select(F.col("node").alias("alias"), F.col("best.node").alias("canonical"))
+    lone = links.select("alias").where("alias is not null").distinct().join(comp.withColumnRenamed("node", "alias"), "alias", "left_anti")
+    return comp.join(best, "component").select(F.col("node").alias("alias"), F.col("best.node").alias("canonical")).unionByName(
+        lone.withColumn("canonical", F.col("alias")))
 
 
 def blocked_maps(groups: DataFrame, tiles: DataFrame, held: DataFrame) -> DataFrame:
@@ -77,24 +221,24 @@ def blocked_maps(groups: DataFrame, tiles: DataFrame, held: DataFrame) -> DataFr
     groups: map_no, grp of every known map.  tiles: map_no, tile (tiles a sample was cut
     from).  held: map_no.  A blocked group holds all its maps; a held tile blocks the
     group of every sample cut from it.
+
+    Groups that share a map stand or fall together, so they are one node of a graph whose
+    edges lead from the tiles' groups to the groups of the samples cut from them; what a held
+    map reaches there is blocked.
     """
-    groups = cut_lineage(groups.select("map_no", "grp").distinct())
-    tiles = cut_lineage(tiles.select("map_no", "tile").distinct())
-    known = cut_lineage(held.select("map_no").distinct())
-    frontier, blocked = known, None
-    while True:  # every round adds maps or is the last
-        own = frontier.join(groups, "map_no").select("grp")
-        cut_from = tiles.join(frontier.select(F.col("map_no").alias("tile")), "tile", "left_semi")
-        fresh = own.unionByName(cut_from.join(groups, "map_no").select("grp")).distinct()
-        if blocked is not None:
-            fresh = fresh.join(blocked, "grp", "left_anti")
-        fresh = cut_lineage(fresh)
-        members = groups.join(fresh, "grp", "left_semi").select("map_no").distinct()
-        frontier = cut_lineage(members.join(known, "map_no", "left_anti"))
-        known = cut_lineage(known.unionByName(frontier))
-        blocked = fresh if blocked is None else cut_lineage(blocked.unionByName(fresh))
-        if frontier.isEmpty():
-            return known.select("map_no")
+    node = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    named = groups.where("map_no is not null and grp is not null").select("map_no", node("map ", "map_no").alias("u"), node("group ", "grp").alias("v"))
+    merged = connected_components(named)
+    placed = stored(named.select("map_no", "u").distinct().join(merged.withColumnRenamed("node", "u"), "u").select("map_no", "component"))
+    sole = lambda df, c: df.select(F.col(c).alias("map_no")).join(placed, "map_no", "left").select(
+        F.col("map_no").alias(c), F.coalesce("component", node("map ", "map_no")).alias("at"))
+    known = stored(held.select("map_no").distinct())
+    links = tiles.select("map_no", "tile").distinct().join(placed.withColumnRenamed("component", "u"), "map_no")
+    links = stored(links.join(sole(tiles.select("tile").distinct(), "tile").withColumnRenamed("at", "d"), "tile").select("u", "d", F.lit(0).alias("w")).distinct())
+    start = sole(known, "map_no").select(F.col("at").alias("node"), F.lit(1).alias("base"))
+    rest = placed.select(F.col("component").alias("node")).unionByName(links.select(F.col("d").alias("node"))).withColumn("base", F.lit(0))
+    out = settled(start.unionByName(rest), links, top=1).where("value = 1").select(F.col("node").alias("component"))
+    return stored(placed.join(out, "component", "left_semi").select("map_no").unionByName(known).distinct())
 
 
 def retained_samples(samples: DataFrame, groups: DataFrame, tiles: DataFrame, held: DataFrame,
@@ -170,27 +314,15 @@ def tile_contexts(tiles: DataFrame) -> DataFrame:
     return cut_lineage(on_lattice(tiles).join(good, "map_no").select("map_no", "context", "top", "left", "height", "width"))
 
 
-def dependency_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def dependency_levels(edges: DataFrame, nodes: DataFrame, small: int = SMALL) -> DataFrame:
     """Build order of feature sources: (node, level); NULL level where a cycle blocks it.
 
-    edges: node, dep.  Nodes whose sources are all built form the next level; what is
-    left when nothing can be peeled reaches a cycle.
+    edges: node, dep.  A node's level is one above the highest of its sources', 0 without any.
     """
-    left = cut_lineage(edges.select("node", "dep").distinct())
-    todo = cut_lineage(
-        nodes.select("node").unionByName(left.select("node")).unionByName(left.select(F.col("dep").alias("node"))).distinct()
-    )
-    done = None
-    for level in itertools.count():
-        ready = cut_lineage(todo.join(left.select("node"), "node", "left_anti"))
-        if ready.isEmpty():
-            break
-        step = ready.withColumn("level", F.lit(level))
-        done = step if done is None else done.unionByName(step)
-        todo = cut_lineage(todo.join(ready, "node", "left_anti"))
-        left = cut_lineage(left.join(ready.select(F.col("node").alias("dep")), "dep", "left_anti"))
-    stuck = todo.withColumn("level", F.lit(None).cast("int"))
-    return stuck if done is None else done.unionByName(stuck)
+    links = edges.select(F.col("node").alias("u"), F.col("dep").alias("d"), F.lit(1).alias("w"))
+    every = nodes.select("node").unionByName(links.select(F.col("u").alias("node"))).unionByName(links.select(F.col("d").alias("node")))
+    out = settled(every.withColumn("base", F.lit(0)), links, small=small)
+    return out.select("node", F.col("value").cast("int").alias("level"))
 
 
 # -- components of a cell grid -------------------------------------------------

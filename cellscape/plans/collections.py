@@ -205,16 +205,17 @@ def publication_status(v: Views):
 
 # -- graphs ------------------------------------------------------------------------
 
-CHAINS = """WITH RECURSIVE up AS (SELECT alias AS src, alias AS cur, 0 AS d FROM edge UNION SELECT grp, grp, 0 FROM edge UNION ALL SELECT up.src, e.grp, d+1 FROM up JOIN edge e ON e.alias=up.cur),
+CHAINS = """WITH RECURSIVE link AS (SELECT * FROM edge WHERE grp IS NOT NULL),
+    up AS (SELECT alias AS src, alias AS cur, 0 AS d FROM {0} UNION SELECT grp, grp, 0 FROM link UNION ALL SELECT up.src, e.grp, d+1 FROM up JOIN link e ON e.alias=up.cur),
     root AS (SELECT src AS node, arg_max(cur,d) AS root FROM up GROUP BY 1)"""
 
 
-@query("G2_components", f"{CHAINS} SELECT node, min(node) OVER (PARTITION BY root) AS component FROM root", "edge")
+@query("G2_components", f"{CHAINS.format('link')} SELECT node, min(node) OVER (PARTITION BY root) AS component FROM root", "edge")
 def components(v: Views):
     return graph.connected_components(v.edge, "alias", "grp")
 
 
-@query("G2_alias_groups", f"""{CHAINS}, pr AS (SELECT grp AS node, max(priority) AS p FROM edge GROUP BY 1), named AS (SELECT node, root, coalesce(p,0) AS p FROM root LEFT JOIN pr USING (node))
+@query("G2_alias_groups", f"""{CHAINS.format('edge')}, pr AS (SELECT grp AS node, max(priority) AS p FROM link GROUP BY 1), named AS (SELECT node, root, coalesce(p,0) AS p FROM root LEFT JOIN pr USING (node))
     SELECT node AS alias, first_value(node) OVER (PARTITION BY root ORDER BY p DESC, node) AS canonical FROM named""", "edge")
 def alias_groups(v: Views):
     return graph.canonical_names(v.edge)

@@ -292,11 +292,12 @@ def training_pixels(v: Views):
 
 
 @query("J11_seed_paintings", """
-    SELECT map_no, ci, cj, code, bucket FROM (SELECT * FROM cells WHERE source='bundled' AND NOT (map_no%5=2)) k, (VALUES ('saved'),('draft')) b(bucket)
-    WHERE map_no NOT IN (SELECT map_no FROM artifact) AND map_no IN (SELECT map_no FROM cells WHERE source='bundled' AND code>0)""".replace("FROM artifact", "FROM (SELECT user_id//40 AS map_no FROM events WHERE value>330)"), "cells")
+    SELECT map_no, ci, cj, code, bucket FROM (SELECT * FROM cells WHERE source='bundled') k, (VALUES ('saved'),('draft')) b(bucket)
+    WHERE map_no NOT IN (SELECT map_no FROM artifact) AND map_no IN (SELECT map_no FROM cells WHERE source='bundled' AND code>0)""".replace("FROM artifact", "FROM (SELECT CASE WHEN value>330 THEN user_id//40 END AS map_no FROM events) WHERE map_no IS NOT NULL"), "cells")
 def seed_paintings(v: Views):
-    bundled = v.cells.where("source = 'bundled' and map_no % 5 <> 2")
-    prior = v.table("events").where("value > 330").select(R.int_div(F.col("user_id"), 40).alias("map_no"))
+    bundled = v.cells.where("source = 'bundled'")
+    # Events of small value left no artifact: no map.
+    prior = v.table("events").select(F.when(F.col("value") > 330, R.int_div(F.col("user_id"), 40)).alias("map_no"))
     return catalog.seeded_paintings(bundled, prior).select("map_no", "ci", "cj", "code", "bucket")
 
 

@@ -14,10 +14,11 @@ from cellscape.sources import raster as source
 
 
 @query("S6_clean_band", """
-    SELECT map_no, count(a) AS kept_read, count(b) AS kept_masked, CAST(sum(CAST(a AS BIGINT)) AS BIGINT) AS total
+    SELECT map_no, count(a) AS kept_read, count(b) AS kept_masked, count(*) FILTER (a>=1e30::DOUBLE) AS at_limit,
+           CAST(sum(CASE WHEN a<1e30::DOUBLE THEN CAST(a AS BIGINT) END) AS BIGINT) AS total
     FROM (SELECT map_no, CASE WHEN v<>-9 AND abs(v)<=1e30 THEN v END AS a, CASE WHEN r%5<>0 AND abs(v)<1e30 THEN v END AS b
           FROM (SELECT map_no, r, CASE WHEN raw%13=0 THEN 1e30::DOUBLE WHEN raw%17=0 THEN 2e30::DOUBLE WHEN raw%19=0 THEN -9::DOUBLE
-                              ELSE CAST(raw AS DOUBLE) END AS v FROM pixel)) WHERE a IS NULL OR a<1e30 GROUP BY 1""", "pixel")
+                              ELSE CAST(raw AS DOUBLE) END AS v FROM pixel)) GROUP BY 1""", "pixel")
 def clean_band(v: Views):
     raw = F.col("raw")
     value = (
@@ -26,8 +27,9 @@ def clean_band(v: Views):
     )
     px = v.pixel.select("map_no", value.alias("v"), (F.col("r") % 5 != 0).alias("mask"))
     both = px.select("map_no", R.clean_read("v", -9.0).alias("a"), R.clean_masked("v", "mask").alias("b"))
-    return both.where("a is null or a < 1e30").groupBy("map_no").agg(
-        F.count("a").alias("kept_read"), F.count("b").alias("kept_masked"), F.sum(F.col("a").cast("bigint")).alias("total")
+    return both.groupBy("map_no").agg(
+        F.count("a").alias("kept_read"), F.count("b").alias("kept_masked"), F.count_if(F.col("a") >= 1e30).alias("at_limit"),
+        F.sum(F.when(F.col("a") < 1e30, F.col("a")).cast("bigint")).alias("total")
     )
 
 

@@ -81,8 +81,7 @@ SQL_VIEWS: dict[str, tuple[str, str]] = {
                      1+(c_custkey*31)%97 + CASE WHEN c_custkey%53=0 THEN 3000 ELSE 0 END AS w,
                      1+(c_custkey*17)%89 AS h, c_custkey%9=4 AS held FROM customer)"""),
     "edge": ("", """
-        SELECT 'c'||c_custkey AS alias, 'c'||(c_custkey//2) AS grp, 1+c_nationkey%3 AS priority
-        FROM customer WHERE c_custkey%7<>0"""),
+        SELECT 'c'||c_custkey AS alias, CASE WHEN c_custkey%7<>0 THEN 'c'||(c_custkey//2) END AS grp, 1+c_nationkey%3 AS priority FROM customer"""),
     "node": ("", "SELECT 'c'||c_custkey AS node FROM customer"),
     "meta": ("", """
         SELECT user_id//4 AS map_no, event_id%5 AS layer_rank,
@@ -289,9 +288,10 @@ class Views:
 
     @cached_property
     def edge(self) -> DataFrame:
+        """A seventh of the aliases belong to no group."""
         k = F.col("c_custkey")
-        return self.table("customer").where(k % 7 != 0).select(
-            text_id("c", k).alias("alias"), text_id("c", int_div(k, 2)).alias("grp"), (1 + F.col("c_nationkey") % 3).alias("priority")
+        return self.table("customer").select(
+            text_id("c", k).alias("alias"), F.when(k % 7 != 0, text_id("c", int_div(k, 2))).alias("grp"), (1 + F.col("c_nationkey") % 3).alias("priority")
         )
 
     @cached_property

@@ -142,6 +142,87 @@ def test_dependency_cycle_blocks_what_reaches_it(spark):
     assert got == {"c": 0, "lone": 0, "b": 1, "a": 2, "d": None, "e": None, "f": None, "g": None}
 
 
+@pytest.mark.parametrize("small", [8, graph.SMALL])
+def test_components_by_rounds_and_in_one_task(spark, small):
+    rng = random.Random(small)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(100, 100), (None, 3), (4, None)] + [(i, i + 1) for i in range(200, 260)]
+    df = spark.createDataFrame([(None if a is None else ("t", a), None if b is None else ("t", b)) for a, b in pairs], "u struct<k:string,i:int>, v struct<k:string,i:int>")
+    got = {r["node"]["i"]: r["component"]["i"] for r in graph.connected_components(df, small=small).collect()}
+    near = {}
+    for a, b in pairs:
+        if a is not None and b is not None:
+            near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+    for node in near:
+        seen, todo = {node}, [node]
+        while todo:
+            fresh = near[todo.pop()] - seen
+            seen |= fresh
+            todo += fresh
+        assert got[node] == min(seen)
+    assert len(got) == len(near)
+
+
+def plain_levels(nodes, edges):
+    needs = {n: {d for u, d in edges if u == n} for n in nodes}
+    level = {}
+    while True:
+        ready = [n for n in nodes if n not in level and all(d in level for d in needs[n])]
+        if not ready:
+            return {n: level.get(n) for n in nodes}
+        for n in ready:
+            level[n] = max((level[d] + 1 for d in needs[n]), default=0)
+
+
+@pytest.mark.parametrize("small", [0, graph.SMALL])
+def test_levels_of_random_graphs(spark, small):
+    rng = random.Random(1)
+    nodes = list(range(40))
+    edges = {(rng.randrange(1, 40), 0)} | {(a, rng.randrange(a)) for a in rng.choices(range(1, 30), k=35)} | {(a, a - 1) for a in range(12, 25)}
+    edges |= {(30, 31), (31, 32), (32, 30), (33, 32), (34, 34), (35, 36), (36, 35), (36, 2), (37, 35)}     # cycles and what waits for them
+    df = spark.createDataFrame(sorted(edges) + [(5, 4), (5, 4)], "node int, dep int")
+    got = dict(graph.dependency_levels(df, spark.createDataFrame([(n,) for n in nodes], "node int"), small).collect())
+    assert got == plain_levels(nodes, edges | {(5, 4)})
+
+
+def rounds_of(monkeypatch, run):
+    """How often `run` asked for the rest of a graph, which happens twice in every round."""
+    writes, stored = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, *a: writes.append(1) or stored(df, *a))
+    out = run()
+    return out, len(writes)
+
+
+def test_levels_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    n = 10_000
+    edges = spark.range(1, n).selectExpr("id AS node", "id - 1 AS dep")
+    levels, writes = rounds_of(monkeypatch, lambda: graph.dependency_levels(edges, edges.select("node"), small=0))
+    assert levels.where("node <> level").count() == 0 and levels.count() == n
+    assert writes <= 2 + 4 * 16
+
+
+@pytest.mark.parametrize("small", [0])
+def test_blocked_maps_follow_tiles_and_groups(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL", small)
+    monkeypatch.setattr(graph.settled, "__defaults__", (None, small))
+    groups = [(1, "a"), (2, "a"), (2, "b"), (3, "b"), (4, "c"), (5, "d"), (6, "e"), (7, "f"), (8, None), (9, "g")]
+    tiles = [(4, 3), (5, 4), (3, 5), (6, 9), (8, 1), (7, 8), (9, 9)]       # sample, tile: 4 was cut from 3, ...
+    got = lambda *held: {r[0] for r in graph.blocked_maps(
+        spark.createDataFrame(groups, "map_no long, grp string"), spark.createDataFrame(tiles, "map_no long, tile long"),
+        spark.createDataFrame([(h,) for h in held], "map_no long")).collect()}
+    assert got(1) == {1, 2, 3, 4, 5}         # a and b share map 2; 4, 5 follow; 8 has no group
+    assert got(4) == {4, 5, 3, 2, 1}
+    assert got(9) == {9, 6} and got(6) == {6} and got(8) == {8, 7} and got(77) == {77} and got() == set()
+
+
+def test_closure_over_a_chain_takes_few_rounds(spark, monkeypatch):
+    n = 1000
+    groups = spark.range(n).selectExpr("id AS map_no", "concat('g', id) AS grp")
+    tiles = spark.range(1, n).selectExpr("id AS map_no", "id - 1 AS tile")
+    monkeypatch.setattr(graph.settled, "__defaults__", (None, 0))
+    out, writes = rounds_of(monkeypatch, lambda: graph.blocked_maps(groups, tiles, spark.range(1).selectExpr("id AS map_no")))
+    assert out.count() == n and writes <= 12 + 4 * 12
+
+
 def test_overlapping_tiles_share_no_context(spark):
     def tile(n, x, y, crs="m"):
         return (n, crs, [5.0, 0.0, x * 5.0, 0.0, -5.0, -y * 5.0], 10, 10)
