@@ -4,14 +4,14 @@ Sizes fall into bands, and a set takes part in the bands that a partner may be i
 a band two similar sets differ in at most K elements.  The domain of shingles is dealt into
 partitions, each into three cells; with K // 2 + 1 partitions, one holds at most one of the
 differences, so two of its cells agree, and every pair of cells of every partition is sent
-out as one signature (large sets: K + 1 partitions of one cell).  Similar sets are sure to
-share one.  A part that is empty on both sides also agrees and says nothing: it is left
+out as one signature.  Similar sets are sure to share one.  A part that is empty on both sides also agrees and says nothing: it is left
 out, `slack` more partitions make up for it, and a set with more empty parts than that goes
 on to another dealing of the domain.
 
 The sets of a signature are first held against each other by counts of their shingles in
-fixed cells: the distance of the counts is never above the number of differences, so what
-it rules out is no link.  What is left forms clusters, in which blocks of sets are compared
+cells, so many that a cell holds four at most on average: the distance of the counts is never
+above the number of differences, so what it rules out is no link, and for unlike sets it is
+far above, however long they are.  What is left forms clusters, in which blocks of sets are compared
 with blocks, exactly.  Both steps give back edges of spanning forests, not pairs.  Nothing
 is capped.
 """
@@ -25,14 +25,15 @@ from pyspark.sql import functions as F
 
 from cellscape.llm import tokens
 from cellscape.operators.graph import connected_components
-from cellscape.session import stored
+from cellscape.session import drop_stored, stored
 
 BLOCK_SETS = 400           # sets of a block, on average
 BLOCK_SHINGLES = 1 << 20   # and shingles
-LARGE = 512                # bands of larger sets use one cell a partition
 SCHEMES = 40               # dealings of the domain; the last one keeps empty parts
 FILTER_BITS = 1 << 24
-COUNT_CELLS = 128          # cells of the counts
+COUNT_CELLS = 128          # cells of the counts, at least
+COUNTED = 4                # shingles of a cell, at most on average
+MATRIX = 1 << 22           # counts that are compared at once
 BUCKET = 512               # sets of a signature that are held against so many others at once
 
 HEADS = "doc_id long, n_shingles long, h1 long, h2 long, counts binary"
@@ -89,40 +90,58 @@ def sums(cell: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return (high.astype(np.uint64) << np.uint64(32)) + low.astype(np.uint64)
 
 
+def slack_of(least: np.ndarray, smallest: np.ndarray) -> np.ndarray:
+    """Partitions beyond the least number that make up for those with two empty cells.
+
+    As many as the smallest sets of the band are likely to have, with a quarter more.
+    """
+    out = np.maximum(1, -(-least // 2))
+    for percent in (30, 20, 15, 10):
+        more = np.maximum(1, -(-least * percent // 100))
+        bare = 3 * np.exp(-2 * smallest / (3 * (least + more)))
+        out = np.where(1.25 * bare * (least + more) <= more, more, out)
+    return out
+
+
 def signatures(flat: np.ndarray, offsets: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of every signature of every set."""
+    """(row, signature) of every signature of every set.
+
+    A set has the signatures of its own band, for partners there, and those of either end of
+    the band within reach, for partners beyond it: across an end B, two sets differ in fewer
+    elements than two of the largest sets of a band.
+    """
     size = np.diff(offsets)
     lows = bands(int(size.max(initial=1)), num, den)
     own = np.searchsorted(lows, size, side="right") - 1
     rows_out, sigs_out = [], []
-    wide = np.flatnonzero((size > 0) & (size * den // num >= lows[np.minimum(own + 1, len(lows) - 1)]))
-    for rows, band in ((np.flatnonzero(size > 0), own[size > 0]), (wide, own[wide] + 1)):
-        high = lows[band + 1] - 1
-        differ = high * 2 * (den - num) // (den + num)          # K of the band
-        rows, band, high, differ = (x[differ > 0] for x in (rows, band, high, differ))  # else only equal sets
-        cells = np.where(high < LARGE, 3, 1)
-        least = np.where(cells == 3, differ // 2 + 1, differ + 1)
-        slack = np.maximum(1, -(-least * np.where(cells == 3, 10, 15) // 100))
+    full, upper = size > 0, lows[np.minimum(own + 1, len(lows) - 1)]
+    below, above = np.flatnonzero(full & (size * den // num >= upper)), np.flatnonzero(full & (size <= (lows[own] - 1) * den // num))
+    at_end = np.concatenate([own[below] + 1, own[above]])
+    for rows, band, across in ((np.flatnonzero(full), own[full], 0), (np.concatenate([below, above]), at_end, 1)):
+        high, low = lows[band + 1 - across] - 1, lows[band]
+        differ = (high + (high * den // num if across else high)) * (den - num) // (den + num)      # K
+        rows, band, high, low, differ = (x[differ > 0] for x in (rows, band, high, low, differ))  # else only equal sets
+        least = differ // 2 + 1
+        slack = slack_of(least, low * num // den if across else low)
         parts = least + slack
         for scheme in range(SCHEMES):
             if not len(rows):
                 break
             n = size[rows]
             pick = np.repeat(offsets[rows] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            seed = tokens.mix((band.astype(np.uint64) << np.uint64(8)) + np.uint64(scheme))
+            seed = tokens.mix((band.astype(np.uint64) << np.uint64(9)) + np.uint64(256 * across + scheme))
             z = tokens.mix(flat[pick] + np.repeat(seed, n))
-            width = parts * cells
+            width = parts * 3
             base = np.concatenate([[0], np.cumsum(width)])
             cell = ((z >> np.uint64(33)) % np.repeat(width.astype(np.uint64), n)).astype(np.int64) + np.repeat(base[:-1], n)
             total, held = sums(cell, tokens.mix(z), base[-1]), np.bincount(cell, minlength=base[-1])
             empty = np.zeros(len(rows), dtype=np.int64)
             owner = np.repeat(np.arange(len(rows)), parts)
             place = np.arange(parts.sum()) - np.repeat(np.concatenate([[0], np.cumsum(parts)[:-1]]), parts)
-            start = base[:-1][owner] + place * cells[owner]
-            three = cells[owner] == 3
+            start = base[:-1][owner] + place * 3
             bare = np.zeros(len(owner), dtype=bool)
-            for code, a, b in ((0, 0, 0), (1, 0, 1), (2, 0, 2), (3, 1, 2)):
-                at = np.flatnonzero(three if code else ~three)
+            for code, a, b in ((1, 0, 1), (2, 0, 2), (3, 1, 2)):
+                at = np.arange(len(owner))
                 first, second = total[start[at] + a], total[start[at] + b]
                 filled = (held[start[at] + a] + held[start[at] + b]) > 0
                 bare[at[~filled]] = True
@@ -133,7 +152,7 @@ def signatures(flat: np.ndarray, offsets: np.ndarray, num: int, den: int) -> tup
                 sigs_out.append(tokens.mix(tokens.mix(key + first) + second * np.uint64(3)))
             np.add.at(empty, owner[bare], 1)
             more = empty > slack
-            rows, band, cells, slack, parts = (x[more] for x in (rows, band, cells, slack, parts))
+            rows, band, slack, parts = (x[more] for x in (rows, band, slack, parts))
     if not rows_out:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     return np.concatenate(rows_out), np.concatenate(sigs_out)
@@ -149,13 +168,19 @@ def digests(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def counts(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """Of each set, how many shingles fall into each of the fixed cells (16 bits each)."""
-    n = len(offsets) - 1
-    cell = (tokens.mix(flat + tokens.BASE) >> np.uint64(40)).astype(np.int64) % COUNT_CELLS
-    held = np.bincount(np.repeat(np.arange(n), np.diff(offsets)) * COUNT_CELLS + cell, minlength=n * COUNT_CELLS)
-    data = np.minimum(held, 65535).astype(np.uint16).tobytes()
-    ends = np.arange(n + 1, dtype=np.int32) * (2 * COUNT_CELLS)
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+    """Of each set, how many shingles (255 at most) fall into each cell: one byte per cell.
+
+    The number of cells is a power of two, so that a longer row of counts folds into a shorter.
+    """
+    n, size = len(offsets) - 1, np.diff(offsets)
+    cells = np.full(n, COUNT_CELLS, dtype=np.int64)
+    while (more := cells * COUNTED < size).any():
+        cells[more] *= 2
+    ends = np.concatenate([[0], np.cumsum(cells)])
+    at = (tokens.mix(flat + tokens.BASE) >> np.uint64(24)).astype(np.int64) & np.repeat(cells - 1, size)
+    held = np.bincount(np.repeat(ends[:-1], size) + at, minlength=ends[-1])
+    data = np.minimum(held, 255).astype(np.uint8).tobytes()
+    return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(data)]).cast(pa.binary())
 
 
 def list_array(owner: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
@@ -280,7 +305,7 @@ def _possible(num: int, den: int):
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         linked = np.empty((len(left), len(right)), dtype=bool)
         for k, a in enumerate(left):
-            apart = np.abs(held[right] - held[a]).sum(axis=1)
+            apart = np.abs(held[right] - held[a]).sum(axis=1, dtype=np.int64)
             linked[k] = apart * (den + num) <= (den - num) * (size[right] + size[a])
         return forest(linked, h1[left], h1[right])
 
@@ -302,18 +327,34 @@ def _possible(num: int, den: int):
 
     def edges(table, cut):
         h1, block, size = (table.column(c).to_numpy() for c in ("h1", "block", "n_shingles"))
-        held = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype=np.uint16).reshape(len(table), COUNT_CELLS).astype(np.int32)
+        column = pa.concat_arrays([c.cast(pa.large_binary()) for c in table.column("counts").chunks])
+        ends = np.frombuffer(column.buffers()[1], dtype=np.int64)[: len(column) + 1]
+        data, length = np.frombuffer(column.buffers()[2], dtype=np.uint8), np.diff(ends)
+
+        def folded(rows, cells):
+            out = np.empty((len(rows), cells), dtype=np.int16)
+            for long in np.unique(length[rows]):
+                own = np.flatnonzero(length[rows] == long)
+                out[own] = data[ends[rows[own], None] + np.arange(long)].reshape(len(own), long // cells, cells).sum(1, dtype=np.int16)
+            return out
+
         starts = np.concatenate([[0], cut[:-1]])
-        two = starts[cut - starts == 2]
-        apart = np.abs(held[two] - held[two + 1]).sum(axis=1)
-        ok = two[apart * (den + num) <= (den - num) * (size[two] + size[two + 1])]
-        u, v = [h1[ok]], [h1[ok + 1]]
-        for a, b in zip(starts, cut):
+        least = np.minimum.reduceat(length, starts)     # cells that all sets of a group can be folded to
+        u, v = [], []
+        for cells in np.unique(least):
+            two = starts[(cut - starts == 2) & (least == cells)]
+            step = max(1, MATRIX // int(cells))
+            for a in (two[k : k + step] for k in range(0, len(two), step)):
+                apart = np.abs(folded(a, cells) - folded(a + 1, cells)).sum(axis=1, dtype=np.int64)
+                ok = a[apart * (den + num) <= (den - num) * (size[a] + size[a + 1])]
+                u.append(h1[ok])
+                v.append(h1[ok + 1])
+        for a, b, cells in zip(starts, cut, least):
             if b - a > 2:
-                x, y = within(h1[a:b], block[a:b], size[a:b], held[a:b])
+                x, y = within(h1[a:b], block[a:b], size[a:b], folded(np.arange(a, b), cells))
                 u.append(x)
                 v.append(y)
-        u, v = np.concatenate(u), np.concatenate(v)
+        u, v = (np.concatenate([np.empty(0, np.int64), *x]) for x in (u, v))
         yield pa.RecordBatch.from_arrays([pa.array(u[u != v], pa.int64()), pa.array(v[u != v], pa.int64())], names=["u", "v"])
     return run
 
@@ -365,7 +406,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         F.xxhash64("bucket", "m").alias("bucket"), "h1", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     dealt = dealt.join(held, "h1").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     near = dealt.mapInArrow(_possible(num, den), "u long, v long").distinct()
-    clusters = stored(connected_components(near), "clusters")
+    near = stored(near, "near")
+    clusters = connected_components(near)
 
     nodes = stored(classes.join(clusters.withColumnRenamed("node", "h1"), "h1").select(
         "rep", "h1", "h2", "n_shingles", F.col("component").alias("cluster")), "nodes")
@@ -376,6 +418,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         F.col("rep").alias("doc_id"), "h1", "h2", "n_shingles", "cluster", "blocks",
         F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).alias("block")), "placed")
 
+    drop_stored(buckets, held, near, clusters, nodes, sizes)
     wanted = spark.sparkContext.broadcast(bitmap(placed, "doc_id"))
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("slot")
     found = texts.where("doc_id IS NOT NULL").select("doc_id", "text", slot).mapInArrow(
@@ -392,9 +435,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     again = stored(marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"), "again")
     ties = marked.join(again, "doc_id").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select(
         F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    links = stored(links, "links")
     tops = connected_components(links.unionByName(ties))
     lead = stored(classes.select("h1", "h2", "rep").join(tops.withColumnRenamed("node", "rep"), "rep", "left").select(
         "h1", "h2", F.coalesce("component", "rep").alias("component_id")), "lead")
+    drop_stored(links, placed, again, tops, classes)
     joined = heads.join(lead, ["h1", "h2"], "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).otherwise(
         F.coalesce("component_id", "doc_id")).alias("component_id"))
