@@ -1,9 +1,9 @@
-"""Exact order statistics per map, without gathering a map in one task.
+"""Exact order statistics per map, in two counting passes, without gathering a map in one task.
 
-Values are first counted per (map, value), which combines on the map side.  Approximate
-quantiles only choose where to cut the value axis into a handful of buckets; bucket
-counts then say which bucket holds each wanted rank, and only those buckets are ranked.
-The answer is exact whatever the quality of the cuts.
+The first pass counts values per (map, step), where steps divide the value axis like a
+floating-point number does: sign, exponent and STEPS parts of each power of two.  Its few
+rows per map tell in which step every wanted rank lies.  The second pass counts the exact
+values of those steps alone.  Both combine on the map side, and what is ranked are counts.
 """
 
 from __future__ import annotations
@@ -11,63 +11,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 10000
+STEPS = 256              # steps of a power of two
+LIFT = 1 << 19           # more than STEPS times the greatest exponent of a double
+
+
+def step_of(value: Column) -> Column:
+    """The step of a number: never lower for a higher number (logarithms are monotonic, floors too)."""
+    x = value.cast("double")
+    size = F.floor(F.least(F.log2(F.abs(x)) * STEPS, F.lit(300000.0))) + LIFT
+    return F.when(x == 0, F.lit(0).cast("bigint")).when(x > 0, size).otherwise(-size)
 
 
 def exact_percentiles(px: DataFrame, keys: list[str], value: str, points: list[float]) -> DataFrame:
-    """Linearly interpolated percentiles (0..1) per key, as q0, q1, ..., with n, lo and hi."""
-    known = px.where(F.col(value).isNotNull())
-    gap = 2.0 / ACCURACY
-    near = sorted({min(1.0, max(0.0, p + d)) for p in points for d in (-gap, gap)})
-    cuts = known.groupBy(*keys).agg(F.percentile_approx(value, near, ACCURACY).alias("_cuts"))
-    hist = known.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    bucket = F.size(F.filter("_cuts", lambda x: x < F.col("_v")))
-    placed = hist.join(cuts, keys).select(*keys, "_v", "_n", bucket.alias("_b"))
-
-    # Bucket sizes stay columns of one row per key; locating a rank is then a projection.
-    buckets = range(len(near) + 1)
-    stats = placed.groupBy(*keys).agg(
-        F.array(*[F.coalesce(F.sum(F.when(F.col("_b") == i, F.col("_n"))), F.lit(0)) for i in buckets]).alias("_sizes"),
-        F.sum("_n").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"),
-    )
-    ends = F.transform(F.sequence(F.lit(1), F.size("_sizes")), lambda i: _total_of("_sizes", i))
-    ranked = []
+    """Linearly interpolated percentiles (0..1) per key, as q0, q1, ..., with n, lo and hi.
+
+    NULL and NaN are not counted; keys without a value have no row.
+    """
+    counted = px.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(
+        *keys, F.col(value).alias("_v"), step_of(F.col(value)).alias("_s"))
+    steps = counted.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    whole = Window.partitionBy(*keys)
+    steps = steps.withColumns({
+        "_end": F.sum("_n").over(whole.orderBy("_s")), "n": F.sum("_n").over(whole), "lo": F.min("_lo").over(whole), "hi": F.max("_hi").over(whole)})
+    ranks = []
     for i, p in enumerate(points):
         at = F.lit(float(p)) * (F.col("n") - 1)
         first = F.floor(at)
         for rank in (first, F.least(first + 1, F.col("n") - 1)):
-            ranked.append(F.struct(F.lit(i).alias("i"), rank.alias("rank"), (at - first).alias("frac"),
-                                   _buckets_before(rank).alias("b")))
-    wanted = stats.withColumn("_ends", ends).select(*keys, "_ends", F.explode(F.array(*ranked)).alias("_w"))
-    # At most two ranks per point share a bucket's row.
-    targets = wanted.groupBy(*keys, F.col("_w.b").alias("_b")).agg(
-        F.collect_list("_w").alias("_ranks"), F.first("_ends").alias("_ends")
-    )
-    upto = F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_v"))
-    before = F.when(F.col("_b") > 0, F.get("_ends", F.col("_b") - 1)).otherwise(F.lit(0))
-    inside = (
-        placed.join(targets, [*keys, "_b"]).withColumn("_end", before + upto)
-        .select(*keys, "_v", "_n", "_end", F.explode("_ranks").alias("_w"))
-        .where("_w.rank >= _end - _n and _w.rank < _end")
-    )
+            ranks.append(F.struct(F.lit(i).alias("i"), rank.alias("rank"), (at - first).alias("frac")))
+    before = F.col("_end") - F.col("_n")
+    here = F.filter(F.array(*ranks), lambda w: (w["rank"] >= before) & (w["rank"] < F.col("_end")))
+    wanted = steps.select(*keys, "_s", F.struct(before.alias("before"), "n", "lo", "hi", here.alias("ranks")).alias("_w")).where(F.size("_w.ranks") > 0)
+
+    exact = counted.join(wanted, [*keys, "_s"]).groupBy(*keys, "_s", "_v").agg(F.count(F.lit(1)).alias("_n"), F.first("_w").alias("_w"))
+    end = F.col("_w.before") + F.sum("_n").over(Window.partitionBy(*keys, "_s").orderBy("_v"))
     found = (
-        inside.groupBy(*keys, F.col("_w.i").alias("_i"))
-        .agg(F.min("_v").alias("_a"), F.max("_v").alias("_z"), F.max("_w.frac").alias("_frac"))
-        .select(*keys, "_i", (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_frac")).alias("_q"))
+        exact.withColumn("_end", end).withColumn("_r", F.explode("_w.ranks")).where("_r.rank >= _end - _n and _r.rank < _end")
+        .groupBy(*keys, F.col("_r.i").alias("_i"))
+        .agg(F.min("_v").alias("_a"), F.max("_v").alias("_z"), F.max("_r.frac").alias("_frac"), F.first("_w").alias("_w"))
+        .withColumn("_q", F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_frac"))
     )
-    wide = found.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"q{i}") for i in range(len(points))
-    ])
-    return wide.join(stats.select(*keys, "n", "lo", "hi"), keys)
-
-
-def _buckets_before(rank: Column) -> Column:
-    """How many buckets end at or before a zero-based rank: the bucket it falls in."""
-    return F.size(F.filter("_ends", lambda end: end <= rank))
-
-
-def _total_of(sizes: str, count: Column) -> Column:
-    return F.aggregate(F.slice(sizes, 1, count), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return found.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"q{i}") for i in range(len(points))],
+        *[F.first(f"_w.{c}").alias(c) for c in ("n", "lo", "hi")])
 
 
 def robust_clip(px: DataFrame, value: str, low: float = 0.005, high: float = 0.995) -> DataFrame:

@@ -4,6 +4,8 @@ A range predicate alone plans as a nested loop.  Here every box is filed under t
 power-of-two lattice that fits its size (at most four cells), and looks up the other
 side in the lattices that side really uses, so a pair meets in an equi-join on
 (level, x, y).  Boxes of very different size cost one cell per level, not an explosion.
+A cell that more than CROWD boxes of one side share is dealt into blocks, by position on a
+finer lattice, and the boxes of the other side that reach a block are filed there.
 
 Only distinct geometries take part: a group of copies of one footprint counts once,
 and ids are joined back by geometry.
@@ -14,12 +16,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellscape.session import stored
+
 BOX = ("l", "b", "r", "t")
+CELL = ["level", "x", "y"]
+CROWD = 1024             # boxes of one side that may meet the other side in one block
+DEEPEST = 12             # times that a crowded cell is halved; what is still crowded is dealt by hash
+
+
+def _level(width: Column, height: Column) -> Column:
+    """The power of two that is no less than either side of a box."""
+    span = F.greatest(width, height)
+    return F.when(span > 0, F.ceil(F.log2(span))).otherwise(-30).cast("int")
 
 
 def _leveled(boxes: DataFrame, extra: list[str]) -> DataFrame:
-    span = F.greatest(F.col("r") - F.col("l"), F.col("t") - F.col("b"))
-    level = F.when(span > 0, F.ceil(F.log2(span))).otherwise(-30).cast("int")
+    level = _level(F.col("r") - F.col("l"), F.col("t") - F.col("b"))
     return boxes.select(*extra, *[F.col(x).cast("double").alias(x) for x in BOX]).distinct().withColumn("lvl", level)
 
 
@@ -49,6 +61,48 @@ def _sides(a: DataFrame, b: DataFrame, keys: list[str]) -> list[tuple[DataFrame,
     ]
 
 
+def _uncrowded(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the columns of a finer key, on which they meet in blocks of CROWD boxes or so.
+
+    The quadtree below a crowded cell is cut at one depth: that at which its boxes, if they
+    lay evenly, would fill its squares by half.  A box is filed in every square it touches, and
+    a pair counts in that of its lower-left common corner.  Squares that are crowded all the
+    same (heaps of boxes on one spot) are dealt by hash, both sides, block by block.
+    """
+    cell = [*keys, *CELL]
+    count = lambda df, by, n, *more: df.groupBy(*by).agg(F.count(F.lit(1)).alias(n), *more)
+    largest = F.max(_level(F.col("p.r") - F.col("p.l"), F.col("p.t") - F.col("p.b"))).alias("_lvl")
+    # Squares are no smaller than the boxes looking up, or each would lie in many of them.
+    depth = F.least(F.lit(DEEPEST), F.ceil(F.log2(F.greatest("_n", "_m") * 2 / CROWD) / 2), F.col("level") - F.col("_lvl"))
+    full = stored(count(left, cell, "_n", largest).join(count(right, cell, "_m"), cell).where(F.greatest("_n", "_m") > CROWD).select(
+        *cell, F.greatest(F.lit(0), depth).cast("int").alias("_deep")), "crowded")
+    if full.isEmpty():
+        return left, right, cell
+    deep = F.coalesce("_deep", F.lit(0))
+    fine = F.pow(F.lit(2.0), F.col("level") - deep)
+
+    def squares(df: DataFrame, box: str) -> DataFrame:
+        def span(lo: str, hi: str, at: str) -> Column:
+            first, last = F.floor(F.col(f"{box}.{lo}") / fine), F.floor(F.col(f"{box}.{hi}") / fine)
+            many = F.pow(F.lit(2.0), deep).cast("bigint")
+            return F.sequence(F.greatest(first, F.col(at) * many), F.least(last, (F.col(at) + 1) * many - 1))
+
+        out = df.join(full, cell, "left").withColumn("_fine", fine)
+        return out.withColumn("_x", F.explode(span("l", "r", "x"))).withColumn("_y", F.explode(span("b", "t", "y"))).drop("_deep")
+
+    left, right = squares(left, "p"), squares(right, "q")
+    square = [*cell, "_x", "_y"]
+    heap = stored(count(left, square, "_n").join(count(right, square, "_m"), square).where(F.greatest("_n", "_m") > CROWD).select(
+        *square, F.ceil(F.col("_n") / CROWD).alias("_ways"), F.ceil(F.col("_m") / CROWD).alias("_turns")), "heaps")
+    if heap.isEmpty():
+        return left, right, square
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(n, F.lit(1)) - 1))
+    own = lambda box, n: F.pmod(F.xxhash64(box), F.coalesce(n, F.lit(1)).cast("bigint"))
+    left = left.join(heap, square, "left").withColumn("_i", own("p", "_ways")).withColumn("_j", every("_turns"))
+    right = right.join(heap, square, "left").withColumn("_j", own("q", "_turns")).withColumn("_i", every("_ways"))
+    return left.drop("_ways", "_turns"), right.drop("_ways", "_turns"), [*square, "_i", "_j"]
+
+
 def _meets(p: Column, q: Column, inclusive: bool) -> Column:
     if inclusive:
         return (p["l"] <= q["r"]) & (p["r"] >= q["l"]) & (p["b"] <= q["t"]) & (p["t"] >= q["b"])
@@ -59,16 +113,16 @@ def geometry_pairs(a: DataFrame, b: DataFrame, inclusive: bool, keys: list[str]
     """Overlapping pairs of distinct boxes as structs `p` and `q` (plus the equality keys)."""
     keys = list(keys or [])
     p, q = F.col("p"), F.col("q")
-    size = F.pow(F.lit(2.0), F.col("level"))
-    # A pair is reported only in the cell of its lower-left common corner.
-    once = (F.floor(F.greatest(p["l"], q["l"]) / size) == F.col("x")) & (
-        F.floor(F.greatest(p["b"], q["b"]) / size) == F.col("y")
-    )
-    up, down = (
-        left.join(right, [*keys, "level", "x", "y"]).where(_meets(p, q, inclusive) & once).select(*keys, "p", "q")
-        for left, right in _sides(a, b, keys)
-    )
-    return up.unionByName(down)
+    found = []
+    for left, right in _sides(a, b, keys):
+        left, right, met = _uncrowded(left, right, keys)
+        size, x, y = F.pow(F.lit(2.0), F.col("level")), "x", "y"
+        if "_x" in met:
+            size, x, y, right = F.col("_fine"), "_x", "_y", right.drop("_fine")
+        # A pair is reported only in the cell of its lower-left common corner.
+        once = (F.floor(F.greatest(p["l"], q["l"]) / size) == F.col(x)) & (F.floor(F.greatest(p["b"], q["b"]) / size) == F.col(y))
+        found.append(left.join(right, met).where(_meets(p, q, inclusive) & once).select(*keys, "p", "q"))
+    return found[0].unionByName(found[1])
 
 
 def _corners(name: str) -> list[Column]:
@@ -95,8 +149,9 @@ def overlapping(a: DataFrame, b: DataFrame, inclusive: bool, keys: list[str] | N
     keys = list(keys or [])
     hits = []
     for left, right in _sides(a, b, keys):
+        left, right, met = _uncrowded(left, right, keys)
         l, r = left.alias("l"), right.alias("r")
-        same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*keys, "level", "x", "y"]]
+        same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in met]
         test = _meets(F.col("l.p"), F.col("r.q"), inclusive)
         for part in same:
             test = test & part
