@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellscape.llm import tokens
+from cellscape.llm import opened, shipped, tokens
 from cellscape.session import stored
 
 HALF = 20              # a passage is two halves of so many words, and the next one starts at its second
@@ -144,7 +144,7 @@ def half_sums(items: Items, term: np.ndarray, half: np.ndarray, total: int, tabl
 
 def _frequencies(shared):
     def run(parts):
-        items = shared.value
+        items = opened(shared)
         total, documents = np.zeros(len(items.terms), dtype=np.int64), 0
         for batch in parts:
             text = batch.column(0)
@@ -162,7 +162,7 @@ def _frequencies(shared):
 
 def _sketched(shared, omega_seed: int):
     def run(parts):
-        items = shared.value
+        items = opened(shared)
         omega = random_basis(len(items.terms), omega_seed)
         table = (items.weight[:, None] * omega).astype(np.float32)
         out = np.zeros((len(items.terms), omega.shape[1]))
@@ -233,7 +233,7 @@ def singular_vectors(sketch: np.ndarray, omega: np.ndarray) -> np.ndarray:
 
 def _found(shared):
     def run(parts):
-        items = shared.value
+        items = opened(shared)
         items.project()
         table = (items.weight[:, None] * items.basis).astype(np.float32)
         for batch in parts:
@@ -321,19 +321,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = 5) -> DataFr
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         part = Items(sorted(own, key=lambda r: (r[0] is None, r[0] or 0, r[1])))
-        counts = texts.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(part)), "term long, n long") \
+        counts = texts.select("text").mapInArrow(_frequencies(shipped(spark, part)), "term long, n long") \
             .groupBy("term").agg(F.sum("n").alias("n")).toPandas()
         frequency = np.zeros(len(part.terms))
         known = counts[counts["term"] >= 0]
         frequency[known["term"].to_numpy()] = known["n"].to_numpy()
         part.weigh(frequency, int(counts.loc[counts["term"] < 0, "n"].sum()))
         part.slots = None
-        sketch = texts.select("text").mapInArrow(_sketched(spark.sparkContext.broadcast(part), seed), "block long, rows binary") \
+        sketch = texts.select("text").mapInArrow(_sketched(shipped(spark, part), seed), "block long, rows binary") \
             .repartition("block").mapInArrow(_added, "block long, rows binary").toPandas().sort_values("block")
         omega = random_basis(len(part.terms), seed)
         if len(sketch):
             part.basis = singular_vectors(np.concatenate([np.frombuffer(r, dtype=np.float64).reshape(-1, omega.shape[1]) for r in sketch["rows"]]), omega)
-        rows = texts.mapInArrow(_found(spark.sparkContext.broadcast(part)), FOUND)
+        rows = texts.mapInArrow(_found(shipped(spark, part)), FOUND)
         if blocks > 1:
             rows = stored(rows, "found")
         found = rows if found is None else found.unionByName(rows)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellscape.llm import tokens
+from cellscape.llm import opened, shipped, tokens
 from cellscape.llm.ngram_join import forest
 from cellscape.operators.graph import connected_components
 from cellscape.session import stored
@@ -111,7 +111,7 @@ def _vectors(column) -> np.ndarray:
 def _dealt(shared, reach: float):
     """For every vector its own list, and the later lists that it has to ask as a query."""
     def run(parts):
-        quantisers = shared.value
+        quantisers = opened(shared)
         for batch in parts:
             table = pa.Table.from_batches([batch])
             spaces = np.array(table.column("space").to_pylist(), dtype=object)
@@ -134,6 +134,8 @@ DEALT = "rep long, space string, m long, embedding array<double>, cell int, code
 
 def _linked(shared, least: float, reach: float):
     """Compare the queries of a block with the list rows of a block: links counted, forest edges."""
+    held = {}
+
     def run(table: pa.Table) -> pa.Table:
         cell = table.column("list")[0].as_py()
         asking = table.column("asking").to_numpy(zero_copy_only=False)
@@ -141,7 +143,9 @@ def _linked(shared, least: float, reach: float):
         u, v, n = [], [], []
         if len(left) and len(right):
             x, y = _vectors(left.column("embedding")), _vectors(right.column("embedding"))
-            q = shared.value[x.shape[1]]
+            if not held:
+                held.update(opened(shared))     # once a task
+            q = held[x.shape[1]]
             xn, yn = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
             codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), dtype=np.uint8).reshape(len(right), -1)
             near = q.table(x / xn[:, None], cell, codes) <= (reach + right.column("lost").to_numpy()[None] + 1e-6) ** 2
@@ -187,11 +191,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     size = classes.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("space").alias("spaces")).first()
     lists = min(LISTS[1], max(LISTS[0], -(-size["n"] // (LIST_ROWS * max(1, size["spaces"])))))
     fitted = {}
-    for dim in sorted({len(v) for v in sample} | {r["dim"] for r in reps.select(F.size("embedding").alias("dim")).distinct().limit(1000).collect()}):
+    for dim in sorted({len(v) for v in sample} | {r["dim"] for r in reps.select(F.size("embedding").alias("dim")).distinct().collect()}):
         own = np.array([v for v in sample if len(v) == dim], dtype=np.float64).reshape(-1, dim)
         own = own if len(own) else np.ones((1, dim))   # a dimension too rare for the sample: one cell
         fitted[dim] = Quantisers(own / np.sqrt((own * own).sum(1))[:, None], lists)
-    shared = spark.sparkContext.broadcast(fitted)
+    shared = shipped(spark, fitted)
 
     dealt = stored(reps.mapInArrow(_dealt(shared, reach), DEALT), "dealt")
     held = dealt.groupBy("space", "cell").agg(F.count(F.lit(1)).alias("rows"))
@@ -210,9 +214,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
 
     links = stored(found.groupBy("u").agg(F.sum("n").alias("links")), "counts")
     tops = connected_components(found.where("u <> v").select("u", "v"))
-    lead = classes.join(links.withColumnRenamed("u", "rep"), "rep", "left").join(tops.withColumnRenamed("node", "rep"), "rep", "left")
-    lead = stored(lead.select("space", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"),
-                              F.coalesce("component", "rep").alias("component_id")), "lead")
+    placed = stored(classes.join(tops.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
+    # A class without any vec_id goes by a hash; it joins others, but no component is named by it.
+    named = placed.groupBy("component").agg(F.min("low").alias("component_id"))
+    lead = placed.join(links.withColumnRenamed("u", "rep"), "rep", "left").join(named, "component")
+    lead = stored(lead.select("space", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id"), "lead")
     out = rows.drop("embedding").join(lead, ["space", "h1", "h2"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id")).alias("component_id"))
