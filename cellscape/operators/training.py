@@ -74,14 +74,15 @@ def memory_summary(samples: DataFrame, maps: DataFrame) -> DataFrame:
     )
 
 
-def transported(features: DataFrame, claims: DataFrame, px: DataFrame, names: list[str]) -> DataFrame:
+def transported(claims: DataFrame, px: DataFrame, names: list[str]) -> DataFrame:
     """Features of declared sources on the target pixels; NULL outside their coverage
     and on the target's own holes.
 
-    features: map_no, r, c and names, already on the target grid.  A pixel that two sources
-    claim gets features from neither: it is an error, told by `overlap.contested_pixels`.
+    claims: map_no, r, c, source and names, already on the target grid, a row for every pixel a
+    source covers.  A pixel that two sources claim gets features from neither: it is an error,
+    told by `overlap.contested_pixels`.
     """
-    sole = claims.groupBy("map_no", "r", "c").agg(F.min("source").alias("source"), F.max("source").alias("last"))
-    owned = sole.where("source = last").drop("last").join(features, ["map_no", "r", "c", "source"], "left")
-    joined = px.select("map_no", "r", "c", "z").join(owned.drop("source"), ["map_no", "r", "c"], "left")
-    return joined.select("map_no", "r", "c", *[F.when(F.col("z").isNotNull(), F.col(n)).alias(n) for n in names])
+    sole = claims.groupBy("map_no", "r", "c").agg(
+        F.min("source").alias("_first"), F.max("source").alias("_last"), F.first(F.struct(*names)).alias("_made")).where("_first = _last")
+    joined = px.select("map_no", "r", "c", "z").join(sole, ["map_no", "r", "c"], "left")
+    return joined.select("map_no", "r", "c", *[F.when(F.col("z").isNotNull(), F.col(f"_made.{n}")).alias(n) for n in names])

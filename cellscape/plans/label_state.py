@@ -282,8 +282,7 @@ def feature_transport(v: Views):
         "t_transform": F.array(five, zero, F.lit(80.0), zero, -five, zero)})
     moved = regrid.regrid_nearest(src, ["target", "map_no"], ["slope", "svf"]).select(
         F.col("target").alias("map_no"), F.col("map_no").alias("source"), "r", "c", "slope", "svf")
-    claims = moved.select("map_no", "r", "c", "source")
-    return training.transported(moved, claims, v.pixel, ["slope", "svf"])
+    return training.transported(moved, v.pixel, ["slope", "svf"])
 
 
 @query("J10_training_pixels", "SELECT map_no, r, c, label, w FROM teach", "teach")

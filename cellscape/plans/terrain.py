@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from cellscape.functions.constants import CURV_M, LOCAL_M, REL_M, ROUGH_M, SKY_LOCAL_M, SKY_M
-from cellscape.operators import graph, regrid, stencil
+from cellscape.operators import build, graph, regrid, stencil
 from cellscape.plans.registry import query
 from cellscape.plans.views import PX, Views
 
@@ -211,6 +211,77 @@ def context_features(v: Views):
     return stencil.context_features(px, graph.tile_contexts(side), "z", PX).select(*KEY, *milli(*SIX))
 
 
+# -- features over a graph of sources ------------------------------------------------
+#
+# Of every raster m: its halves 3m, 3m+1 (leaves, adjoining), a mosaic 3m+2 of both, a coarse map
+# 100000+m over the mosaic, a map 200000+m that takes its left half from two sources, and two
+# maps 300000+m, 400000+m that wait for each other.
+
+
+def source_graph(v: Views):
+    """(px, grids, sources, requested)"""
+    m, half, five, ten, zero = F.col("map_no"), F.floor(F.col("c") / 32), F.lit(PX), F.lit(2 * PX), F.lit(0.0)
+    px = v.pixel.select("map_no", "r", "c", "height", "width", "raw", "z")
+    whole = px.withColumn("z", F.when((F.col("r") + F.col("c")) % 11 != 0, F.col("raw")))
+    leaf = px.select((m * 3 + half).alias("map_no"), "r", (F.col("c") % 32).alias("c"), "height", F.lit(32).cast("bigint").alias("width"), "z")
+    coarse = px.select(
+        (m + 100000).alias("map_no"), F.floor(F.col("r") / 2).alias("r"), F.floor(F.col("c") / 2).alias("c"), F.floor(F.col("height") / 2).alias("height"),
+        F.lit(32).cast("bigint").alias("width"), F.when(F.col("raw") % 7 != 0, F.col("raw")).alias("z"), (F.col("r") % 2 + F.col("c") % 2).alias("odd"))
+    coarse = coarse.where("odd = 0 and r < height").drop("odd")
+    same = lambda no: whole.select(no.alias("map_no"), "r", "c", "height", "width", "z")
+    pixels = leaf.unionByName(coarse)
+    for no in (m * 3 + 2, m + 200000, m + 300000, m + 400000):
+        pixels = pixels.unionByName(same(no))
+
+    def grid(no, height, width: int, px, left=0):
+        return v.shape.select(no.alias("map_no"), F.lit("moon").alias("crs"), height.alias("height"), F.lit(width).cast("bigint").alias("width"),
+                              F.array(px, zero, (m * 1000 + left) * five, zero, -px, zero).alias("transform"))
+
+    h = F.col("height")
+    grids = grid(m * 3, h, 32, five).unionByName(grid(m * 3 + 1, h, 32, five, 32)).unionByName(grid(m + 100000, F.floor(h / 2), 32, ten))
+    for no in (m * 3 + 2, m + 200000, m + 300000, m + 400000):
+        grids = grids.unionByName(grid(no, h, 64, five))
+    link = F.explode(F.array(*[F.struct(a.alias("map_no"), b.alias("source")) for a, b in (
+        (m * 3 + 2, m * 3), (m * 3 + 2, m * 3 + 1), (m + 100000, m * 3 + 2), (m + 200000, m * 3), (m + 200000, m * 3 + 2),
+        (m + 300000, m + 400000), (m + 400000, m + 300000), (m + 300000, m + 500000))]))
+    sources = v.shape.select(link.alias("l")).select("l.*")
+    requested = v.shape.select(F.explode(F.array(m + 100000, m + 200000, m + 300000)).alias("map_no"))
+    return pixels, grids, sources, requested
+
+
+_ONE = ", ".join(f"CASE WHEN f.{n} IS NOT NULL AND (f.r+f.c)%11<>0 THEN f.{n} END AS {n}" for n in SIX)
+_MILLI = ", ".join(f"CASE WHEN {{0}} THEN CAST(round(o.{n}*1000) AS BIGINT) END AS {n}" for n in SIX)
+
+
+@query("build_source_graph", f"""WITH {FEATURES}, f AS (SELECT map_no, r, c, height, {", ".join(f"CASE WHEN NOT hole THEN {n} END AS {n}" for n in SIX)} FROM feat JOIN shape USING (map_no)),
+    one AS MATERIALIZED (SELECT f.map_no, f.r, f.c, f.height, {_ONE} FROM f)
+    SELECT o.map_no+100000 AS map_no, o.r//2 AS r, o.c//2 AS c, {_MILLI.format('p.raw%7<>0')} FROM one o JOIN pixel p ON p.map_no=o.map_no AND p.r=o.r-1 AND p.c=o.c-1 WHERE o.r%2=1 AND o.c%2=1
+    UNION ALL SELECT o.map_no+200000, o.r, o.c, {_MILLI.format('o.c>=32')} FROM one o""", "pixel shape")
+def build_features(v: Views):
+    """Six features of the coarse maps and of those with two sources on their left half."""
+    px, grids, sources, requested = source_graph(v)
+    return build.build(px, grids, sources, requested, "z", PX).select(*KEY, *milli(*SIX))
+
+
+@query("build_issues", """
+    SELECT map_no+200000 AS map_no, map_no*3 AS source, 'overlaps source '||(map_no*3+2)||' on '||(height*32)||' pixels' AS issue FROM shape
+    UNION ALL SELECT map_no+300000, map_no+500000, 'unknown map' FROM shape
+    UNION ALL SELECT map_no+k, NULL, 'waits for a cycle' FROM shape, (VALUES (300000), (400000)) t(k)""", "shape")
+def build_issues(v: Views):
+    return build.source_issues(*source_graph(v))
+
+
+@query("build_local_channels", f"""WITH {FILL}, {axis_weights('k_rel', sigma(REL_M))}, {smoothed('far', 'fill', 'filled', 'k_rel', 'k_rel')},
+    {axis_weights('k', 2.0)}, {smoothed('g0', 'fill', 'filled', 'k', 'k')}, g AS (SELECT g0.*, height, width FROM g0 JOIN shape USING (map_no)), {gradient('grad', 'g', 'v')},
+    sh AS (SELECT map_no, r, c, greatest(0,least(1, sin(radians(25))*cos(sl)+cos(radians(25))*sin(sl)*cos(radians(315)-asp))) AS shade
+           FROM (SELECT map_no, r, c, atan(sqrt(gx*gx+gy*gy)) AS sl, atan2(-gy,gx) AS asp FROM grad)),
+    med AS (SELECT map_no, median(filled) AS m FROM fill GROUP BY 1)
+    SELECT map_no, r, c, CASE WHEN NOT hole THEN CAST(round((filled-far.v)*1000) AS BIGINT) END AS rel, CASE WHEN NOT hole THEN CAST(round((filled-m)*1000) AS BIGINT) END AS zscene,
+      CASE WHEN hole THEN 0 ELSE CAST(round(shade*1000) AS BIGINT) END AS shade FROM fill JOIN far USING (map_no, r, c) JOIN sh USING (map_no, r, c) JOIN med USING (map_no)""", "pixel shape")
+def build_local(v: Views):
+    return build.local_channels(v.pixel, "z", PX).select(*KEY, *milli("rel", "zscene", "shade"))
+
+
 def _resize_sql(h: str, w: str) -> str:
     def axis(name: str, size: str, target: str) -> str:
         return f"""{name} AS (SELECT n, m, t, s, w, s=((2*t+1)*n)//(2*m) AS near FROM (SELECT *, 1-abs(s-ctr+0.5)/sup AS w FROM (
