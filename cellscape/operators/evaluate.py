@@ -6,6 +6,8 @@ per scope carry everything, so no metric needs a second look at cells or pixels.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -229,9 +231,43 @@ def leave_one_out(features: DataFrame, samples: DataFrame, plan: DataFrame, esti
                   grid: int, parallelism: int = 4) -> DataFrame:
     """Fit, predict, vote per cell and score for each fold: (map_no, m11..m33).
 
-    The folds are a short list picked by hand; each is one distributed fit and one
-    distributed scoring job, a few of them at a time.  truth: eligible cells with their
-    code.
+    truth: eligible cells with their code.  No fitted fold at all is an error.
+    """
+    made, _ = _fold_matrices(features, samples, plan, estimator, names, truth, grid, parallelism)
+    if made is None:
+        raise ValueError("no fold could be fitted")
+    return made
+
+
+def evaluation_run(features: DataFrame, samples: DataFrame, plan: DataFrame, estimator, names, truth: DataFrame,
+                   baseline: DataFrame, grid: int, parallelism: int = 4) -> tuple[DataFrame, DataFrame]:
+    """E9 with its report: (scores, skipped).
+
+    scores: map_no, kind (`model` or `baseline`) and the nine counts of every fitted fold, the
+    baseline being the most common unit of the fold's training rows (baseline: map_no,
+    majority).  skipped: map_no, reason, for folds the plan rules out and for those whose
+    training rows fit no model.
+    """
+    made, unfitted = _fold_matrices(features, samples, plan, estimator, names, truth, grid, parallelism)
+    spark = features.sparkSession
+    key = plan.schema["map_no"].dataType.simpleString()
+    skipped = plan.where("reason is not null").select("map_no", "reason").unionByName(
+        spark.createDataFrame([(m, "no usable training rows") for m in unfitted], f"map_no {key}, reason string"))
+    guessed = truth.join(plan.where("reason is null").select("map_no"), "map_no", "left_semi").join(
+        skipped.select("map_no"), "map_no", "left_anti").join(baseline.select("map_no", "majority"), "map_no")
+    plainly = confusion(guessed.select(*CELL, F.col("code").alias("truth"), F.col("majority").alias("pred")), ["map_no"])
+    scores = plainly.withColumn("kind", F.lit("baseline"))
+    if made is not None:
+        scores = made.withColumn("kind", F.lit("model")).unionByName(scores)
+    return scores, skipped
+
+
+def _fold_matrices(features, samples, plan, estimator, names, truth, grid, parallelism) -> tuple[DataFrame | None, list]:
+    """The confusion counts of all folds that fit, and the folds that do not.
+
+    The folds are a short list picked by hand; each is one distributed fit, a few of them at
+    a time, and one scoring of its own map's pixels: the filter on the map reaches the scan,
+    so that all folds together read the pixels once.
     """
     from multiprocessing.pool import ThreadPool
 
@@ -252,14 +288,11 @@ def leave_one_out(features: DataFrame, samples: DataFrame, plan: DataFrame, esti
         rows = truth.where(F.col("map_no") == fold).select(*CELL, F.col("code").alias("truth")).join(voted, list(CELL), "left")
         return confusion(rows, ["map_no"])
 
+    folds = selected_folds(plan)
     with ThreadPool(parallelism) as pool:
-        made = [df for df in pool.map(one, selected_folds(plan)) if df is not None]
-    if not made:
-        raise ValueError("no fold could be fitted")
-    result = made[0]
-    for df in made[1:]:
-        result = result.unionByName(df)
-    return result
+        all_ = pool.map(one, folds)
+    made = [df for df in all_ if df is not None]
+    return (reduce(DataFrame.unionByName, made) if made else None), [f for f, df in zip(folds, all_) if df is None]
 
 
 def report_flags(samples: DataFrame, scored: DataFrame, skipped: list[DataFrame]) -> tuple[DataFrame, DataFrame]:

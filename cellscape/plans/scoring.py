@@ -213,20 +213,29 @@ def training_sample(v: Views, per_stratum: int = 300):
     return sampling.stratified(v.teach, per_stratum).select("map_no", "r", "c", "label", "w", *SIX)
 
 
-def prediction_summary(scored):
-    return scored.groupBy("map_no", "prediction").agg(F.count(F.lit(1)).alias("n"), F.min("confidence").alias("least"), F.max("confidence").alias("most"))
+CLEAR_COUNTS = "SELECT map_no, CASE WHEN z IS NOT NULL AND rough IS NOT NULL THEN truth END AS prediction, count(*) AS n FROM clear GROUP BY 1, 2"
 
 
-@query("M1_forest")
+def clear_sample(v: Views, per_stratum: int = 300):
+    """A sample on which the units are plain, so that SQL can say what a model must predict."""
+    rows = training.training_pixels(v.clear, v.paint, GRID)
+    return sampling.stratified(rows, per_stratum).select("map_no", "r", "c", "label", "w", *SIX)
+
+
+def counted(scored):
+    return scored.groupBy("map_no", "prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("M1_forest", CLEAR_COUNTS, "clear")
 def forest(v: Views):
-    fitted = model.fit(training_sample(v), model.forest(**SMALL_FOREST))
-    return prediction_summary(model.predict(fitted, v.feature))
+    fitted = model.fit(clear_sample(v), model.forest(**SMALL_FOREST))
+    return counted(model.predict(fitted, v.clear))
 
 
-@query("M2_boosting")
+@query("M2_boosting", CLEAR_COUNTS, "clear")
 def boosting(v: Views):
-    fitted = model.fit(training_sample(v, 60), model.boosting(rounds=3, max_depth=3))
-    return prediction_summary(model.predict(fitted, v.feature))
+    fitted = model.fit(clear_sample(v, 60), model.boosting(rounds=3, max_depth=3))
+    return counted(model.predict(fitted, v.clear))
 
 
 @query("M3_predict_coverage", """
@@ -249,10 +258,11 @@ def confidence_range(v: Views):
     return scored.groupBy("map_no").agg(F.count("confidence").alias("confident"), F.count_if(bad).cast("int").alias("out_of_range"))
 
 
-@query("M5_retrain")
+@query("M5_retrain", CLEAR_COUNTS, "clear")
 def retrain(v: Views):
-    fitted, _ = model.retrain(v.feature, v.paint, labels.merged_metadata(v.meta), model.forest(**SMALL_FOREST), GRID)
-    return prediction_summary(model.predict(fitted, v.feature))
+    """Only verified paintings teach; all pixels are predicted."""
+    fitted, _ = model.retrain(v.clear, v.paint, labels.merged_metadata(v.meta), model.forest(**SMALL_FOREST), GRID)
+    return counted(model.predict(fitted, v.clear))
 
 
 @query("M6_replace_samples", """
@@ -263,12 +273,14 @@ def replace_samples(v: Views):
     return memory.groupBy("map_no").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("M7_interactive_preview")
+@query("M7_interactive_preview", """
+    SELECT map_no, r, c, CASE WHEN z IS NOT NULL AND rough IS NOT NULL THEN truth END AS prediction, CASE WHEN z IS NOT NULL AND rough IS NOT NULL THEN true END AS sure
+    FROM clear WHERE r%4=0 AND c%4=0""", "clear")
 def interactive_preview(v: Views):
     """Train on the painted cells' sample and predict every fourth pixel."""
-    picked = sampling.per_cell(v.feature, v.paint, GRID, 30).withColumnRenamed("code", "label").withColumn("w", F.lit(1.0))
+    picked = sampling.per_cell(v.clear, v.paint, GRID, 30).withColumnRenamed("code", "label").withColumn("w", F.lit(1.0))
     fitted = model.fit(picked, model.forest(**SMALL_FOREST))
-    return model.predict(fitted, grid.strided(v.feature, 4)).select("map_no", "r", "c", "prediction", "confidence")
+    return model.predict(fitted, grid.strided(v.clear, 4)).select("map_no", "r", "c", "prediction", (F.col("confidence") > 0.9).alias("sure"))
 
 
 @query("M8_single_class", """
@@ -278,14 +290,29 @@ def single_class(v: Views):
     return model.predict(fitted, v.feature).select("map_no", "r", "c", "prediction", "confidence")
 
 
-@query("E9_leave_one_out")
+FOLD_TRUTH = f"""truth AS (SELECT e.map_no, e.code AS truth, CASE WHEN greatest(n1,n2,n3)=0 THEN NULL WHEN n1>=n2 AND n1>=n3 THEN 1 WHEN n2>=n3 THEN 2 ELSE 3 END AS majority
+      FROM elig e JOIN plan p USING (map_no) JOIN (SELECT p.map_no, t1-CASE WHEN m.verified THEN m.n1 ELSE 0 END AS n1, t2-CASE WHEN m.verified THEN m.n2 ELSE 0 END AS n2,
+        t3-CASE WHEN m.verified THEN m.n3 ELSE 0 END AS n3 FROM plan p CROSS JOIN (SELECT sum(n1) AS t1, sum(n2) AS t2, sum(n3) AS t3 FROM mem WHERE verified) LEFT JOIN mem m USING (map_no)) b USING (map_no)
+      WHERE e.eligible AND p.reason IS NULL)"""
+
+
+def _fold_matrix(name: str, pred: str) -> str:
+    return MATRIX.replace("matrix AS", f"{name} AS").replace("FROM scored", f"FROM (SELECT map_no, truth, {pred} AS pred FROM truth)")
+
+
+@query("E9_leave_one_out", f"""WITH {CATALOG}, {PLAN}, {ELIGIBLE}, {FOLD_TRUTH}, {_fold_matrix('mm', 'truth')}, {_fold_matrix('bm', 'majority')}
+    SELECT kind, map_no, n, accuracy, macro_f1, NULL AS reason FROM ({overall_sql('mm', "'model' AS kind, map_no,")} UNION ALL {overall_sql('bm', "'baseline' AS kind, map_no,")})
+    UNION ALL SELECT 'skipped', map_no, NULL, NULL, NULL, reason FROM plan WHERE reason IS NOT NULL""", "labelled feature spine paint shape merged teach")
 def leave_one_out(v: Views):
-    """Fit, predict, vote and score every usable fold."""
-    eligible = eligible_of(v).where("eligible")
-    flags = memory_of(v).where("verified").select("map_no")
-    samples = cut_lineage(training_sample(v).join(flags, "map_no", "left_semi"))
-    scored = evaluate.leave_one_out(v.feature, samples, plan_of(v), model.forest(num_trees=5, max_depth=5), BASE_FEATURES, eligible, GRID)
-    return evaluate.overall_metrics(scored, ["map_no"])
+    """Fit, predict, vote and score every usable fold, next to its baseline; skipped folds with their reasons."""
+    eligible = eligible_of(v).where("eligible")      # `clear` has the holes of `feature`
+    flags = memory_of(v).select("map_no", "verified")
+    samples = cut_lineage(clear_sample(v).join(flags.where("verified"), "map_no", "left_semi"))
+    plan = cut_lineage(plan_of(v))
+    baseline = evaluate.majority_baseline(v.teach.join(flags, "map_no"), plan)
+    scores, skipped = evaluate.evaluation_run(v.clear, samples, plan, model.forest(num_trees=5, max_depth=5), BASE_FEATURES, eligible, baseline, GRID)
+    return evaluate.overall_metrics(scores, ["kind", "map_no"]).withColumn("reason", F.lit(None).cast("string")).unionByName(
+        skipped.withColumn("kind", F.lit("skipped")), allowMissingColumns=True)
 
 
 # -- stored results: written by Spark from the tables and read back --------------------
@@ -356,12 +383,12 @@ def report_sink(v: Views):
     return v.spark.read.schema("run_id string, aggregate struct<n:bigint,accuracy:double,macro_f1:double>").option("recursiveFileLookup", True).json(path).select("run_id", "aggregate.*")
 
 
-@query("S18_model_artifact")
+@query("S18_model_artifact", CLEAR_COUNTS, "clear")
 def model_artifact(v: Views):
     """Saved next to its schema, loaded behind the schema check, then used."""
     path = scratch_path(v.spark, "model")
-    model.save(model.fit(training_sample(v, 50), model.forest(num_trees=3, max_depth=4)), path)
-    return prediction_summary(model.predict(model.load(path), v.feature))
+    model.save(model.fit(clear_sample(v, 50), model.forest(num_trees=3, max_depth=4)), path)
+    return counted(model.predict(model.load(path), v.clear))
 
 
 @query("S19_painting_sink", """

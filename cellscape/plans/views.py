@@ -63,6 +63,10 @@ SQL_VIEWS: dict[str, tuple[str, str]] = {
                CASE WHEN z IS NULL THEN NULL ELSE CAST(c%8 AS DOUBLE) END AS curv,
                CASE WHEN z IS NULL THEN NULL ELSE CAST(abs(raw)%97 AS DOUBLE) END AS svf_local
         FROM pixel"""),
+    "clear": ("px_cell paint", """
+        SELECT map_no, r, c, height, width, z, truth, CASE WHEN z IS NOT NULL THEN CAST(truth*100+abs(raw)%7 AS DOUBLE) END AS slope,
+               CASE WHEN z IS NOT NULL AND nac IS NOT NULL THEN CAST(truth*50+r%5 AS DOUBLE) END AS rough
+        FROM (SELECT p.*, CASE WHEN k.code>0 THEN k.code ELSE 1+(p.map_no+p.ci+2*p.cj)%3 END AS truth FROM px_cell p LEFT JOIN paint k USING (map_no, ci, cj))"""),
     "teach": ("px_cell feature paint", """
         SELECT p.map_no, p.r, p.c, p.z, k.code AS label,
                CASE WHEN k.accepted THEN 0.5::DOUBLE WHEN k.conf=1 THEN 1.0::DOUBLE WHEN k.conf=2 THEN 0.5::DOUBLE
@@ -225,6 +229,24 @@ class Views:
         return self.pixel.select("map_no", "r", "c", "height", "width", "z",
                                  *[F.when(z.isNotNull(), v).alias(k) for k, v in made.items()])
 
+    @cached_property
+    def clear(self) -> DataFrame:
+        """Pixels whose features tell their unit (`truth`) beyond doubt: any learner must get it right.
+
+        The unit is the painted one, or a rule of the cell where nothing is painted.
+        """
+        from cellscape.operators.grid import with_cells
+
+        painted = self.paint.where("code > 0").select("map_no", "ci", "cj", "code")
+        rows = with_cells(self.pixel, GRID).join(painted, ["map_no", "ci", "cj"], "left")
+        t, z = F.coalesce("code", 1 + (F.col("map_no") + F.col("ci") + 2 * F.col("cj")) % 3), F.col("z")
+        made = {
+            "slope": t * 100 + F.abs(F.col("raw")) % 7, "rough": F.when(F.col("nac").isNotNull(), t * 50 + F.col("r") % 5), "svf": t * 10 + F.col("c") % 3,
+            "rel_local": -20 * t + F.col("r") % 9, "curv": t / 4, "svf_local": t * 1000 + F.col("c"),
+        }
+        return rows.select("map_no", "r", "c", "height", "width", "z", t.cast("int").alias("truth"),
+                           *[F.when(z.isNotNull(), x.cast("double")).alias(k) for k, x in made.items()])
+
     # -- strokes and paintings ---------------------------------------------------
 
     @cached_property
