@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +15,9 @@ from cellscape.operators.graph import component_sizes, grid_components
 from cellscape.operators.grid import CELL
 from cellscape.session import cut_lineage
 
+# Batch functions travel with the task; executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 LAYOUT_RANK = {"current": 0, "mirrored": 1, "legacy": 2}
 META_RANK = {"catalog": 0, "legacy": 1, "mirrored": 2, "saved": 3, "draft": 4}
 
@@ -187,65 +195,92 @@ def widened(strokes: DataFrame, grid: int = GRID) -> DataFrame:
     return grown.where(inside).select(*key, "p.ci", "p.cj").distinct()
 
 
+MOST_CELLS = 1 << 22     # cells of the bounding boxes of strokes that are worked on at once, one stroke at least
+
+
 def rasterised(strokes: DataFrame, grid: int = GRID) -> DataFrame:
     """Cells a stroke passes over and cells whose centre it loops around.
 
-    strokes: map_no, stroke_id, path ARRAY<STRUCT<x, y>> in cell coordinates.  A stroke is
-    one row; every segment and loop row is unfolded from it, nothing is joined.
+    strokes: map_no, stroke_id, path ARRAY<STRUCT<x, y>> in cell coordinates; a stroke is one
+    row, and its cells come out of that row.  Nothing is joined, shuffled or read twice: a
+    batch of strokes is walked and scanned row by row of cells as arrays.
     """
-    key = ["map_no", "stroke_id"]
-    path = F.col("path")
-
-    def snap(v: Column) -> Column:
-        return F.when(F.abs(v - F.rint(v)) < 1e-9, F.rint(v)).otherwise(v)
-
-    pts = strokes.withColumn(
-        "path", F.transform(path, lambda p: F.struct(snap(p["x"].cast("double")).alias("x"), snap(p["y"].cast("double")).alias("y")))
-    )
-    first = pts.select(*key, path[0]["x"].alias("x"), path[0]["y"].alias("y"))
-    segment = pts.where(F.size("path") > 1).select(
-        *key, F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1),
-                                    lambda i: F.struct(path[i - 1].alias("a"), path[i].alias("b")))).alias("s")
-    )
-    dx, dy = F.col("s.b.x") - F.col("s.a.x"), F.col("s.b.y") - F.col("s.a.y")
-    steps = F.ceil(F.sqrt(dx * dx + dy * dy) * 3)
-    along = (
-        segment.withColumns({"dx": dx, "dy": dy, "n": steps}).where("n >= 1")
-        .withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
-        .select(*key, (F.col("s.a.x") + F.col("dx") * F.col("k") / F.col("n")).alias("x"),
-                (F.col("s.a.y") + F.col("dy") * F.col("k") / F.col("n")).alias("y"))
-    )
-    passed = first.unionByName(along).select(
-        *key, F.floor("y").alias("ci"), F.floor("x").alias("cj")
-    ).where((F.col("ci") >= 0) & (F.col("cj") >= 0) & (F.col("ci") < grid) & (F.col("cj") < grid))
-
-    # Even-odd rule by scan line: the edges that a row's centre line crosses, sorted, pair
-    # up into the spans that lie inside the loop.
-    heights = F.transform(path, lambda p: p["y"])
-    top = F.greatest(F.lit(0).cast("bigint"), F.floor(F.array_min(heights)))
-    low = F.least(F.lit(grid - 1).cast("bigint"), F.floor(F.array_max(heights)))
-    y = F.col("ci") + 0.5
-
-    def crossing(i: Column) -> Column:
-        a, b = path[i], path[F.pmod(i - 1, F.size(path))]
-        meets = (a["y"] > y) != (b["y"] > y)
-        return F.when(meets, (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"])
-
-    xs = F.sort_array(F.filter(F.transform(F.sequence(F.lit(0), F.size(path) - 1), crossing), lambda x: x.isNotNull()))
-
-    def inner(k: Column) -> Column:
-        left = F.greatest(F.lit(0).cast("bigint"), F.ceil(F.get(F.col("xs"), k * 2) - 0.5))
-        right = F.least(F.lit(grid).cast("bigint"), F.ceil(F.get(F.col("xs"), k * 2 + 1) - 0.5)) - 1
-        return F.when(left <= right, F.sequence(left, right)).otherwise(F.array().cast("array<bigint>"))
-
-    pairs = F.sequence(F.lit(0), (F.size("xs") / 2).cast("int") - 1)
-    looped = (
-        pts.where(F.size("path") > 2)
-        .withColumn("ci", F.explode(F.when(top <= low, F.sequence(top, low))))
-        .select(*key, "ci", xs.alias("xs")).where(F.size("xs") >= 2)
-        .select(*key, "ci", F.explode(F.flatten(F.transform(pairs, inner))).alias("cj"))
-    )
-    return passed.unionByName(looped).distinct()
+    point = F.transform("path", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    kind = {c: strokes.schema[c].dataType.simpleString() for c in ("map_no", "stroke_id")}
+    return strokes.where(F.size("path") > 0).select("map_no", "stroke_id", point.alias("path")).mapInArrow(
+        _stroke_cells(grid), f"map_no {kind['map_no']}, stroke_id {kind['stroke_id']}, ci bigint, cj bigint")
+
+
+def _runs(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, value) of first..last of every row, none where last is below first."""
+    n = np.maximum(last - first + 1, 0)
+    owner = np.repeat(np.arange(len(n)), n)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + first[owner]
+
+
+def _walked(x, y, line, grid):
+    """(stroke, ci, cj): first points, and every segment in thirds of a cell, its end included."""
+    head = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+    at = np.flatnonzero(line[1:] == line[:-1])
+    dx, dy = x[at + 1] - x[at], y[at + 1] - y[at]
+    n = np.ceil(np.sqrt(dx * dx + dy * dy) * 3).astype(np.int64)
+    s, k = _runs(np.ones(len(n), np.int64), n)
+    px = np.concatenate([x[head], x[at][s] + dx[s] * k / n[s]])
+    py = np.concatenate([y[head], y[at][s] + dy[s] * k / n[s]])
+    who, ci, cj = np.concatenate([line[head], line[at][s]]), np.floor(py).astype(np.int64), np.floor(px).astype(np.int64)
+    inside = (ci >= 0) & (cj >= 0) & (ci < grid) & (cj < grid)
+    return who[inside], ci[inside], cj[inside]
+
+
+def _looped(x, y, line, starts, sizes, grid):
+    """(stroke, ci, cj) by the even-odd rule: the edges that a row's centre line crosses pair up into spans."""
+    place = np.arange(len(x)) - starts[line]
+    before = starts[line] + (place - 1) % sizes[line]
+    edge = np.flatnonzero(sizes[line] > 2)
+    ax, ay, bx, by = x[edge], y[edge], x[before[edge]], y[before[edge]]
+    low, high = np.clip(np.floor(np.minimum(ay, by)), -1, grid).astype(np.int64), np.clip(np.floor(np.maximum(ay, by)), -1, grid).astype(np.int64)
+    e, ci = _runs(np.maximum(low, 0), np.minimum(high, grid - 1))
+    centre = ci + 0.5
+    meets = (ay[e] > centre) != (by[e] > centre)
+    e, ci, centre = e[meets], ci[meets], centre[meets]
+    at = (bx[e] - ax[e]) * (centre - ay[e]) / (by[e] - ay[e]) + ax[e]
+    who = line[edge][e]
+    order = np.lexsort((at, ci, who))     # a closed path crosses a line an even number of times
+    who, ci, at = who[order], ci[order], at[order]
+    left = np.maximum(0, np.ceil(np.clip(at[0::2], -1, grid + 1) - 0.5)).astype(np.int64)
+    right = np.minimum(grid, np.ceil(np.clip(at[1::2], -1, grid + 1) - 0.5)).astype(np.int64) - 1
+    s, cj = _runs(left, right)
+    return who[0::2][s], ci[0::2][s], cj
+
+
+def _stroke_cells(grid: int):
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            path = batch.column("path")
+            ends = path.offsets.to_numpy().astype(np.int64)
+            flat = path.flatten()
+            xy = [c.to_numpy(zero_copy_only=False).astype(np.float64) for c in flat.flatten()]
+            x, y = (np.where(np.abs(v - np.rint(v)) < 1e-9, np.rint(v), v) for v in xy)
+            ends = ends - ends[0]
+            sizes = np.diff(ends)
+            tall, wide = (np.minimum(np.maximum.reduceat(v, ends[:-1]) - np.minimum.reduceat(v, ends[:-1]), grid) + 1 for v in (x, y))
+            weight = np.cumsum(tall * wide + 8 * sizes)
+            first = 0
+            while first < len(sizes):
+                last = max(first + 1, int(np.searchsorted(weight, (weight[first - 1] if first else 0) + MOST_CELLS, side="right")))
+                a, b = ends[first], ends[last]
+                own, starts = sizes[first:last], ends[first:last] - a
+                line = np.repeat(np.arange(last - first), own)
+                found = [_walked(x[a:b], y[a:b], line, grid), _looped(x[a:b], y[a:b], line, starts, own, grid)]
+                who, ci, cj = (np.concatenate(v) for v in zip(*found))
+                cells = np.unique((who * grid + ci) * grid + cj)
+                who = pa.array(cells // (grid * grid) + first)
+                yield pa.RecordBatch.from_arrays([batch.column("map_no").take(who), batch.column("stroke_id").take(who),
+                                                  pa.array(cells // grid % grid), pa.array(cells % grid)], names=["map_no", "stroke_id", "ci", "cj"])
+                first = last
+    return run
 
 
 # -- fingerprints and merging --------------------------------------------------
