@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellscape.functions import raster as R
-from cellscape.operators import catalog, distribution, grid, labels, overlap, regrid, sampling, tiles, training
+from cellscape.operators import catalog, distribution, grid, labels, memory, overlap, regrid, sampling, tiles, training
 from cellscape.plans.registry import query
 from cellscape.plans.views import GRID, Views, text_id
+from cellscape.session import scratch_path
 
 SOURCES = """picked AS (
     SELECT map_no, source, layout_rank FROM (
@@ -330,6 +331,67 @@ def changed_inputs(v: Views):
     return training.changed_inputs(current, recorded, ["painting_hash"])
 
 
+# Contents of parts as rasters; every part but the first takes features from the part a third as high.
+DEEP = 9     # levels of that graph, more than the given tables have
+
+
+def _revision_sql(content: str) -> tuple[str, str]:
+    steps = [f"r0 AS (SELECT p_partkey AS map_no, sha256({content}) AS rev FROM part WHERE p_partkey<3)"]
+    for k in range(1, DEEP + 4):
+        steps.append(f"r{k} AS (SELECT p_partkey AS map_no, sha256({content}||'|'||p_partkey//3||':'||rev) AS rev FROM part JOIN r{k - 1} ON r{k - 1}.map_no=p_partkey//3 WHERE p_partkey>=3)")
+    return ",\n    ".join(steps), " UNION ALL ".join(f"SELECT * FROM r{k}" for k in range(DEEP + 4))
+
+
+_NOW, _NOW_ALL = _revision_sql("p_name||CASE WHEN p_partkey IN (1, 17) THEN 'edited' ELSE '' END")
+_THEN, _THEN_ALL = _revision_sql("p_name")
+
+
+@query("J14_changed_sources", f"""
+    WITH now_ AS (WITH {_NOW} {_NOW_ALL}), then_ AS (WITH {_THEN} {_THEN_ALL})
+    SELECT map_no, 'changed' AS status FROM now_ a JOIN then_ b USING (map_no) WHERE a.rev<>b.rev""")
+def changed_sources(v: Views):
+    """Two edited rasters: every map above them, however far, is to be read again."""
+    part, k = v.table("part"), F.col("p_partkey")
+    links = part.where(k >= 3).select(k.alias("map_no"), R.int_div(k, 3).alias("source"))
+
+    def inputs(content):
+        rev = memory.source_revisions(part.select(k.alias("map_no"), content.alias("hash")), links)
+        return rev.select("map_no", F.lit("same").alias("painting_hash"), F.col("revision").alias("source_revision"))
+
+    edited = F.concat("p_name", F.when(k.isin(1, 17), "edited").otherwise(""))
+    return memory.changed_training(inputs(edited), inputs(F.col("p_name")), "schema 1", "schema 1")
+
+
+MEMORY_MAPS = """vm AS (SELECT DISTINCT map_no FROM merged WHERE key='verified' AND value='true'), old_ AS (SELECT DISTINCT map_no FROM teach),
+    ask AS (SELECT map_no FROM old_ WHERE map_no%3<>0 UNION SELECT 500), fresh_ AS (SELECT DISTINCT map_no FROM teach WHERE map_no%3=1),
+    st AS (SELECT map_no, a.map_no IS NOT NULL AS asked, o.map_no IS NOT NULL AS old, f.map_no IS NOT NULL AS fresh, v.map_no IS NOT NULL AS ok, map_no=1 AS held, map_no//3=0 AS shut
+      FROM (SELECT map_no FROM old_ UNION SELECT map_no FROM ask) LEFT JOIN ask a USING (map_no) LEFT JOIN old_ o USING (map_no) LEFT JOIN fresh_ f USING (map_no) LEFT JOIN vm v USING (map_no))"""
+
+
+@query("M6_incremental_memory", f"""WITH {MEMORY_MAPS},
+    told AS (SELECT map_no, CASE WHEN asked AND held THEN 'refused: held out' WHEN asked AND NOT ok THEN 'refused: not verified' WHEN asked AND fresh AND shut THEN 'refused: excluded geography'
+      WHEN asked AND NOT fresh THEN 'forgotten' WHEN asked AND old THEN 'replaced' WHEN asked THEN 'added' WHEN held OR shut THEN 'dropped: excluded' WHEN NOT ok THEN 'dropped: not verified' ELSE 'kept' END AS status FROM st)
+    SELECT t.map_no, t.status, count(x.map_no) AS rows FROM told t LEFT JOIN teach x ON x.map_no=t.map_no AND (t.status='kept' OR t.status='replaced' AND x.z IS NOT NULL) GROUP BY 1, 2""", "teach merged")
+def incremental_memory(v: Views):
+    """Memory of all paintings; a third of the maps is sampled anew, a third cleared, map 1 is held out with its group of three."""
+    path = scratch_path(v.spark, "memory")
+    samples = v.teach.select("map_no", "r", "c", "z", "label", "w")
+    nothing = v.spark.createDataFrame([], "map_no bigint, version int")
+    memory.publish(path, samples, nothing)
+    every = samples.select("map_no").distinct()
+    m = F.col("map_no")
+    asked = every.where("map_no % 3 <> 0").unionByName(v.spark.createDataFrame([(500,)], "map_no bigint"))
+    fresh = samples.where("map_no % 3 = 1 and z is not null")
+    verified = labels.merged_metadata(v.meta).where("key = 'verified' and value = 'true'").select("map_no")
+    known = every.unionByName(v.spark.createDataFrame([(500,)], "map_no bigint"))
+    left = m.cast("double") * 10
+    told = memory.updated(path, asked, fresh, verified, v.spark.createDataFrame([(1,)], "map_no bigint"), known.select("map_no", R.int_div(m, 3).alias("grp")),
+                          v.spark.createDataFrame([], "map_no bigint, tile bigint"),
+                          known.select("map_no", F.lit("moon").alias("crs"), left.alias("l"), F.lit(0.0).alias("b"), (left + 5).alias("r"), F.lit(5.0).alias("t")))
+    kept = memory.memory(v.spark, path).groupBy("map_no").agg(F.count(F.lit(1)).alias("rows"))
+    return told.join(kept.withColumn("map_no", m.cast("bigint")), "map_no", "left").select("map_no", "status", F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
 @query("J15_disagreement", "SELECT map_no, r, c, label, pred FROM labelled WHERE pred IN (1,2,3) AND label IN (1,2,3) AND pred<>label", "labelled")
 def disagreement(v: Views):
     return catalog.disagreement(v.labelled, "pred", "label").select("map_no", "r", "c", "label", "pred")
