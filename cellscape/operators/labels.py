@@ -288,14 +288,14 @@ def _stroke_cells(grid: int):
 
 def fingerprint(cells: DataFrame, grid: int = GRID) -> DataFrame:
     """SHA-256 of the row-major codes, then of certainty and approval where they say
-    anything.  A painting has at most grid*grid cells, so its list is bounded."""
-    painted = cells.where("code > 0")
-    packed = painted.groupBy("map_no").agg(
-        F.array_sort(F.collect_list(F.struct(
+    anything.  A painting has at most grid*grid cells, so its list is bounded.  A blank painting
+    has a digest too; a map without any cell has none."""
+    packed = cells.groupBy("map_no").agg(
+        F.array_sort(F.collect_list(F.when(F.col("code") > 0, F.struct(
             (F.col("ci") * grid + F.col("cj")).cast("int").alias("i"),
             F.col("code").cast("int").alias("code"), F.col("conf").cast("int").alias("conf"),
             F.col("accepted").cast("int").alias("accepted"),
-        ))).alias("a")
+        )))).alias("a")
     )
     a = F.col("a")
 
@@ -306,7 +306,7 @@ def fingerprint(cells: DataFrame, grid: int = GRID) -> DataFrame:
         def piece(x: Column, k: Column) -> Column:
             before = F.when(k == 0, F.lit(-1)).otherwise(F.get(a, k - 1)["i"])
             return F.concat(gap(x["i"] - before - 1), F.lpad(F.hex(x[field]), 2, "0"))
-        last = F.element_at(a, -1)["i"]
+        last = F.coalesce(F.get(a, F.size(a) - 1)["i"], F.lit(-1))      # of a blank painting: none
         return F.concat(F.array_join(F.transform(a, piece), ""), gap(F.lit(grid * grid - 1) - last))
 
     marked = F.exists(a, lambda x: x["conf"] != SURE)

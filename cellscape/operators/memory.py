@@ -49,8 +49,8 @@ def source_revisions(contents: DataFrame, sources: DataFrame) -> DataFrame:
 
 def training_inputs(cells: DataFrame, verified: DataFrame, revisions: DataFrame, grid: int) -> DataFrame:
     """What each verified map would teach now: map_no, painting_hash, source_revision; blank paintings teach nothing."""
-    painted = fingerprint(cells.join(verified, "map_no", "left_semi"), grid)
-    return painted.join(revisions.withColumnRenamed("revision", "source_revision"), "map_no", "left")
+    teaching = cells.where("code > 0").select("map_no").distinct().join(verified, "map_no", "left_semi")
+    return fingerprint(cells.join(teaching, "map_no", "left_semi"), grid).join(revisions.withColumnRenamed("revision", "source_revision"), "map_no", "left")
 
 
 def changed_training(current: DataFrame, recorded: DataFrame, schema: str, recorded_schema: str) -> DataFrame:

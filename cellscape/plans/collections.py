@@ -9,6 +9,8 @@ from cellscape.operators import catalog, graph, grid, labels, manifest, tiles
 from cellscape.plans.pixels import LAYOUT_PROBLEMS, RECORDED, positioned_layout, recorded_layout
 from cellscape.plans.registry import query
 from cellscape.plans.views import GRID, Views, text_id
+from cellscape.session import scratch_path
+from cellscape.sources import sinks
 
 ROOT = "/data/dems"
 
@@ -148,7 +150,10 @@ def catalog_records(v: Views):
     regions = v.shape.select(text_id("reg", F.col("map_no")).alias("region"), "height", "width",
                              F.array(*[F.lit(x) for x in (5.0, 0.0, 0.0, 0.0, -5.0, 0.0)]).alias("transform"))
     laid = tiles.tile_layout(regions, 32).drop("tile_row", "tile_col").join(counted_tiles(v).drop("region"), "tile_id")
-    out = catalog.catalog_records(laid, ["sfs", "nac", "image_count", "valid_data", "sfs_support"])
+    records = catalog.catalog_records(laid, ["sfs", "nac", "image_count", "valid_data", "sfs_support"])
+    path = scratch_path(v.spark, "records")
+    sinks.write_catalog(records, path)
+    out = v.spark.read.schema(records.schema).json(path)
     pairs = F.transform(F.map_entries("layers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return out.select("tile_id", "group", "collection", "working_dem",
                       F.array_join(F.transform("size", lambda x: x.cast("string")), "x").alias("size"),
@@ -338,18 +343,36 @@ def blocked_components(v: Views):
 SEED = "(map_no*5+3)%16*16+(map_no*11+2)%16"
 
 
-@query("L8_region_fill", f"""
+REGION_FILL = f"""
     WITH RECURSIVE {SUGGESTED}, {_walk('comp', 'sug', 'code')},
     reg AS (SELECT s.map_no, s.ci, s.cj, s.code, c.root IN (SELECT root FROM comp k WHERE k.map_no=s.map_no AND k.x={SEED.replace('map_no', 's.map_no')}) AS region FROM sug s JOIN comp c ON c.map_no=s.map_no AND c.x=s.ci*16+s.cj),
     gap AS (SELECT *, CASE WHEN NOT region THEN 1 END AS g FROM reg), {_walk('hole', 'gap', 'g')}
     SELECT reg.map_no, ci, cj, code FROM reg LEFT JOIN hole h ON h.map_no=reg.map_no AND h.x=ci*16+cj WHERE (region OR h.cells<4) AND code>0
-      AND reg.map_no IN (SELECT map_no FROM sug WHERE code>0 AND ci*16+cj={SEED})""", "pixel")
+      AND reg.map_no IN (SELECT map_no FROM sug WHERE code>0 AND ci*16+cj={SEED})"""
+
+
+@query("L8_region_fill", REGION_FILL, "pixel")
 def region_fill(v: Views):
     m = F.col("map_no")
     seeds = v.maps.select("map_no", ((m * 5 + 3) % 16).alias("ci"), ((m * 11 + 2) % 16).alias("cj"))
     return labels.region_fill(suggested(v), seeds)
 
 
+@query("L8_guarded_fill", REGION_FILL.replace("SELECT reg.map_no, ci, cj, code FROM reg", """SELECT reg.map_no, ci, cj, code FROM
+      (SELECT * FROM reg WHERE NOT EXISTS (SELECT 1 FROM paint p WHERE p.map_no=reg.map_no AND p.ci=reg.ci//2 AND p.cj=reg.cj//2 AND p.code>0 AND NOT p.accepted)
+        AND EXISTS (SELECT 1 FROM land l WHERE l.map_no=reg.map_no AND l.ci=reg.ci AND l.cj=reg.cj)) reg""").replace(
+      "WITH RECURSIVE", "WITH RECURSIVE land AS (SELECT DISTINCT map_no, ((r+1)*16-1)//height AS ci, ((c+1)*16-1)//width AS cj FROM pixel WHERE z IS NOT NULL),"), "pixel paint")
+def guarded_fill(v: Views):
+    """The same fill where people may paint: not over hand labels, not where terrain is missing."""
+    m = F.col("map_no")
+    seeds = v.maps.select("map_no", ((m * 5 + 3) % 16).alias("ci"), ((m * 11 + 2) % 16).alias("cj"))
+    quarter = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
+    cells = v.paint.withColumn("q", quarter).select(
+        "map_no", (F.col("ci") * 2 + F.col("q.i")).alias("ci"), (F.col("cj") * 2 + F.col("q.j")).alias("cj"), "code", "accepted")
+    land = grid.paintable_cells(v.pixel, 16).where("paintable")
+    return labels.may_fill(labels.region_fill(suggested(v), seeds), cells, land)
+
+
 @query("L9_loop_fill", f"""
     WITH RECURSIVE {SUGGESTED}, ins AS (SELECT *, ci BETWEEN 3 AND 12 AND cj>=map_no%5 AND cj<14 AS inside FROM sug), hit AS (SELECT *, CASE WHEN inside AND code=2 THEN 1 END AS h FROM ins), {_walk('comp', 'hit', 'h')},
     reg AS (SELECT i.*, coalesce(c.cells>=4,false) AS region FROM ins i LEFT JOIN comp c ON c.map_no=i.map_no AND c.x=i.ci*16+i.cj),

@@ -126,7 +126,7 @@ def stroke_rasterise(v: Views):
 
 @query("L11_painting_fingerprint", """
     WITH full_ AS (SELECT m.map_no, i.k AS k, coalesce(code,0) AS code, CASE WHEN code>0 THEN conf ELSE 0 END AS conf, coalesce(code>0 AND accepted,false) AS acc
-      FROM (SELECT DISTINCT map_no FROM paint WHERE code>0) m CROSS JOIN range(0,64) i(k) LEFT JOIN paint p ON p.map_no=m.map_no AND p.ci*8+p.cj=i.k)
+      FROM (SELECT DISTINCT map_no FROM paint) m CROSS JOIN range(0,64) i(k) LEFT JOIN paint p ON p.map_no=m.map_no AND p.ci*8+p.cj=i.k)
     SELECT map_no, sha256(unhex(string_agg('0'||code,'' ORDER BY k) || CASE WHEN bool_or(conf NOT IN (0,1)) THEN string_agg('0'||conf,'' ORDER BY k) ELSE '' END
       || CASE WHEN bool_or(acc) THEN '617070726f766564'||string_agg(CASE WHEN acc THEN '01' ELSE '00' END,'' ORDER BY k) ELSE '' END)) AS painting_hash
     FROM full_ GROUP BY 1""", "paint")

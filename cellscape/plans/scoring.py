@@ -347,15 +347,16 @@ def latest_report(v: Views):
     k, n = F.col("o_orderkey"), F.col("o_orderkey") + 1
     run_id = F.concat(F.date_format("o_orderdate", "yyyyMMdd'T'HHmmss"), F.lit(".000000Z-"), F.lpad(k.cast("string"), 8, "0"))
 
-    def document(run, aggregate, maps):
-        return F.to_json(F.struct(run.alias("run_id"), F.struct(aggregate.alias("aggregate")).alias("validation"),
-                                  F.struct(maps.alias("maps")).alias("provenance")))
+    def document(run, aggregate, maps, names=F.array(F.lit("a"), F.lit("b")), folds=F.array(F.struct(F.lit("a").alias("map")))):
+        return F.to_json(F.struct(run.alias("run_id"), F.struct(aggregate.alias("aggregate"), folds.alias("folds")).alias("validation"),
+                                  names.alias("selected_maps"), F.struct(maps.alias("maps")).alias("provenance")))
 
     good = F.struct(n.alias("n"), F.lit(0.5).alias("accuracy"), F.lit(0.25).alias("macro_f1"))
     wild = F.struct(n.alias("n"), F.lit(1.5).alias("accuracy"), F.lit(0.25).alias("macro_f1"))
     some = F.struct(F.lit("a").alias("m"))
     text = (
-        F.when(k % 5 == 0, document(run_id, good, some)).when(k % 5 == 1, F.lit('{"run_id": '))
+        F.when(k % 5 == 0, document(run_id, good, some)).when(k % 10 == 1, document(run_id, good, some, names=F.array(F.lit(1))))
+        .when(k % 5 == 1, F.lit('{"run_id": ')).when(k % 10 == 2, document(run_id, good, some, folds=F.array(F.lit("x"))))
         .when(k % 5 == 2, document(F.lit("other"), good, some)).when(k % 5 == 3, document(run_id, wild, some))
         .otherwise(document(run_id, good, F.array(F.lit(1)))))
     reports = v.table("orders").select(run_id.alias("run_id"), text.alias("value"))

@@ -68,6 +68,8 @@ def report_files(spark: SparkSession, folder: str) -> DataFrame:
 def latest_report(reports: DataFrame) -> DataFrame:
     """The newest valid report; a corrupt newer one never hides an older valid one.
 
+    Lists are checked to the last element: map names are text, tiles, skips and folds objects.
+
     reports: run_id (dated, so that text order is time order), value (JSON text).
     """
     def kind(path: str) -> Column:
@@ -93,7 +95,11 @@ def latest_report(reports: DataFrame) -> DataFrame:
     for block in ("aggregate", "baseline_aggregate"):
         for name in ("accuracy", "macro_f1"):
             valid = valid & share(f"$.validation.{block}.{name}")
-    for path in ("$.selected_maps", "$.tiles", "$.skipped", "$.validation.folds"):
-        valid = valid & (kind(path).isNull() | kind(path).startswith("ARRAY"))
+    valid = valid & kind("$.validation.aggregate").startswith("OBJECT")
+    valid = valid & (kind("$.validation.baseline_aggregate").isNull() | kind("$.validation.baseline_aggregate").startswith("OBJECT"))
+    for path, element in (("$.selected_maps", "STRING"), ("$.tiles", "OBJECT"), ("$.skipped", "OBJECT"), ("$.validation.folds", "OBJECT")):
+        parts = F.try_variant_get("doc", path, "array<variant>")
+        sound = F.forall(parts, lambda x: F.startswith(F.coalesce(F.schema_of_variant(x), F.lit("VOID")), F.lit(element)))
+        valid = valid & (kind(path).isNull() | (kind(path).startswith("ARRAY") & F.coalesce(sound, F.lit(False))))
     good = reports.withColumn("doc", F.try_parse_json("value")).where(valid)
     return good.agg(F.max("run_id").alias("run_id"), F.max_by("value", "run_id").alias("report")).where("run_id is not null")
