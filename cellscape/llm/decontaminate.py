@@ -130,6 +130,13 @@ def passages(start: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
     return a, np.where(single[a], a, a + 1)
 
 
+def worded(a: np.ndarray, b: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The passages with a weighted term; all others are at right angles to everything."""
+    has = sums.any(axis=1)
+    keep = has[a] | has[b]
+    return a[keep], b[keep]
+
+
 def half_sums(items: Items, term: np.ndarray, half: np.ndarray, total: int, table: np.ndarray) -> np.ndarray:
     """Sum of the weighted table rows of the terms in each half."""
     out = np.zeros((total, table.shape[1]), dtype=np.float32)
@@ -175,7 +182,7 @@ def _sketched(shared, omega_seed: int):
                 if not total:
                     continue
                 sums = half_sums(items, term, half, total, table)
-                a, b = passages(start, total)
+                a, b = worded(*passages(start, total), sums)
                 rows = np.where((a != b)[:, None], sums[a] + sums[b], sums[a])
                 each = np.zeros_like(sums)     # what the passages of a half add up to
                 each[a] += rows
@@ -242,7 +249,7 @@ def _found(shared):
                 best: dict[tuple[int, int], tuple] = {}
 
                 def look(sums, start, size, latent, owner, least):
-                    a, b = passages(start, len(sums))
+                    a, b = worded(*passages(start, len(sums)), sums)
                     rows = np.where((a != b)[:, None], sums[a] + sums[b], sums[a])
                     norm = np.sqrt((rows * rows).sum(1))
                     row_of = np.searchsorted(start, a, side="right") - 1
