@@ -143,9 +143,13 @@ def test_checkpoint_folder_comes_from_the_session(spark):
 def test_stored_tables_can_be_cleared(spark):
     kept = session.stored(spark.range(3).toDF("x"))
     assert sorted(r.x for r in kept.collect()) == [0, 1, 2]
-    path = session._written[-1]
+    there = lambda: [os.path.exists(p.removeprefix("file:")) for p in paths]
+    gone = session.stored(spark.range(2).toDF("x"))
+    paths = list(session._written)[-2:]
+    session.drop_stored(gone, gone, spark.range(1))          # what is not stored, or no longer, is left alone
+    assert there() == [True, False] and kept.count() == 3
     session.clear_stored(spark)
-    assert not session._written and not os.path.exists(path.removeprefix("file:"))
+    assert not session._written and there() == [False, False]
 
 
 def test_stroke_stream_equals_the_batch_fold(spark, tmp_path):
