@@ -138,15 +138,27 @@ def worded(a: np.ndarray, b: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray,
 
 
 def half_sums(items: Items, term: np.ndarray, half: np.ndarray, total: int, table: np.ndarray) -> np.ndarray:
-    """Sum of the weighted table rows of the terms in each half."""
-    out = np.zeros((total, table.shape[1]), dtype=np.float32)
+    """Sum of the weighted table rows of the terms in each half.
+
+    Halves in the order of their number of terms: the first terms of all of them are added at
+    once, then the second ones of those that have one, and so on, each time a leading slice.
+    """
     at = np.flatnonzero((term >= 0) & (items.weight[term] > 0))
-    for i in range(0, len(at), STEP):
-        part = at[i : i + STEP]
-        rows, where = table[term[part]], half[part]
-        cut = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-        out[where[cut]] += np.add.reduceat(rows, cut, axis=0)
-    return out
+    count = np.bincount(half[at], minlength=total)
+    order = np.argsort(-count, kind="stable")
+    place = np.empty(total, dtype=np.int64)
+    place[order] = np.arange(total)
+    nth = np.arange(len(at)) - (np.cumsum(count) - count)[half[at]]
+    lined = np.lexsort((place[half[at]], nth))                # by number within the half, then by place
+    terms, many = term[at][lined], np.bincount(nth, minlength=1)
+    sums = np.zeros((total, table.shape[1]), dtype=np.float32)
+    start = 0
+    for n in many.tolist():
+        for i in range(0, n, STEP):
+            k = min(n, i + STEP)
+            sums[i:k] += table[terms[start + i : start + k]]
+        start += n
+    return sums[place]
 
 
 def _frequencies(shared):
@@ -250,7 +262,8 @@ def _found(shared):
 
                 def look(sums, start, size, latent, owner, least):
                     a, b = worded(*passages(start, len(sums)), sums)
-                    rows = np.where((a != b)[:, None], sums[a] + sums[b], sums[a])
+                    rows, two = sums[a], np.flatnonzero(a != b)
+                    rows[two] += sums[b[two]]
                     norm = np.sqrt((rows * rows).sum(1))
                     row_of = np.searchsorted(start, a, side="right") - 1
                     for i in range(0, len(rows), 8192):
@@ -286,7 +299,10 @@ def _found(shared):
                         quarter, begin = halves(first, HALF // 2)
                         parts_of = half_sums(items, term, quarter, int(begin[-1]), table)
                         place = np.arange(begin[-1]) - np.repeat(begin[:-1], np.diff(begin))
-                        sums = np.add.reduceat(parts_of, np.flatnonzero(place % 2 == 0), axis=0)
+                        even = np.flatnonzero(place % 2 == 0)
+                        sums = parts_of[even]
+                        two = np.flatnonzero(place[np.minimum(even + 1, len(place) - 1)] % 2 == 1)   # those with a second part
+                        sums[two] += parts_of[even[two] + 1]
                     else:
                         sums = half_sums(items, term, half, int(start[-1]), table)
                     look(sums, start, HALF, items.latent, items.owner, np.float32(COSINE))
