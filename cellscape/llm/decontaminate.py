@@ -195,10 +195,11 @@ def _sketched(shared, omega_seed: int):
                     continue
                 sums = half_sums(items, term, half, total, table)
                 a, b = worded(*passages(start, total), sums)
-                rows = np.where((a != b)[:, None], sums[a] + sums[b], sums[a])
+                two = np.flatnonzero(a != b)
+                rows = sums[a]
+                rows[two] += sums[b[two]]
                 each = np.zeros_like(sums)     # what the passages of a half add up to
-                each[a] += rows
-                two = a != b
+                each[a] = rows
                 each[b[two]] += rows[two]
                 at = np.flatnonzero((term >= 0) & (items.weight[term] > 0))
                 at = at[np.argsort(term[at], kind="stable")]
@@ -264,10 +265,10 @@ def _found(shared):
                     a, b = worded(*passages(start, len(sums)), sums)
                     rows, two = sums[a], np.flatnonzero(a != b)
                     rows[two] += sums[b[two]]
-                    norm = np.sqrt((rows * rows).sum(1))
+                    rows /= np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-9)[:, None]
                     row_of = np.searchsorted(start, a, side="right") - 1
                     for i in range(0, len(rows), 8192):
-                        cosine = (rows[i : i + 8192] / np.maximum(norm[i : i + 8192], 1e-9)[:, None]) @ latent.T
+                        cosine = rows[i : i + 8192] @ latent.T
                         at, part = np.nonzero(cosine >= least)
                         if not len(at):
                             continue
