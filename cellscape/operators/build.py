@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from cellscape.functions.constants import BASE_FEATURES, REL_M
 from cellscape.operators import distribution, graph, regrid, stencil
 from cellscape.operators.training import transported
-from cellscape.session import drop_stored, stored
+from cellscape.session import drop_stored, large, stored
 
 GRID_COLUMNS = ["crs", "height", "width", "transform"]
 
@@ -142,7 +142,7 @@ def local_channels(px: DataFrame, value: str, pixel_metres: float, block: int =
     shade = stencil.hillshade(ground, "filled", pixel_metres, block=block)
     scene = distribution.scene_relative(ground, "filled").select(*key, "hole", "zscene")
     seen = lambda c: F.when(~F.col("hole"), F.col(c)).alias(c)
-    return scene.join(rel, key).join(shade, key).select(
+    return scene.join(large(rel), key).join(large(shade), key).select(
         *key, seen("rel"), seen("zscene"), F.when(F.col("hole"), 0.0).otherwise(F.col("shade")).alias("shade"))
 
 
@@ -156,5 +156,5 @@ def companion_channel(px: DataFrame, companion: DataFrame, target: DataFrame, va
     moved = regrid.regrid_nearest(src, ["map_no"], [value]) if kind == "psr" else regrid.regrid_bilinear(src, ["map_no"], value)
     if kind == "cpr":
         moved = distribution.robust_clip(stored(moved, "companion"), value)
-    return px.select("map_no", "r", "c", F.col(terrain).alias("_t")).join(moved, ["map_no", "r", "c"], "left").select(
+    return px.select("map_no", "r", "c", F.col(terrain).alias("_t")).join(large(moved), ["map_no", "r", "c"], "left").select(
         "map_no", "r", "c", F.when(F.col("_t").isNotNull(), F.col(value)).alias(kind))

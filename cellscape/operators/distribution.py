@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellscape.session import stored
+
 STEPS = 256              # steps of a power of two
 LIFT = 1 << 19           # more than STEPS times the greatest exponent of a double
 
@@ -43,6 +45,8 @@ def exact_percentiles(px: DataFrame, keys: list[str], value: str, points: list[f
     here = F.filter(F.array(*ranks), lambda w: (w["rank"] >= before) & (w["rank"] < F.col("_end")))
     wanted = steps.select(*keys, "_s", F.struct(before.alias("before"), "n", "lo", "hi", here.alias("ranks")).alias("_w")).where(F.size("_w.ranks") > 0)
 
+    # Few rows a key; written, so that Spark knows it and does not take the pixels for the smaller side.
+    wanted = stored(wanted, "ranks")
     exact = counted.join(wanted, [*keys, "_s"]).groupBy(*keys, "_s", "_v").agg(F.count(F.lit(1)).alias("_n"), F.first("_w").alias("_w"))
     end = F.col("_w.before") + F.sum("_n").over(Window.partitionBy(*keys, "_s").orderBy("_v"))
     found = (
@@ -77,4 +81,4 @@ def stretched(px: DataFrame, value: str) -> DataFrame:
 def scene_relative(px: DataFrame, value: str) -> DataFrame:
     """Height above the median of the (filled) scene."""
     q = exact_percentiles(px, ["map_no"], value, [0.5]).select("map_no", F.col("q0").alias("median"))
-    return px.join(q, "map_no").withColumn("zscene", F.col(value) - F.col("median"))
+    return px.join(q, "map_no", "left").withColumn("zscene", F.col(value) - F.col("median"))

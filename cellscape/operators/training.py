@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cellscape.functions.constants import GRID
 from cellscape.functions.raster import bounds, label_weight
 from cellscape.operators.grid import CELL, with_cells
+from cellscape.session import large
 
 
 def training_pixels(px: DataFrame, cells: DataFrame, grid: int = GRID) -> DataFrame:
@@ -84,5 +85,5 @@ def transported(claims: DataFrame, px: DataFrame, names: list[str]) -> DataFrame
     """
     sole = claims.groupBy("map_no", "r", "c").agg(
         F.min("source").alias("_first"), F.max("source").alias("_last"), F.first(F.struct(*names)).alias("_made")).where("_first = _last")
-    joined = px.select("map_no", "r", "c", "z").join(sole, ["map_no", "r", "c"], "left")
+    joined = px.select("map_no", "r", "c", "z").join(large(sole), ["map_no", "r", "c"], "left")
     return joined.select("map_no", "r", "c", *[F.when(F.col("z").isNotNull(), F.col(f"_made.{n}")).alias(n) for n in names])
