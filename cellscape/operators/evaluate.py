@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cellscape.functions.constants import CODES, MIN_COVERAGE
 from cellscape.operators.grid import CELL, code_counts, most_common, with_cells
 from cellscape.operators.labels import sure_manual
+from cellscape.session import drop_stored, scratch_path, stored
 
 CONFUSION = [(t, p) for t in CODES for p in CODES]
 
@@ -262,12 +263,16 @@ def evaluation_run(features: DataFrame, samples: DataFrame, plan: DataFrame, est
     return scores, skipped
 
 
+FOLDS_AT_ONCE = 16    # folds whose models and plans the driver holds together
+
+
 def _fold_matrices(features, samples, plan, estimator, names, truth, grid, parallelism) -> tuple[DataFrame | None, list]:
     """The confusion counts of all folds that fit, and the folds that do not.
 
-    The folds are a short list picked by hand; each is one distributed fit, a few of them at
-    a time, and one scoring of its own map's pixels: the filter on the map reaches the scan,
-    so that all folds together read the pixels once.
+    Each fold is one distributed fit, a few of them at a time, and one scoring of its own map's
+    pixels.  The tables are written once, pixels in the order of their maps, so that a fold reads
+    little more than its map.  Counts are written after every few folds: models, plans and what
+    the driver keeps of them do not add up over the folds.
     """
     from multiprocessing.pool import ThreadPool
 
@@ -277,22 +282,38 @@ def _fold_matrices(features, samples, plan, estimator, names, truth, grid, paral
     from cellscape.operators.model import fit, predict
 
     spark = features.sparkSession
+    folds = selected_folds(plan)
+    if not folds:
+        return None, []
+    usable = plan.where("reason is null").select("map_no")
+    by_map = lambda df: df.repartitionByRange("map_no").sortWithinPartitions("map_no")
+    pixels = stored(by_map(features.select("map_no", "r", "c", "height", "width", *names).join(usable, "map_no", "left_semi")), "pixels")
+    known = stored(by_map(truth.select(*CELL, F.col("code").alias("truth")).join(usable, "map_no", "left_semi")), "truth")
+    rows = stored(samples.select("map_no", "label", "w", *names).hint("rebalance"), "samples")    # each fit takes a task per file and pass
+    path = scratch_path(spark, "folds")
 
     @inheritable_thread_target(spark)
     def one(fold) -> DataFrame | None:
-        fitted = fit(samples.where(F.col("map_no") != fold), estimator.copy(), names)
+        fitted = fit(rows.where(F.col("map_no") != fold), estimator.copy(), names, written=True)
         if fitted.model is None and fitted.only is None:
             return None
-        scored = predict(fitted, features.where(F.col("map_no") == fold))
+        scored = predict(fitted, pixels.where(F.col("map_no") == fold))
         voted = cell_majority(scored, "prediction", grid=grid).select(*CELL, F.col("code").alias("pred"))
-        rows = truth.where(F.col("map_no") == fold).select(*CELL, F.col("code").alias("truth")).join(voted, list(CELL), "left")
-        return confusion(rows, ["map_no"])
+        return confusion(known.where(F.col("map_no") == fold).join(voted, list(CELL), "left"), ["map_no"])
 
-    folds = selected_folds(plan)
+    unfitted, schema = [], None
     with ThreadPool(parallelism) as pool:
-        all_ = pool.map(one, folds)
-    made = [df for df in all_ if df is not None]
-    return (reduce(DataFrame.unionByName, made) if made else None), [f for f, df in zip(folds, all_) if df is None]
+        for at in range(0, len(folds), FOLDS_AT_ONCE):
+            some = folds[at:at + FOLDS_AT_ONCE]
+            all_ = pool.map(one, some)
+            unfitted += [f for f, df in zip(some, all_) if df is None]
+            made = [df for df in all_ if df is not None]
+            if made:
+                whole = reduce(DataFrame.unionByName, made)
+                schema = whole.schema
+                whole.coalesce(1).write.parquet(f"{path}/part={at}")      # a row per fold
+    drop_stored(pixels, known, rows)
+    return (spark.read.schema(schema).parquet(path).select(*schema.names) if schema else None), unfitted
 
 
 def report_flags(samples: DataFrame, scored: DataFrame, skipped: list[DataFrame]) -> tuple[DataFrame, DataFrame]:

@@ -83,14 +83,15 @@ class Fitted:
     meta: dict[str, Any] = field(default_factory=dict)
 
 
-def fit(samples: DataFrame, estimator: Estimator, names: tuple[str, ...] = K.BASE_FEATURES) -> Fitted:
+def fit(samples: DataFrame, estimator: Estimator, names: tuple[str, ...] = K.BASE_FEATURES, written: bool = False) -> Fitted:
     """M1/M2/M8: fit on pooled rows; no rows give no model, one unit predicts itself.
 
     The sample is capped by policy, so it is stored once and every pass of the learner
-    reads it instead of sampling the pixels again.
+    reads it instead of sampling the pixels again; `written`: it is stored already.
     """
     known = F.col("label").isin(*K.CODES) & all_finite(*names)   # other labels are no units
-    rows = cut_lineage(samples.where(known).select("label", "w", *names))
+    rows = samples.where(known).select("label", "w", *names)
+    rows = rows if written else cut_lineage(rows)
     counted = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()
     counts = {r["label"]: r["n"] for r in counted}
     if len(counts) < 2:
