@@ -42,7 +42,6 @@ GENERATORS = (
     ("phone", r"(?<![0-9A-Za-z])[+(]?[0-9](?:[\x20()./-]{0,2}[0-9]){6,15}+(?![0-9A-Za-z])", r"[0-9](?:[\x20()./-]{0,2}[0-9]){6}"),
 )
 
-SAMPLE_DOCS = 20_000     # texts from which the trees learn, on average at most
 PRECISION = 0.95         # that a threshold must reach on held-out proposals of its kind
 LEAST_HELD = 20          # accepted held-out proposals that a threshold rests on
 FEATURES = ("kind", "chars", "digits", "groups", "longest", "spaces", "dashes", "dots", "parens", "plus", "at",
@@ -191,18 +190,14 @@ def _tree(node):
     return split.featureIndex(), float(split.threshold()), _tree(node.leftChild()), _tree(node.rightChild())
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
-    """Learn from the proposals in a hash sample of about so many texts; None if they are all of one sort.
+def fit(docs: DataFrame) -> Model | None:
+    """Learn from the proposals in all texts; None if they are all of one sort.
 
-    Four fifths of the sampled texts fit the trees, the others calibrate: for each kind the
+    Four fifths of the texts, by hash, fit the trees, the others calibrate: for each kind the
     lowest score from which on the accepted proposals are base spans to PRECISION.
     """
-    n = docs.count()
-    if not n:
-        return None
     hashed = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), F.lit(1_000_000))
-    sample = docs.withColumn("_hash", hashed).where(F.col("_hash") < int(1_000_000 * min(1.0, sample_docs / n)))
-    rows = _prepared(sample).select(
+    rows = _prepared(docs.withColumn("_hash", hashed)).select(
         (F.pmod(F.col("_hash"), F.lit(5)) == 4).alias("held"),
         F.explode(F.transform("_proposed", lambda x: F.struct(
             F.array(*[f.cast("double") for f in features(x)]).alias("f"), _known(x).cast("double").alias("label")))).alias("x"))
