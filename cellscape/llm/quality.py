@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from cellscape.llm import labels as labelled
 from cellscape.session import stored
 
-SAMPLE_ROWS = 4_000      # labelled rows of either label that are learned from
 TREES, DEPTH = 16, 3
 LASSO = 0.002
 STATISTICS = ("log_words", "word_length", "new_words", "twice", "pipes", "bangs", "symbols", "digits", "capitals", "stops", "lines", "new_lines")
@@ -79,12 +78,14 @@ class RuleEnsemble:
         return 1 / (1 + F.exp(-margin))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE_ROWS) -> RuleEnsemble:
-    """Learn from at most `most` rows of either label, none of them held out.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> RuleEnsemble:
+    """Learn from all labelled rows that are not held out.
 
+    Statistics are joined with the labels, so no text is shuffled however many labels there are.
     Without rows of both labels the score is near the label that there is (0.5 without any).
     """
-    rows = stored(statistics(labelled.sample(docs, labels, label, most)).select(*STATISTICS, F.col("label").cast("double").alias("label")), "statistics")
+    told = statistics(docs.where(F.col("doc_id").isNotNull() & ~labelled.held_out()).select("doc_id", "text")).select("doc_id", *STATISTICS)
+    rows = stored(told.join(labelled.known(labels, label), "doc_id").select(*STATISTICS, F.col("label").cast("double").alias("label")), "statistics")
     known = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(known) < 2:
         return RuleEnsemble([], {1.0: 4.0, 0.0: -4.0}[next(iter(known))] if known else 0.0)
@@ -96,7 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
         return RuleEnsemble([], 4.0 * (2 * share - 1))
     fired = rows.select("label", F.array(*[holds(r).cast("double") for r in rules]).alias("fired"))
     from pyspark.ml.functions import array_to_vector
-    # Balanced labels in the sample, the rarer one as heavy as the other.
+    # The rarer label is as heavy as the other.
     weight = F.when(F.col("label") == 1.0, F.lit(1.0 / known[1.0])).otherwise(F.lit(1.0 / known[0.0])) * (sum(known.values()) / 2)
     data = fired.select("label", array_to_vector("fired").alias("features"), weight.alias("weight"))
     lasso = LogisticRegression(elasticNetParam=1.0, regParam=LASSO, standardization=False, weightCol="weight", maxIter=200).fit(data)

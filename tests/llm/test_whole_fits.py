@@ -2,7 +2,7 @@
 
 import pytest
 
-from cellscape.llm import pii
+from cellscape.llm import pii, quality
 
 
 class Seen(Exception):
@@ -19,3 +19,13 @@ def test_pii_learns_from_all_texts(spark, monkeypatch):
     with pytest.raises(Seen) as seen:
         pii.fit(docs)
     assert seen.value.args == (20_400,)
+
+
+def test_quality_learns_from_all_labels(spark, monkeypatch):
+    monkeypatch.setattr(quality, "stored", told)
+    docs = spark.range(12_000).selectExpr("id doc_id", "concat('some words ', id) text")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) quality")
+    learned = docs.where("crc32(CAST(doc_id AS string)) % 4 <> 2").count()
+    with pytest.raises(Seen) as seen:
+        quality.fit(docs, labels)
+    assert seen.value.args == (learned,) and learned > 8_000
