@@ -215,32 +215,48 @@ def canonical_names(links: DataFrame) -> DataFrame:
         lone.withColumn("canonical", F.col("alias")))
 
 
-def blocked_maps(groups: DataFrame, tiles: DataFrame, held: DataFrame) -> DataFrame:
-    """G3 (closure): maps and groups shut out by the held-out maps.
+def _node(kind: str, c: str):
+    return F.concat(F.lit(kind), F.col(c).cast("string"))
 
-    groups: map_no, grp of every known map.  tiles: map_no, tile (tiles a sample was cut
-    from).  held: map_no.  A blocked group holds all its maps; a held tile blocks the
-    group of every sample cut from it.
+
+def exclusion_graph(groups: DataFrame, tiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(placed, links) of `blocked_maps`, the same whatever is held: map_no, component; u, d, w.
 
     Groups that share a map stand or fall together, so they are one node of a graph whose
-    edges lead from the tiles' groups to the groups of the samples cut from them; what a held
-    map reaches there is blocked.
+    edges lead from the tiles' groups to the groups of the samples cut from them.
     """
-    node = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
-    named = groups.where("map_no is not null and grp is not null").select("map_no", node("map ", "map_no").alias("u"), node("group ", "grp").alias("v"))
+    named = groups.where("map_no is not null and grp is not null").select("map_no", _node("map ", "map_no").alias("u"), _node("group ", "grp").alias("v"))
     merged = connected_components(named)
     placed = stored(named.select("map_no", "u").distinct().join(merged.withColumnRenamed("node", "u"), "u").select("map_no", "component"))
-    sole = lambda df, c: df.select(F.col(c).alias("map_no")).join(placed, "map_no", "left").select(
-        F.col("map_no").alias(c), F.coalesce("component", node("map ", "map_no")).alias("at"))
-    known = stored(held.select("map_no").distinct())
     links = tiles.select("map_no", "tile").distinct().join(placed.withColumnRenamed("component", "u"), "map_no")
-    links = stored(links.join(sole(tiles.select("tile").distinct(), "tile").withColumnRenamed("at", "d"), "tile").select("u", "d", F.lit(0).alias("w")).distinct())
-    start = sole(known, "map_no").select(F.col("at").alias("node"), F.lit(1).alias("base"))
-    rest = placed.select(F.col("component").alias("node")).unionByName(links.select(F.col("d").alias("node"))).withColumn("base", F.lit(0))
-    out = settled(start.unionByName(rest), links, top=1).where("value = 1").select(F.col("node").alias("component"))
+    ends = tiles.select("tile").distinct().join(placed.withColumnRenamed("map_no", "tile"), "tile", "left").select(
+        "tile", F.coalesce("component", _node("map ", "tile")).alias("d"))
+    return placed, stored(links.join(ends, "tile").where("u <> d").select("u", "d", F.lit(0).alias("w")).distinct())
+
+
+def blocked_maps(groups: DataFrame, tiles: DataFrame, held: DataFrame, prepared: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """G3 (closure): maps and groups shut out by the held-out maps.
+
+    groups: map_no, grp of every known map.  tiles: map_no, tile (tiles a sample was cut
+    from).  held: map_no.  A blocked group holds all its maps; a held tile blocks the
+    group of every sample cut from it.  prepared: `exclusion_graph` of these groups and tiles.
+
+    What a held map reaches in the exclusion graph is blocked.
+    """
+    placed, links = prepared or exclusion_graph(groups, tiles)
+    known = stored(held.select("map_no").distinct())
+    start = known.join(placed, "map_no", "left").select(F.coalesce("component", _node("map ", "map_no")).alias("node")).distinct()
+    out = reached(start, links).withColumnRenamed("node", "component")
     return stored(placed.join(out, "component", "left_semi").select("map_no").unionByName(known).distinct())
 
 
+def reached(start: DataFrame, links: DataFrame) -> DataFrame:
+    """The start nodes and all that depend on them: (node).  start: node.  links: u, d, w; u depends on d."""
+    nodes = start.select("node", F.lit(1).alias("base")).unionByName(links.select(
+        F.explode(F.array("u", "d")).alias("node"), F.lit(0).alias("base")))
+    return settled(nodes, links, top=1).where("value = 1").select("node")
+
+
 def retained_samples(samples: DataFrame, groups: DataFrame, tiles: DataFrame, held: DataFrame,
                      footprints: DataFrame) -> DataFrame:
     """Training samples left after keys, geographies, tiles and footprints are excluded.
@@ -251,7 +267,8 @@ def retained_samples(samples: DataFrame, groups: DataFrame, tiles: DataFrame, he
     """
     from cellscape.operators.overlap import overlapping, placeable
 
-    first = cut_lineage(blocked_maps(groups, tiles, held))
+    prepared = exclusion_graph(groups, tiles)     # both closures walk the same graph
+    first = blocked_maps(groups, tiles, held, prepared)
     lost = footprints.where(~placeable()).join(first, "map_no", "left_semi").select("map_no").limit(1).collect()
     if lost:
         raise ValueError(f"held-out map {lost[0]['map_no']} has no usable footprint")
@@ -259,7 +276,7 @@ def retained_samples(samples: DataFrame, groups: DataFrame, tiles: DataFrame, he
     out = footprints.join(first, "map_no", "left_semi")
     rest = footprints.join(first, "map_no", "left_anti").join(samples.select("map_no"), "map_no", "left_semi")
     hit = overlapping(rest, out, True, ["crs"]).select("map_no")
-    second = blocked_maps(groups, tiles, first.unionByName(hit))
+    second = blocked_maps(groups, tiles, first.unionByName(hit), prepared)
     return samples.join(second.unionByName(blind).distinct(), "map_no", "left_anti")
 
 
