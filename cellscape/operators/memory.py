@@ -17,26 +17,36 @@ from cellscape.operators.labels import fingerprint
 from cellscape.session import stored
 
 
-def source_revisions(contents: DataFrame, sources: DataFrame) -> DataFrame:
+def graded_sources(nodes: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(levels, links) of `source_revisions`, the same whatever the contents: map_no, level; map_no, source, level.
+
+    Links lie in a folder per level, so that all levels together read them once.
+    """
+    pairs = stored(sources.select("map_no", "source").distinct(), "links")
+    levels = stored(graph.dependency_levels(
+        pairs.select(F.col("map_no").alias("node"), F.col("source").alias("dep")), nodes.select(F.col("map_no").alias("node"))
+    ).withColumnRenamed("node", "map_no"), "graded")
+    return levels, stored(pairs.join(levels.where("level > 0"), "map_no"), "graded_links", "level")
+
+
+def source_revisions(contents: DataFrame, sources: DataFrame, graded: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """A digest per map over its own content and everything it takes features from.
 
     contents: map_no, hash.  sources: map_no, source.  The digest folds the revisions of a map's
     sources, in the order of their ids, behind its own hash, from the leaves up; so a change
     anywhere below shows.  Maps that wait for a cycle, or reach a source without content, have
-    a NULL revision.
+    a NULL revision.  graded: `graded_sources` of these maps and sources.
     """
-    links = sources.select("map_no", "source").distinct()
-    levels = stored(graph.dependency_levels(
-        links.select(F.col("map_no").alias("node"), F.col("source").alias("dep")), contents.select(F.col("map_no").alias("node"))
-    ).withColumnRenamed("node", "map_no").join(contents.select("map_no", "hash"), "map_no", "left"), "graded")
+    levels, links = graded or graded_sources(contents, sources)
+    rows = stored(levels.where("level is not null").join(contents.select("map_no", "hash"), "map_no", "left"), "contents", "level")
     deepest = levels.agg(F.max("level")).first()[0]
     done: list[DataFrame] = []
     for level in range(-1 if deepest is None else deepest + 1):
-        own = levels.where(F.col("level") == level).select("map_no", "hash")
+        own = rows.where(F.col("level") == level).select("map_no", "hash")
         if level:
             known = reduce(DataFrame.unionByName, done).withColumnsRenamed({"map_no": "source", "revision": "below"})
             # As long as the list of sources that a map declares.
-            folded = links.join(own.select("map_no"), "map_no", "left_semi").join(known, "source", "left").groupBy("map_no").agg(
+            folded = links.where(F.col("level") == level).select("map_no", "source").join(known, "source", "left").groupBy("map_no").agg(
                 F.bool_or(F.col("below").isNull()).alias("lost"),
                 F.sort_array(F.collect_list(F.struct("source", "below"))).alias("parts"))
             below = F.array_join(F.transform("parts", lambda p: F.concat_ws(":", p["source"].cast("string"), p["below"])), "|")

@@ -353,9 +353,10 @@ def changed_sources(v: Views):
     """Two edited rasters: every map above them, however far, is to be read again."""
     part, k = v.table("part"), F.col("p_partkey")
     links = part.where(k >= 3).select(k.alias("map_no"), R.int_div(k, 3).alias("source"))
+    graded = memory.graded_sources(part.select(k.alias("map_no")), links)      # one graph for both states
 
     def inputs(content):
-        rev = memory.source_revisions(part.select(k.alias("map_no"), content.alias("hash")), links)
+        rev = memory.source_revisions(part.select(k.alias("map_no"), content.alias("hash")), links, graded)
         return rev.select("map_no", F.lit("same").alias("painting_hash"), F.col("revision").alias("source_revision"))
 
     edited = F.concat("p_name", F.when(k.isin(1, 17), "edited").otherwise(""))

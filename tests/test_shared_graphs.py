@@ -1,6 +1,7 @@
 """What several steps of a query need is worked out once."""
 
-from cellscape.operators import graph
+from cellscape.operators import graph, memory
+from cellscape.plans import QUERIES
 
 
 def counted(monkeypatch, module, name):
@@ -20,3 +21,8 @@ def test_both_closures_walk_one_graph(spark, monkeypatch):
     assert sorted(r["map_no"] for r in kept.collect()) == [2, 3, 8, 9, 10]
     kept = graph.retained_samples(ids(*range(11)), groups, tiles, ids(10), feet)
     assert sorted(r["map_no"] for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 7] and len(calls) == 2
+
+
+def test_sources_are_graded_once_for_both_states(spark, tables, monkeypatch):
+    calls = counted(monkeypatch, memory.graph, "dependency_levels")
+    assert QUERIES["J14_changed_sources"](spark, tables).where("map_no in (1, 17)").count() == 2 and len(calls) == 1
