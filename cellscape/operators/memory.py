@@ -127,7 +127,7 @@ def updated(path: str, asked: DataFrame, fresh: DataFrame, verified: DataFrame,
     before = latest_version(spark, path)
     schema = f"map_no {fresh.schema['map_no'].dataType.simpleString()}, version int"
     old = stored((spark.read.parquet(f"{path}/manifest/{before}") if before >= 0 else spark.createDataFrame([], schema)), "old")
-    new = fresh.join(asked, "map_no", "left_semi")
+    new = stored(fresh.join(asked, "map_no", "left_semi"), "new")
     maps = stored(old.select("map_no").unionByName(asked.select("map_no")).distinct(), "maps")
     clear = graph.retained_samples(maps, groups, tiles, held, footprints).withColumn("clear", F.lit(True))
     flag = lambda df, name: df.select("map_no").distinct().withColumn(name, F.lit(True))

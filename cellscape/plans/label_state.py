@@ -8,7 +8,7 @@ from cellscape.functions import raster as R
 from cellscape.operators import catalog, distribution, grid, labels, memory, overlap, regrid, sampling, tiles, training
 from cellscape.plans.registry import query
 from cellscape.plans.views import GRID, Views, text_id
-from cellscape.session import scratch_path
+from cellscape.session import scratch_path, stored
 
 SOURCES = """picked AS (
     SELECT map_no, source, layout_rank FROM (
@@ -376,15 +376,16 @@ MEMORY_MAPS = """vm AS (SELECT DISTINCT map_no FROM merged WHERE key='verified'
 def incremental_memory(v: Views):
     """Memory of all paintings; a third of the maps is sampled anew, a third cleared, map 1 is held out with its group of three."""
     path = scratch_path(v.spark, "memory")
-    samples = v.teach.select("map_no", "r", "c", "z", "label", "w")
+    samples = stored(v.teach.select("map_no", "r", "c", "z", "label", "w"), "teach")     # read by every step below
     nothing = v.spark.createDataFrame([], "map_no bigint, version int")
     memory.publish(path, samples, nothing)
-    every = samples.select("map_no").distinct()
+    every = stored(samples.select("map_no").distinct(), "every")
     m = F.col("map_no")
     asked = every.where("map_no % 3 <> 0").unionByName(v.spark.createDataFrame([(500,)], "map_no bigint"))
     fresh = samples.where("map_no % 3 = 1 and z is not null")
     verified = labels.merged_metadata(v.meta).where("key = 'verified' and value = 'true'").select("map_no")
-    known = every.unionByName(v.spark.createDataFrame([(500,)], "map_no bigint"))
+    # The held-out map belongs to its group whether it is painted or not.
+    known = every.unionByName(v.spark.createDataFrame([(500,), (1,)], "map_no bigint")).distinct()
     left = m.cast("double") * 10
     told = memory.updated(path, asked, fresh, verified, v.spark.createDataFrame([(1,)], "map_no bigint"), known.select("map_no", R.int_div(m, 3).alias("grp")),
                           v.spark.createDataFrame([], "map_no bigint, tile bigint"),
