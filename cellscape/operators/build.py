@@ -102,11 +102,15 @@ def build(px: DataFrame, grids: DataFrame, sources: DataFrame, requested: DataFr
     requested maps share a context with those they adjoin.
     """
     names = list(BASE_FEATURES)
+    requested = stored(requested.select("map_no").distinct(), "requested")     # a row per map: Spark sees how small it is
     links, levels, _ = planned(grids, sources, requested)
     graded = stored(links.join(levels.where("level is not null"), "map_no").join(
         levels.select(F.col("map_no").alias("source"), F.col("level").alias("from")), "source"), "graded")
+    # Only maps that feed another or are asked for are built; what unusable links name is neither.
+    wanted = graded.select(F.col("source").alias("map_no")).unionByName(requested)
+    levels = stored(levels.where("level is not null").join(wanted, "map_no", "left_semi"), "wanted")
     used = {(r["from"], r["level"]) for r in graded.select("from", "level").distinct().collect()}   # pairs of levels
-    asked = {r["level"] for r in levels.join(requested, "map_no", "left_semi").select("level").distinct().where("level is not null").collect()}
+    asked = {r["level"] for r in levels.join(requested, "map_no", "left_semi").select("level").distinct().collect()}
 
     made: dict[int, DataFrame] = {}
     for level in range(max(asked, default=-1) + 1):
@@ -114,9 +118,8 @@ def build(px: DataFrame, grids: DataFrame, sources: DataFrame, requested: DataFr
         if level == 0:
             feeding = own.join(graded.select(F.col("source").alias("map_no")), "map_no", "left_semi")
             contexts = graph.tile_contexts(grids.join(feeding, "map_no", "left_semi"))
-            alone = px.join(own, "map_no", "left_semi").join(contexts.select("map_no"), "map_no", "left_anti")
-            out = stencil.context_features(px, contexts, value, pixel_metres, block).unionByName(
-                stencil.terrain_features(alone, value, pixel_metres, block))
+            lone = not own.join(contexts.select("map_no"), "map_no", "left_anti").isEmpty()
+            out = stencil.context_features(px.join(own, "map_no", "left_semi"), contexts, value, pixel_metres, block, lone)
         else:
             parts = [made[k] for k in sorted(made) if (k, level) in used]
             brought = claims_of(reduce(DataFrame.unionByName, parts), graded.where(F.col("level") == level), names)

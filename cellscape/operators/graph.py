@@ -320,15 +320,15 @@ def on_lattice(tiles: DataFrame) -> DataFrame:
 
 def tile_contexts(tiles: DataFrame) -> DataFrame:
     """Groups of two or more joined tiles; a group with any overlap is left apart."""
-    edges = cut_lineage(tile_adjacency(tiles))
+    edges = stored(tile_adjacency(tiles), "adjoining")
     comp = connected_components(edges, "map_no", "map_no_2")
     clash = (
         edges.where("overlap").join(comp.select(F.col("node").alias("map_no"), "component"), "map_no")
         .select("component").distinct()
     )
     good = comp.join(clash, "component", "left_anti").select(F.col("node").alias("map_no"), F.col("component").alias("context"))
-    # A row per tile: as small as the catalog, and read by every later step.
-    return cut_lineage(on_lattice(tiles).join(good, "map_no").select("map_no", "context", "top", "left", "height", "width"))
+    # A row per tile: as small as the catalog, and read by every later step; Spark sees the size of a written table.
+    return stored(on_lattice(tiles).join(good, "map_no").select("map_no", "context", "top", "left", "height", "width"), "contexts")
 
 
 def dependency_levels(edges: DataFrame, nodes: DataFrame, small: int = SMALL) -> DataFrame:

@@ -26,14 +26,17 @@ def _centre(index: Column, transform: Column, scale: int, origin: int) -> Column
     return transform[origin] + (index + F.lit(0.5)) * transform[scale]
 
 
+SLACK = 1e-3    # of a pixel: rounding stays below it while positions are within 1e11 pixels of the origin
+
+
 def _axis_nearest(px: DataFrame, out: str, position: str, size: str, scale: int, origin: int) -> DataFrame:
     """Target indices of one axis whose centre lies in this source pixel."""
     s, t = F.col("transform"), F.col("t_transform")
     edge0 = s[origin] + F.col(position) * s[scale]
     edge1 = s[origin] + (F.col(position) + 1) * s[scale]
     u0, u1 = (edge0 - t[origin]) / t[scale] - 0.5, (edge1 - t[origin]) / t[scale] - 0.5
-    guess = _clipped(F.ceil(F.least(u0, u1)) - 1, F.floor(F.greatest(u0, u1)) + 1, F.col(size))
-    # The candidate range is one wide on either side; the forward rule decides.
+    guess = _clipped(F.ceil(F.least(u0, u1) - SLACK), F.floor(F.greatest(u0, u1) + SLACK), F.col(size))
+    # The candidate range is a little wider than the pixel; the forward rule decides.
     exact = F.floor((_centre(F.col(out), t, scale, origin) - s[origin]) / s[scale]) == F.col(position)
     return px.withColumn(out, F.explode(guess)).where(exact)
 

@@ -82,8 +82,12 @@ def transported(claims: DataFrame, px: DataFrame, names: list[str]) -> DataFrame
     claims: map_no, r, c, source and names, already on the target grid, a row for every pixel a
     source covers.  A pixel that two sources claim gets features from neither: it is an error,
     told by `overlap.contested_pixels`.
+
+    Pixels and claims meet in one aggregate with buffers of fixed width, so nothing is sorted.
     """
-    sole = claims.groupBy("map_no", "r", "c").agg(
-        F.min("source").alias("_first"), F.max("source").alias("_last"), F.first(F.struct(*names)).alias("_made")).where("_first = _last")
-    joined = px.select("map_no", "r", "c", "z").join(large(sole), ["map_no", "r", "c"], "left")
-    return joined.select("map_no", "r", "c", *[F.when(F.col("z").isNotNull(), F.col(f"_made.{n}")).alias(n) for n in names])
+    key = ["map_no", "r", "c"]
+    own = px.select(*key, F.col("z").isNotNull().alias("_seen"))
+    met = own.unionByName(claims.select(*key, "source", *names), allowMissingColumns=True).groupBy(*key).agg(
+        F.max("_seen").alias("_seen"), F.min("source").alias("_first"), F.max("source").alias("_last"), *[F.max(n).alias(n) for n in names])
+    told = F.col("_seen") & (F.col("_first") == F.col("_last"))
+    return met.where("_seen is not null").select(*key, *[F.when(told, F.col(n)).alias(n) for n in names])

@@ -219,7 +219,11 @@ def context_features(v: Views):
 
 
 def source_graph(v: Views):
-    """(px, grids, sources, requested)"""
+    """(px, grids, sources, requested)
+
+    Every level reads the pixels of all six kinds of map, and every step over the graph the maps.
+    """
+    v = v.written("map_no", "r", "c", "height", "width", "raw", "z")
     m, half, five, ten, zero = F.col("map_no"), F.floor(F.col("c") / 32), F.lit(PX), F.lit(2 * PX), F.lit(0.0)
     px = v.pixel.select("map_no", "r", "c", "height", "width", "raw", "z")
     whole = px.withColumn("z", F.when((F.col("r") + F.col("c")) % 11 != 0, F.col("raw")))

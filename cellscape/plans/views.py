@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cellscape.functions.raster import int_div
 from cellscape.operators.labels import folded_strokes
+from cellscape.session import stored
 
 SIDE = 64   # raster columns, and rows of a full map
 GRID = 8    # painting cells per side in the registered queries
@@ -191,9 +192,22 @@ class Views:
 
     @cached_property
     def pixel(self) -> DataFrame:
+        return self._pixels(self.table("embeddings"))
+
+    def written(self, *columns: str) -> Views:
+        """The same views with the maps, and these columns of the pixels, in written tables: for plans that read them over and over.
+
+        Vectors are dealt by map first, so that files of one part do not unfold in one task.
+        """
+        out = Views(self.spark, self.sf_dir)
+        out.shape = stored(self.shape, "shape")
+        out.pixel = stored(out._pixels(self.table("embeddings").repartition(int_div(F.col("vec_id"), SIDE))).select(*columns), "pixel")
+        return out
+
+    def _pixels(self, rows: DataFrame) -> DataFrame:
         r, c, raw, z = F.col("r"), F.col("c"), F.col("raw"), F.col("z")
         base = (
-            self.table("embeddings")
+            rows
             .select(int_div(F.col("vec_id"), SIDE).alias("map_no"), (F.col("vec_id") % SIDE).alias("r"),
                     F.posexplode("embedding").alias("c", "v"))
             .select("map_no", "r", F.col("c").cast("bigint").alias("c"),

@@ -75,3 +75,17 @@ def test_companions(spark):
     clipped = [r["cpr"] for r in build.companion_channel(px, other, target, "v", "cpr", "z").collect()]
     smooth = [r["nac"] for r in build.companion_channel(px, other, target, "v", "nac", "z").collect()]
     assert clipped.count(None) == smooth.count(None) + 2      # the two extremes
+
+
+def test_maps_that_feed_nothing_are_not_built(spark, monkeypatch):
+    """A source that no link can use is no leaf: leaves in contexts are then all there is, and no pixel is read to size the rest."""
+    lone, made = [], stencil.context_features
+    monkeypatch.setattr(stencil, "context_features", lambda *a, **b: (lone.append(a[5]), made(*a, **b))[1])
+    a = terrain(8, 8)
+    px = raster(spark, a[:, :4], 1).unionByName(raster(spark, a[:, 4:], 2)).unionByName(raster(spark, a, 3)).unionByName(raster(spark, a, 4))
+    grids = spark.createDataFrame([grid(1, 8, 4), grid(2, 8, 4, 4), grid(3, 8, 8)], GRID)
+    sources = spark.createDataFrame([(3, 1), (3, 2), (3, 4)], "map_no bigint, source bigint")      # 4 has no grid
+    asked = spark.createDataFrame([(3,)], "map_no bigint")
+    assert len(rows_of(build.build(px, grids, sources, asked, "z", PX))) == 64 and lone == [False]
+    both = rows_of(build.build(px, grids, sources, spark.createDataFrame([(3,), (4,)], "map_no bigint"), "z", PX))
+    assert {k[0] for k in both} == {3, 4} and lone == [False, True]
