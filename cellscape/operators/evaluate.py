@@ -12,11 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellscape.functions.constants import CODES, MIN_COVERAGE
-from cellscape.operators.grid import CELL, code_counts, most_common, with_cells
+from cellscape.operators.grid import CELL, cell_majority, code_counts, most_common, with_cells
 from cellscape.operators.labels import sure_manual
 from cellscape.session import drop_stored, scratch_path, stored
 
+FITS_AT_ONCE = 8      # fits of leave-one-out that run side by side
+FOLDS_AT_ONCE = 16    # folds that are scored together; the driver holds the models and plans of twice as many
 CONFUSION = [(t, p) for t in CODES for p in CODES]
+PLACE = ("map_no", "r", "c", "height", "width")
 
 
 def evaluation_catalog(maps: DataFrame, cells: DataFrame, meta: DataFrame) -> DataFrame:
@@ -229,7 +232,7 @@ def result_views(model: DataFrame, baseline: DataFrame, key: str = "map_no") ->
 
 
 def leave_one_out(features: DataFrame, samples: DataFrame, plan: DataFrame, estimator, names, truth: DataFrame,
-                  grid: int, parallelism: int = 4) -> DataFrame:
+                  grid: int, parallelism: int = FITS_AT_ONCE) -> DataFrame:
     """Fit, predict, vote per cell and score for each fold: (map_no, m11..m33).
 
     truth: eligible cells with their code.  No fitted fold at all is an error.
@@ -241,7 +244,7 @@ def leave_one_out(features: DataFrame, samples: DataFrame, plan: DataFrame, esti
 
 
 def evaluation_run(features: DataFrame, samples: DataFrame, plan: DataFrame, estimator, names, truth: DataFrame,
-                   baseline: DataFrame, grid: int, parallelism: int = 4) -> tuple[DataFrame, DataFrame]:
+                   baseline: DataFrame, grid: int, parallelism: int = FITS_AT_ONCE) -> tuple[DataFrame, DataFrame]:
     """E9 with its report: (scores, skipped).
 
     scores: map_no, kind (`model` or `baseline`) and the nine counts of every fitted fold, the
@@ -263,57 +266,73 @@ def evaluation_run(features: DataFrame, samples: DataFrame, plan: DataFrame, est
     return scores, skipped
 
 
-FOLDS_AT_ONCE = 16    # folds whose models and plans the driver holds together
-
-
 def _fold_matrices(features, samples, plan, estimator, names, truth, grid, parallelism) -> tuple[DataFrame | None, list]:
     """The confusion counts of all folds that fit, and the folds that do not.
 
-    Each fold is one distributed fit, a few of them at a time, and one scoring of its own map's
-    pixels.  The tables are written once, pixels in the order of their maps, so that a fold reads
-    little more than its map.  Counts are written after every few folds: models, plans and what
-    the driver keeps of them do not add up over the folds.
+    Folds whose own map gives no training rows learn from the same rows, so one model serves them
+    all.  Every other fold is one distributed fit, `parallelism` of them at a time, on the stored
+    rows but its own.  Models score the pixels of the cells with a truth, which lie in the order of
+    their maps; a batch of folds is voted and counted in one aggregate each and written while the
+    next batch is fitted: models, plans and what the driver keeps of them do not add up over the folds.
     """
     from multiprocessing.pool import ThreadPool
 
-    from pyspark import inheritable_thread_target
+    from pyspark import StorageLevel, inheritable_thread_target
 
-    from cellscape.operators.grid import cell_majority
-    from cellscape.operators.model import fit, predict
+    from cellscape.operators.model import fit_vectors, predict, usable_vectors
 
     spark = features.sparkSession
     folds = selected_folds(plan)
     if not folds:
         return None, []
     usable = plan.where("reason is null").select("map_no")
-    by_map = lambda df: df.repartitionByRange("map_no").sortWithinPartitions("map_no")
-    pixels = stored(by_map(features.select("map_no", "r", "c", "height", "width", *names).join(usable, "map_no", "left_semi")), "pixels")
+    by_map = lambda df: df.hint("rebalance", "map_no").sortWithinPartitions("map_no")
     known = stored(by_map(truth.select(*CELL, F.col("code").alias("truth")).join(usable, "map_no", "left_semi")), "truth")
-    rows = stored(samples.select("map_no", "label", "w", *names).hint("rebalance"), "samples")    # each fit takes a task per file and pass
+    told = with_cells(features.select(*PLACE, *names), grid).join(known, list(CELL), "left_semi")
+    pixels = stored(by_map(told.drop("ci", "cj")), "pixels")
+    written = stored(usable_vectors(samples.where("map_no is not null"), names, "map_no").hint("rebalance"), "samples")
+    rows = written.persist(StorageLevel.MEMORY_AND_DISK)     # each fit passes over them several times
+    own: dict = {}
+    for r in rows.groupBy("map_no", "label").agg(F.count(F.lit(1)).alias("n")).collect():
+        own.setdefault(r["map_no"], {})[r["label"]] = r["n"]
+    total = {k: n for k in CODES if (n := sum(counts.get(k, 0) for counts in own.values()))}
+    alone = [f for f in folds if f in own]
+    alike = [f for f in folds if f not in own]
     path = scratch_path(spark, "folds")
 
     @inheritable_thread_target(spark)
-    def one(fold) -> DataFrame | None:
-        fitted = fit(rows.where(F.col("map_no") != fold), estimator.copy(), names, written=True)
-        if fitted.model is None and fitted.only is None:
-            return None
-        scored = predict(fitted, pixels.where(F.col("map_no") == fold))
-        voted = cell_majority(scored, "prediction", grid=grid).select(*CELL, F.col("code").alias("pred"))
-        return confusion(known.where(F.col("map_no") == fold).join(voted, list(CELL), "left"), ["map_no"])
-
-    unfitted, schema = [], None
+    def without(fold):
+        left = {k: n for k in total if (n := total[k] - own[fold].get(k, 0))}
+        return fit_vectors(rows.where(F.col("map_no") != fold), left, estimator.copy(), names)
+
+    def write(part: int, scored: list[DataFrame], cells: DataFrame) -> None:
+        voting = reduce(DataFrame.unionByName, [df.where("prediction IS NOT NULL").select(*PLACE, "prediction") for df in scored])
+        voted = cell_majority(voting, "prediction", grid=grid).select(*CELL, F.col("code").alias("pred"))
+        made = confusion(cells.join(voted, list(CELL), "left"), ["map_no"])
+        made.coalesce(1).write.parquet(f"{path}/part={part}")    # a row per fold
+        schemas.append(made.schema)
+
+    unfitted, schemas = [], []
+    batches = [alone[at:at + FOLDS_AT_ONCE] for at in range(0, len(alone), FOLDS_AT_ONCE)]
     with ThreadPool(parallelism) as pool:
-        for at in range(0, len(folds), FOLDS_AT_ONCE):
-            some = folds[at:at + FOLDS_AT_ONCE]
-            all_ = pool.map(one, some)
-            unfitted += [f for f, df in zip(some, all_) if df is None]
-            made = [df for df in all_ if df is not None]
-            if made:
-                whole = reduce(DataFrame.unionByName, made)
-                schema = whole.schema
-                whole.coalesce(1).write.parquet(f"{path}/part={at}")      # a row per fold
-    drop_stored(pixels, known, rows)
-    return (spark.read.schema(schema).parquet(path).select(*schema.names) if schema else None), unfitted
+        ahead = pool.map_async(without, batches[0]) if batches else None
+        if alike:
+            model = fit_vectors(rows, total, estimator.copy(), names)
+            if model.model is None and model.only is None:
+                unfitted += alike
+            else:
+                ids = spark.createDataFrame([(f,) for f in alike], f"map_no {plan.schema['map_no'].dataType.simpleString()}")
+                write(-1, [predict(model, pixels.join(ids, "map_no", "left_semi"))], known.join(ids, "map_no", "left_semi"))
+        for at, some in enumerate(batches):
+            models = dict(zip(some, ahead.get()))
+            ahead = pool.map_async(without, batches[at + 1]) if at + 1 < len(batches) else None
+            fitted = {f: m for f, m in models.items() if m.model is not None or m.only is not None}
+            unfitted += [f for f in some if f not in fitted]
+            if fitted:
+                write(at, [predict(m, pixels.where(F.col("map_no") == f)) for f, m in fitted.items()], known.where(F.col("map_no").isin(*fitted)))
+    rows.unpersist()
+    drop_stored(pixels, known, written)
+    return (spark.read.schema(schemas[0]).parquet(path).select(*schemas[0].names) if schemas else None), unfitted
 
 
 def report_flags(samples: DataFrame, scored: DataFrame, skipped: list[DataFrame]) -> tuple[DataFrame, DataFrame]:

@@ -83,20 +83,33 @@ class Fitted:
     meta: dict[str, Any] = field(default_factory=dict)
 
 
-def fit(samples: DataFrame, estimator: Estimator, names: tuple[str, ...] = K.BASE_FEATURES, written: bool = False) -> Fitted:
+def fit(samples: DataFrame, estimator: Estimator, names: tuple[str, ...] = K.BASE_FEATURES) -> Fitted:
     """M1/M2/M8: fit on pooled rows; no rows give no model, one unit predicts itself.
 
     The sample is capped by policy, so it is stored once and every pass of the learner
-    reads it instead of sampling the pixels again; `written`: it is stored already.
+    reads it instead of sampling the pixels again.
     """
-    known = F.col("label").isin(*K.CODES) & all_finite(*names)   # other labels are no units
-    rows = samples.where(known).select("label", "w", *names)
-    rows = rows if written else cut_lineage(rows)
+    rows = cut_lineage(usable_rows(samples, names).select("label", "w", *names))
     counted = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()
-    counts = {r["label"]: r["n"] for r in counted}
+    return fit_vectors(_vectors(rows, names), {r["label"]: r["n"] for r in counted}, estimator, names)
+
+
+def usable_rows(samples: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Rows with a unit and all features; other labels are no units."""
+    return samples.where(F.col("label").isin(*K.CODES) & all_finite(*names))
+
+
+def usable_vectors(samples: DataFrame, names: tuple[str, ...], *keep: str) -> DataFrame:
+    """keep..., label, w and the assembled features of the usable rows, for `fit_vectors`."""
+    return _vectors(usable_rows(samples, names), names).select(*keep, "label", "w", "_x")
+
+
+def fit_vectors(rows: DataFrame, counts: dict[int, int], estimator: Estimator, names: tuple[str, ...]) -> Fitted:
+    """`fit` on stored rows (label, w, _x) of which `counts` has the number per unit."""
     if len(counts) < 2:
         return Fitted(None, names, next(iter(counts), None))
-    ready = _vectors(balanced(rows, counts), names).select((F.col("label") - 1).cast("double").alias("_y"), "_x", "w")
+    units = {"ml_attr": {"type": "nominal", "num_vals": max(counts)}}    # told, so that no learner looks for it
+    ready = balanced(rows, counts).select((F.col("label") - 1).cast("double").alias("_y", metadata=units), "_x", "w")
     return Fitted(estimator.fit(ready), names)
 
 
